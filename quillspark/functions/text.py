@@ -104,9 +104,14 @@ def rendered_path(path):
     return F.concat(path_parent(path), F.lit("/"), path_stem(path), F.lit(".png"))
 
 
+def base64_text(content):
+    """Base64 in one line: the built-in breaks it every 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def data_uri(content):
     """Binary content as the data URI that a chat request carries."""
-    return F.concat(F.lit(fixed.DATA_URI_PREFIX), F.base64(content))
+    return F.concat(F.lit(fixed.DATA_URI_PREFIX), base64_text(content))
 
 
 def tagged_prompt(question=fixed.USER_PROMPT):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quillspark import fixed
 from quillspark.functions.hashing import hash32, permutation_seeds
-from quillspark.functions.text import bind
 from quillspark.operators.registry import KEY
 
 PRIME = 2147483647
@@ -41,54 +40,64 @@ def drop_equal(df, fingerprint, policy="drop_all"):
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def word_shingles(text, width=3):
-    """Hashes of all runs of `width` words; a shorter text is one shingle."""
+def shingle_rows(df, keys, text, width=3):
+    """One row per run of `width` words, repeats included; a shorter text is one shingle.
+
+    Texts are cut by array slices and exploded, so hashing runs in generated code.
+    """
+    words = df.select(*keys, F.split(F.coalesce(text, F.lit("")), " ").alias("__w"))
+    count = F.size("__w") - (width - 1)
+    names = [f"w{i}" for i in range(width)]
+    runs = F.arrays_zip(*[F.slice("__w", i + 1, count).alias(n) for i, n in enumerate(names)])
+    nothing = F.lit(None).cast("string")
+    whole = F.struct(F.array_join("__w", " ").alias("w0"), *[nothing.alias(n) for n in names[1:]])
+    each = words.select(*keys, F.explode(F.when(count < 1, F.array(whole)).otherwise(runs)).alias("__r"))
+    return each.select(*keys, F.concat_ws(" ", *[F.col("__r").getField(n) for n in names]).alias("shingle"))
 
-    def runs(words):
-        count = F.size(words) - (width - 1)
-        joined = F.slice(words, 1, count)
-        for skip in range(1, width):
-            joined = F.zip_with(
-                joined, F.slice(words, skip + 1, count), lambda a, b: F.concat_ws(" ", a, b)
-            )
-        return F.when(count < 1, F.array(F.array_join(words, " "))).otherwise(joined)
 
-    return F.array_distinct(F.transform(bind(F.split(text, " "), runs), lambda s: hash32(s)))
+def minhash_signatures(df, text, keys=KEY, count=fixed.NUM_PERM, hasher=hash32):
+    """The smallest value of each of `count` linear hashes over the text's shingles.
+
+    The minima are plain aggregates: each task sends one row per text, not one per shingle.
+    `hasher` maps a string column to a bigint below 2**32.
+    """
+    hashed = shingle_rows(df, keys, text).select(*keys, hasher(F.col("shingle")).alias("__x"))
+    seeds = permutation_seeds(count, PRIME)
+    minima = hashed.groupBy(*keys).agg(
+        *[F.min((F.col("__x") * a + b) % PRIME).alias(f"__m{i}") for i, (a, b) in enumerate(seeds)]
+    )
+    return minima.select(*keys, F.array(*[f"__m{i}" for i in range(count)]).alias("minhash"))
 
 
-def minhash_signature(hashes, count=fixed.NUM_PERM):
-    """The smallest value of each of `count` linear hashes over the array's elements."""
+def quick_hash(text):
+    """A cheaper `hasher` than the MD5 one, for when no other engine must agree."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def smallest(h, a, b):
-        return F.array_min(F.transform(h, lambda x: (x * a + b) % PRIME))
 
-    seeds = permutation_seeds(count, PRIME)
-    return bind(hashes, lambda h: F.array(*[smallest(h, a, b) for a, b in seeds]))
+def band_rows(signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
+    """One key per band of each signature: rows with equal keys are candidates for each other."""
 
+    def key(b):
+        return F.md5(F.concat_ws(",", F.slice("minhash", b * rows + 1, rows).cast("array<string>")))
 
-def band_keys(signature, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
-    """One key per band of the signature: rows with equal keys are candidates for each other."""
-    return F.array(
-        *[F.md5(F.concat_ws(",", F.slice(signature, b * rows + 1, rows).cast("array<string>"))) for b in range(bands)]
-    )
+    return signatures.select(*KEY, F.posexplode(F.array(*[key(b) for b in range(bands)])).alias("band", "band_key"))
 
 
-def near_duplicate_flags(df, bands_column):
+def near_duplicate_flags(df, signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
     """Per row: in how many bands another row of its split has the same key."""
-    exploded = df.select(*KEY, F.posexplode(bands_column).alias("band", "band_key"))
     alone = (
-        exploded.groupBy("split", "band", "band_key")
+        band_rows(signatures, bands, rows)
+        .groupBy("split", "band", "band_key")
         .agg(F.count(F.lit(1)).alias("__n"), F.min("img_path").alias("img_path"))
         .where(F.col("__n") == 1)
         .groupBy(*KEY)
         .agg(F.count(F.lit(1)).cast("int").alias("__alone"))
     )
-    shared = F.size(bands_column) - F.coalesce(F.col("__alone"), F.lit(0))
+    shared = F.lit(bands) - F.coalesce(F.col("__alone"), F.lit(0))
     return df.join(alone, KEY, "left").withColumn("bands_shared", shared).drop("__alone")
 
 
-def drop_near(df, bands_column):
+def drop_near(df, signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
     """Drop every row that shares a band key with another row of its split."""
-    kept = near_duplicate_flags(df.select(*KEY, bands_column), bands_column)
-    kept = kept.where(F.col("bands_shared") == 0).select(*KEY)
-    return df.join(kept, KEY, "left_semi").select(*df.columns)
+    flagged = near_duplicate_flags(df, signatures, bands, rows)
+    return flagged.where(F.col("bands_shared") == 0).drop("bands_shared")

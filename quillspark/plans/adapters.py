@@ -3,17 +3,23 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions.hashing import hash32
+from quillspark.functions.text import base64_text
 
 START, CREDIT = 2, 3
 
 
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark, sf_dir, name, spread_by=None):
+    """A given table; `spread_by` is for costly row work on files with fewer blocks than cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_by)
+    return df
 
 
-def samples(spark, sf_dir):
+def samples(spark, sf_dir, spread=False):
     """Registry without scores: documents as labelled samples, four fifths of them for training."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread_by="doc_id" if spread else None)
     part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 10
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".png")).alias("img_path"),
@@ -30,8 +36,8 @@ def scores(spark, sf_dir):
     return labels.select("doc_id", score.alias("score"))
 
 
-def registry(spark, sf_dir):
-    rows = samples(spark, sf_dir).join(scores(spark, sf_dir), "doc_id", "left")
+def registry(spark, sf_dir, spread=False):
+    rows = samples(spark, sf_dir, spread).join(scores(spark, sf_dir), "doc_id", "left")
     return rows.select("img_path", "label", "split", "score", "doc_id")
 
 
@@ -177,7 +183,7 @@ def uploads(spark, sf_dir):
     """Pages as uploads; some with a wrong suffix, undecodable text or too large a side."""
     h = hash32("upload", F.col("page_id"))
     suffixes = F.array(*[F.lit(s) for s in (".png", ".JPG", ".jpeg", ".gif", ".txt", "", ".bmp", ".tiff")])
-    b64 = F.base64(F.encode("html", "UTF-8"))
+    b64 = base64_text(F.encode("html", "UTF-8"))
     return table(spark, sf_dir, "pages").select(
         "page_id",
         F.concat(F.lit("up.load/f"), F.col("page_id"), F.element_at(suffixes, (h % 8 + 1).cast("int"))).alias("filename"),

@@ -138,7 +138,7 @@ def fingerprinted(rows):
 
 @query("dedup_exact", a.sql(f"SELECT img_path, split, length(label) AS chars FROM ({_UNIQUE.format(rows='reg')})", "reg"))
 def dedup_exact(spark, sf_dir):
-    kept = dedup.drop_equal(fingerprinted(a.samples(spark, sf_dir)), "phash")
+    kept = dedup.drop_equal(fingerprinted(a.samples(spark, sf_dir, spread=True)), "phash")
     return kept.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))
 
 
@@ -147,7 +147,7 @@ def dedup_exact(spark, sf_dir):
     a.sql(f"SELECT min(img_path) AS img_path, split FROM reg GROUP BY split, {_SQUEEZED}", "reg"),
 )
 def dedup_keep_first(spark, sf_dir):
-    kept = dedup.drop_equal(fingerprinted(a.samples(spark, sf_dir)), "phash", policy="keep_first")
+    kept = dedup.drop_equal(fingerprinted(a.samples(spark, sf_dir, spread=True)), "phash", policy="keep_first")
     return kept.select("img_path", "split")
 
 
@@ -158,7 +158,7 @@ def dedup_keep_first(spark, sf_dir):
  (SELECT split, {_SQUEEZED} AS p, count(*) AS n_members FROM reg GROUP BY 1, 2) GROUP BY 1, 2""", "reg"),
 )
 def fingerprint_groups(spark, sf_dir):
-    sizes = dedup.group_sizes(fingerprinted(a.samples(spark, sf_dir)), "phash")
+    sizes = dedup.group_sizes(fingerprinted(a.samples(spark, sf_dir, spread=True)), "phash")
     return sizes.groupBy("split", "n_members").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
@@ -179,12 +179,7 @@ flags AS (SELECT img_path, split, sum((c > 1)::INTEGER)::INTEGER AS bands_shared
 
 
 def _signatures(spark, sf_dir):
-    rows = a.samples(spark, sf_dir)
-    return rows.withColumn("minhash", dedup.minhash_signature(dedup.word_shingles(F.col("label"))))
-
-
-def _banded(spark, sf_dir):
-    return _signatures(spark, sf_dir).select("*", dedup.band_keys(F.col("minhash")).alias("bands")).drop("minhash")
+    return dedup.minhash_signatures(a.samples(spark, sf_dir, spread=True), F.col("label"))
 
 
 @query(
@@ -203,7 +198,8 @@ def minhash_signature(spark, sf_dir):
     + "\nSELECT img_path, split, bands_shared FROM flags",
 )
 def near_dup_flags(spark, sf_dir):
-    return dedup.near_duplicate_flags(_banded(spark, sf_dir), "bands").select("img_path", "split", "bands_shared")
+    rows = a.samples(spark, sf_dir).select("img_path", "split")
+    return dedup.near_duplicate_flags(rows, _signatures(spark, sf_dir))
 
 
 @query(
@@ -212,7 +208,7 @@ def near_dup_flags(spark, sf_dir):
     + "\nSELECT img_path, split, length(label) AS chars FROM reg JOIN flags USING (img_path, split) WHERE bands_shared = 0",
 )
 def near_dup_drop(spark, sf_dir):
-    kept = dedup.drop_near(_banded(spark, sf_dir), "bands")
+    kept = dedup.drop_near(a.samples(spark, sf_dir), _signatures(spark, sf_dir))
     return kept.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))
 
 
@@ -221,7 +217,7 @@ def near_dup_drop(spark, sf_dir):
 
 def curated(spark, sf_dir):
     """The registry after merged scores and duplicate removal."""
-    merged = reg.merge_scores(fingerprinted(a.registry(spark, sf_dir)), _second_opinion(spark, sf_dir))
+    merged = reg.merge_scores(fingerprinted(a.registry(spark, sf_dir, spread=True)), _second_opinion(spark, sf_dir))
     return dedup.drop_equal(merged, "phash")
 
 
