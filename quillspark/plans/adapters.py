@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions.hashing import hash32
-from quillspark.functions.text import base64_text
+from quillspark.functions.text import base64_text, bind
 
 START, CREDIT = 2, 3
 
@@ -50,8 +50,8 @@ def _predicted(label, kind):
     )
 
 
-def document_predictions(spark, sf_dir):
-    rows = samples(spark, sf_dir)
+def document_predictions(spark, sf_dir, spread=False):
+    rows = samples(spark, sf_dir, spread)
     return rows.withColumn("pred", _predicted(F.col("label"), hash32("pred", F.col("doc_id")) % 4))
 
 
@@ -134,21 +134,24 @@ def lines_as_batches(spark, sf_dir):
 
 def ink_texts(spark, sf_dir):
     """One InkML text per vector: four strokes of eight points, time counted within the stroke."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double").cast("string"))
 
-    def trace(stroke):
+    def trace(numbers, stroke):
         spots = [
-            F.concat_ws(" ", v[stroke * 16 + 2 * i], v[stroke * 16 + 2 * i + 1], F.lit(str(i))) for i in range(8)
+            F.concat_ws(" ", numbers[stroke * 16 + 2 * i], numbers[stroke * 16 + 2 * i + 1], F.lit(str(i)))
+            for i in range(8)
         ]
         return F.concat(F.lit("<trace>"), F.concat_ws(",", *spots), F.lit("</trace>"))
 
+    def traces(numbers):
+        return F.concat(*[trace(numbers, s) for s in range(4)])
+
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         F.concat(
             F.lit('<ink xmlns="http://www.w3.org/2003/InkML"><annotation type="label">\\alpha_{'),
             F.col("label"),
             F.lit('}</annotation><annotation type="splitTagOriginal">train</annotation>'),
-            *[trace(s) for s in range(4)],
+            bind(F.col("embedding").cast("array<double>").cast("array<string>"), traces),
             F.lit("</ink>"),
         ).alias("inkml"),
     )

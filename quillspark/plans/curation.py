@@ -8,7 +8,7 @@ from quillspark.functions import hashing, layout, rules, text, vectors
 from quillspark.operators import datasets, dedup, ordered, sampling, scoring
 from quillspark.operators import registry as reg
 from quillspark.plans import adapters as a
-from quillspark.session import scratch_folder
+from quillspark.session import scratch_folder, written
 from quillspark.sources import ink, tables
 
 QUERIES, ORACLES = {}, {}
@@ -128,12 +128,12 @@ def class_share(spark, sf_dir):
 
 # --- duplicates -------------------------------------------------------------------------------
 
-_SQUEEZED = "md5(regexp_replace(label, '[ \\t\\r\\n]+', '', 'g'))"
+_SQUEEZED = "md5(translate(label, ' '||chr(9)||chr(10)||chr(13), ''))"
 _UNIQUE = f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY split, {_SQUEEZED}) AS copies FROM {{rows}}) WHERE copies = 1"""
 
 
 def fingerprinted(rows):
-    return rows.withColumn("phash", F.md5(F.regexp_replace("label", r"[ \t\r\n]+", "")))
+    return rows.withColumn("phash", F.md5(F.translate("label", " \t\n\r", "")))
 
 
 @query("dedup_exact", a.sql(f"SELECT img_path, split, length(label) AS chars FROM ({_UNIQUE.format(rows='reg')})", "reg"))
@@ -221,6 +221,11 @@ def curated(spark, sf_dir):
     return dedup.drop_equal(merged, "phash")
 
 
+def saved(spark, sf_dir):
+    """The curated registry, written once: quotas, pools and labels each read their own columns."""
+    return written(curated(spark, sf_dir).select("img_path", "label", "split", "score"), "curated")
+
+
 _CURATED = """newscore AS (SELECT doc_id, trim(answer)::INTEGER AS fresh FROM ans WHERE trim(answer) IN ('1','2','3')),
 merged AS (SELECT img_path, label, split, coalesce(fresh, score) AS score FROM scored LEFT JOIN newscore USING (doc_id)),
 curated AS (""" + _UNIQUE.format(rows="merged") + """),
@@ -279,7 +284,7 @@ members AS (SELECT s.split, s.score, s.draw, s.ordinal, p.img_path, p.label FROM
 
 @query("draw_members", _curated_sql("SELECT split, score, draw, ordinal, img_path FROM members", _DRAWS))
 def draw_members(spark, sf_dir):
-    members = sampling.draw_members(curated(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
+    members = sampling.draw_members(saved(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
     return members.select(
         "split", "score", F.col("draw").cast("bigint"), F.col("ordinal").cast("bigint"), "img_path"
     )
@@ -294,7 +299,7 @@ def draw_members(spark, sf_dir):
     ),
 )
 def sft_draws(spark, sf_dir):
-    combined = sampling.combined_samples(curated(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
+    combined = sampling.combined_samples(saved(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
     return combined.select(
         "split",
         "score",
@@ -315,7 +320,7 @@ def sft_draws(spark, sf_dir):
     ),
 )
 def draw_key(spark, sf_dir):
-    members = sampling.draw_members(curated(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
+    members = sampling.draw_members(saved(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
     named = members.groupBy("split", "score", "draw").agg(
         hashing.path_set_key(F.collect_list("img_path")).alias("name")
     )
