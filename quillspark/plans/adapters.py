@@ -19,7 +19,10 @@ def table(spark, sf_dir, name, spread_by=None):
 
 def samples(spark, sf_dir, spread=False):
     """Registry without scores: documents as labelled samples, four fifths of them for training."""
-    docs = table(spark, sf_dir, "documents", spread_by="doc_id" if spread else None)
+    return as_samples(table(spark, sf_dir, "documents", spread_by="doc_id" if spread else None))
+
+
+def as_samples(docs):
     part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 10
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".png")).alias("img_path"),

@@ -105,13 +105,12 @@ def softmax_probs(spark, sf_dir):
 @query(
     "top1_class",
     a.sql(
-        """SELECT vec_id, (['1','2','3'])[list_position(l, list_max(l))::INTEGER]::INTEGER AS score
- FROM (SELECT vec_id, list_slice(logits, 1, 3) AS l FROM lg)""",
+        "SELECT vec_id, ((list_position(logits, list_max(logits)) - 1) % 3 + 1)::INTEGER AS score FROM lg",
         "lg",
     ),
 )
 def top1_class(spark, sf_dir):
-    best = vectors.top1(F.slice("logits", 1, 3), fixed.CLASSES)
+    best = vectors.top1(F.col("logits"), [fixed.CLASSES[i % 3] for i in range(64)])
     return a.logits(spark, sf_dir).select("vec_id", best.cast("int").alias("score"))
 
 
@@ -119,13 +118,12 @@ def top1_class(spark, sf_dir):
     "topk_accuracy",
     a.sql(
         """SELECT count(*) AS n, round(avg((rank < 1)::INTEGER) * 100, 4) AS top1, round(avg((rank < 5)::INTEGER) * 100, 4) AS top5
- FROM (SELECT len(list_filter(l, lambda x: x > l[target + 1])) AS rank FROM (SELECT logits[1:10] AS l, target FROM lg))""",
+ FROM (SELECT len(list_filter(l, lambda x: x > l[target + 1])) AS rank FROM (SELECT logits AS l, target FROM lg))""",
         "lg",
     ),
 )
 def topk_accuracy(spark, sf_dir):
-    rows = a.logits(spark, sf_dir).withColumn("logits", F.slice("logits", 1, 10))
-    found = metrics.accuracy(rows, "logits", "target")
+    found = metrics.accuracy(a.logits(spark, sf_dir), "logits", "target")
     return found.select("n", F.round("top1", 4).alias("top1"), F.round("top5", 4).alias("top5"))
 
 

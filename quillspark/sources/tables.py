@@ -11,6 +11,7 @@ _CSV = {
     "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSxxx",
 }
 
 
