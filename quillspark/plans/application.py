@@ -289,14 +289,14 @@ def balance_ledger(spark, sf_dir):
 @query(
     "export_gens",
     a.sql(
-        f"SELECT session_id, {_when('request_at')} AS requested, image_url, image_b64, response, failed FROM gens WHERE session_id = 's7'", "gens"
+        f"SELECT session_id, {_when('request_at')} AS requested, image_url, image_b64, nullif(response, '') AS response, failed FROM gens WHERE session_id = 's7'", "gens"
     ),
 )
 def export_gens(spark, sf_dir):
     path = scratch_folder(spark, "export-gens")
     rows = tables.export_gens(a.generations(spark, sf_dir), "s7")
-    tables.write_csv(rows, path)
-    read = tables.read_csv(spark, path, rows.schema)
+    tables.write_export(rows, path)
+    read = tables.read_export(spark, path, rows.schema)
     return read.withColumn("request_at", clock("request_at")).withColumnRenamed("request_at", "requested")
 
 
@@ -307,6 +307,6 @@ def export_gens(spark, sf_dir):
 def export_keys(spark, sf_dir):
     path = scratch_folder(spark, "export-keys")
     rows = tables.export_keys(a.api_keys(spark, sf_dir), "s3")
-    tables.write_csv(rows, path)
-    read = tables.read_csv(spark, path, rows.schema)
+    tables.write_export(rows, path)
+    read = tables.read_export(spark, path, rows.schema)
     return read.withColumn("granted_at", clock("granted_at")).withColumnRenamed("granted_at", "granted")

@@ -3,13 +3,28 @@
 from pyspark.sql import functions as F
 
 from quillspark import schemas
+from quillspark.functions.text import bind
 
 
 def _columns(ink):
-    notes = F.map_from_entries(
-        F.transform(F.coalesce(ink["annotation"], F.array()), lambda a: F.struct(a["_type"], a["_VALUE"]))
+    named = F.filter(F.coalesce(ink["annotation"], F.array()), lambda note: note["_type"].isNotNull())
+
+    def last_of_each_type(s):
+        return F.filter(
+            s["notes"],
+            lambda note, i: ~F.array_contains(F.slice(s["types"], i + 2, F.size(s["types"])), note["_type"]),
+        )
+
+    kept = bind(
+        F.struct(named.alias("notes"), F.transform(named, lambda note: note["_type"]).alias("types")),
+        last_of_each_type,
+    )
+    notes = bind(
+        kept,
+        lambda k: F.map_from_arrays(
+            F.transform(k, lambda note: note["_type"]), F.transform(k, lambda note: note["_VALUE"])
+        ),
     )
-    label = F.filter(ink["annotation"], lambda a: a["_type"] == "label")[0]["_VALUE"]
 
     def point(text):
         at = F.split(F.trim(text), " ")
@@ -18,7 +33,7 @@ def _columns(ink):
         )
 
     strokes = F.transform(ink["trace"], lambda trace: F.transform(F.split(F.trim(trace), ","), point))
-    return notes.alias("annotations"), label.alias("label"), strokes.alias("strokes")
+    return notes.alias("annotations"), notes["label"].alias("label"), strokes.alias("strokes")
 
 
 def read_ink(spark, root):

@@ -15,13 +15,17 @@ _CSV = {
 }
 
 
-def write_csv(df, path):
+# a null's text in registry files: an empty field stays an empty text
+NULL_TEXT = "\u0001"
+
+
+def write_csv(df, path, null_text=NULL_TEXT):
     """CSV that keeps quotes, line ends, outer blanks and the difference of null and empty text."""
-    df.write.options(**_CSV).csv(path)
+    df.write.options(**_CSV, nullValue=null_text).csv(path)
 
 
-def read_csv(spark, path, schema):
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+def read_csv(spark, path, schema, null_text=NULL_TEXT):
+    return spark.read.schema(schema).options(**_CSV, nullValue=null_text).csv(path)
 
 
 def _listing(spark, root):
@@ -48,7 +52,8 @@ def save_version(df, root):
 
 def load_version(spark, root, schema=schemas.REGISTRY, number=None):
     number = number or versions(spark, root)[-1]
-    return spark.read.schema(schema).parquet(f"{root}/v{number:06d}")
+    rows = spark.read.schema(schema).parquet(f"{root}/v{number:06d}")
+    return rows.select(*schema.names)
 
 
 def read_or_create(spark, root, ingest):
@@ -91,6 +96,15 @@ def read_jdbc(spark, url, table, lower, upper, partitions, column="id", **option
     )
 
 
+def write_export(rows, path):
+    """CSV download: null and empty text are both an empty field."""
+    rows.write.options(**_CSV, nullValue="", emptyValue="").csv(path)
+
+
+def read_export(spark, path, schema):
+    return read_csv(spark, path, schema, null_text="")
+
+
 def export_gens(gens, session_id):
     """A session's generations, newest first, with the columns of the CSV download."""
     rows = gens.where(F.col("session_id") == session_id).orderBy(F.desc("request_at"), F.desc("id"))
