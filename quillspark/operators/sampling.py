@@ -85,9 +85,14 @@ def combined_samples(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SI
 
 
 def concatenated(members, keys, ordinal):
+    """Labels of each group in ordinal order. Groups are bounded by the draw size.
+
+    Members are moved to their group first: collecting before the shuffle would not shrink them.
+    """
     parts = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), "img_path", "label")))
     return (
-        members.groupBy(*keys)
+        members.repartition(*keys)
+        .groupBy(*keys)
         .agg(parts.alias("__m"))
         .select(
             *keys,
