@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 
 from quillspark import fixed
 
-# white space that str.strip() removes, spelled for Java's regex
-_BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# fixed values: the characters that str.strip() removes
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def bind(value, body):
@@ -49,8 +53,8 @@ def _distance(a, b):
 def token_edits(ref_tokens, hyp_tokens):
     """Edit distance between two token arrays, inside the JVM.
 
-    Every distinct token of the pair becomes one character, then `levenshtein` counts.
-    Quadratic in the worst case: see `operators.metrics.long_token_edits` for long texts.
+    Every distinct token of the pair becomes one character, then `levenshtein` counts. Its cost is
+    the product of both lengths: `operators.metrics.pair_edits` has a kernel for long texts.
     """
 
     def of(pair):
@@ -70,7 +74,7 @@ def token_edits(ref_tokens, hyp_tokens):
 
 def strip(s):
     """Remove outer white space of every kind, not only blanks."""
-    return F.regexp_replace(s, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def preview(s, chars=fixed.PREVIEW_CHARS):

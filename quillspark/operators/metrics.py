@@ -7,39 +7,40 @@ from quillspark import workers
 from quillspark.functions import text, vectors
 
 
-def pair_edits(pairs, ref="label", hyp="pred", tokenizer=text.latex_tokens):
-    """Per pair: edits between both token lists and the reference's length."""
+def pair_edits(pairs, ref="label", hyp="pred", tokenizer=text.latex_tokens, kernel="arrow"):
+    """Per pair: edits between both token lists and the reference's length.
+
+    `kernel="arrow"` counts 64 and more cells per step on Arrow batches, for texts of any length;
+    equal pairs are not sent. `kernel="jvm"` stays in built-in expressions, for short labels.
+    """
     tokens = F.struct(tokenizer(F.col(ref)).alias("r"), tokenizer(F.col(hyp)).alias("h"))
-    counted = text.bind(
-        tokens,
-        lambda t: F.struct(
-            text.token_edits(t["r"], t["h"]).alias("edits"), F.size(t["r"]).alias("ref_tokens")
-        ),
-    )
+    if kernel == "jvm":
+        counted = text.bind(
+            tokens,
+            lambda t: F.struct(
+                text.token_edits(t["r"], t["h"]).alias("edits"), F.size(t["r"]).alias("ref_tokens")
+            ),
+        )
+        out = pairs.withColumn("__c", counted)
+        edits, length = F.col("__c.edits"), F.col("__c.ref_tokens")
+    else:
+
+        @F.pandas_udf("bigint")
+        def distance(r: pd.Series, h: pd.Series) -> pd.Series:
+            return pd.Series([workers.bit_edits(a, b) for a, b in zip(r, h, strict=True)], dtype="Int64")
+
+        differ = F.col(ref) != F.col(hyp)
+        out = pairs.withColumn("__c", tokens)
+        counted = distance(F.when(differ, F.col("__c.r")), F.when(differ, F.col("__c.h")))
+        same = F.when(F.col(ref) == F.col(hyp), F.lit(0))
+        edits, length = F.coalesce(same, counted), F.size(F.col("__c.r"))
     return (
-        pairs.withColumn("__c", counted)
-        .withColumn("edits", F.col("__c.edits").cast("bigint"))
-        .withColumn("ref_tokens", F.col("__c.ref_tokens").cast("bigint"))
+        out.withColumn("edits", edits.cast("bigint"))
+        .withColumn("ref_tokens", length.cast("bigint"))
         .drop("__c")
     )
 
 
-def long_pair_edits(pairs, ref="label", hyp="pred", tokenizer=text.latex_tokens):
-    """As `pair_edits`, for texts of any length: a bit-parallel count on Arrow batches."""
-
-    @F.pandas_udf("bigint")
-    def distance(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([workers.bit_edits(a, b) for a, b in zip(r, h, strict=True)])
-
-    return (
-        pairs.withColumn("__r", tokenizer(F.col(ref)))
-        .withColumn("__h", tokenizer(F.col(hyp)))
-        .withColumn("edits", distance("__r", "__h"))
-        .withColumn("ref_tokens", F.size("__r").cast("bigint"))
-        .drop("__r", "__h")
-    )
-
-
 def pooled_error_rate(edits, keys):
     """All edits over all reference tokens; null when there are none. May be over 1."""
     return edits.groupBy(*keys).agg(

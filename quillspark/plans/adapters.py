@@ -60,7 +60,7 @@ def document_predictions(spark, sf_dir, spread=False):
 
 def chat_predictions(spark, sf_dir):
     """Conversation turns as LaTeX-flavoured labels with predictions."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", spread_by="conv_id")
     key = F.concat_ws("/", "conv_id", "turn")
     part = hash32("chat", key) % 10
     label = F.concat(F.lit("\\frac{"), F.col("role"), F.lit("}{\\mathbb{R}\\,"), F.col("text"), F.lit("}\\operatorname*"))
@@ -78,7 +78,17 @@ def part_formulas(spark, sf_dir):
         F.lit("}\\mathbb{R}\\operatorname*{"), F.col("p_brand"), F.lit("}\\\n\\{ "), F.col("p_type"),
         F.lit("\\end{matrix}\\"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("formula"))
+    return table(spark, sf_dir, "part", spread_by="p_partkey").select("p_partkey", "p_brand", text.alias("formula"))
+
+
+def formula_predictions(spark, sf_dir):
+    """Short formulas with predictions."""
+    return part_formulas(spark, sf_dir).select(
+        "p_partkey",
+        F.col("p_brand").alias("split"),
+        F.col("formula").alias("label"),
+        _predicted(F.col("formula"), hash32("pred", F.col("p_partkey")) % 4).alias("pred"),
+    )
 
 
 def generations(spark, sf_dir):
@@ -148,7 +158,7 @@ def ink_texts(spark, sf_dir):
     def traces(numbers):
         return F.concat(*[trace(numbers, s) for s in range(4)])
 
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", spread_by="vec_id").select(
         "vec_id",
         F.concat(
             F.lit('<ink xmlns="http://www.w3.org/2003/InkML"><annotation type="label">\\alpha_{'),
@@ -257,8 +267,10 @@ VIEWS = {
     "chat": f"""SELECT img_path, {SPLIT_SQL.format(b="b")} AS split, label,
  {_PRED.format(k="(" + h("'pred'", "img_path") + " % 4)")} AS pred
  FROM (SELECT *, {h("'chat'", "img_path")} % 10 AS b FROM chat0)""",
-    "formulas": r"""SELECT p_partkey, '\begin{matrix}\frac{'||p_name||'}{'||p_size||'}\mathbb{R}\operatorname*{'
+    "formulas": r"""SELECT p_partkey, p_brand, '\begin{matrix}\frac{'||p_name||'}{'||p_size||'}\mathbb{R}\operatorname*{'
  ||p_brand||'}\'||chr(10)||'\{ '||p_type||'\end{matrix}\' AS formula FROM part""",
+    "fpairs0": "SELECT p_partkey, p_brand AS split, formula AS label FROM formulas",
+    "fpairs": f"SELECT *, {_PRED.format(k='(' + h(chr(39) + 'pred' + chr(39), 'p_partkey') + ' % 4)')} AS pred FROM fpairs0",
     "gens": """SELECT event_id AS id, ts AS request_at, 'https://pictures.example.org/'||event_id||'.png' AS image_url,
  NULL::VARCHAR AS image_b64, event_type = 'error' AS failed,
  CASE WHEN event_type IN ('view','click') THEN props WHEN event_type = 'signup' THEN '' END AS response,

@@ -42,20 +42,22 @@ def latex_tokens(spark, sf_dir):
 
 
 # DuckDB's levenshtein counts bytes: each distinct token of a pair becomes one of 127 of them
-_EDITS = """toks AS (SELECT img_path, split, regexp_extract_all(label, '{rx}') AS r, regexp_extract_all(pred, '{rx}') AS h FROM chat),
+_EDITS = """toks AS (SELECT *, regexp_extract_all(label, '{rx}') AS r, regexp_extract_all(pred, '{rx}') AS h FROM {pairs}),
 voc AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM toks),
-edits AS (SELECT img_path, split, len(r) AS ref_tokens,
+edits AS (SELECT * EXCLUDE (r, h, v, label, pred), len(r) AS ref_tokens,
  levenshtein(array_to_string(list_transform(r, lambda t: chr(list_position(v, t)::INTEGER)), ''),
              array_to_string(list_transform(h, lambda t: chr(list_position(v, t)::INTEGER)), '')) AS edits FROM voc)"""
 
 
-def _edits_sql(rx, body):
-    return a.sql("", "chat0", "chat").rstrip() + ",\n" + _EDITS.format(rx=rx) + "\n" + body
+def _edits_sql(pairs, body):
+    views = ("chat0", "chat") if pairs == "chat" else ("formulas", "fpairs0", "fpairs")
+    return a.sql("", *views).rstrip() + ",\n" + _EDITS.format(rx=_RX, pairs=pairs) + "\n" + body
 
 
-@query("token_edits", _edits_sql(_RX, "SELECT img_path, edits, ref_tokens FROM edits"))
+@query("token_edits", _edits_sql("fpairs", "SELECT p_partkey, edits, ref_tokens FROM edits"))
 def token_edits(spark, sf_dir):
-    return metrics.pair_edits(a.chat_predictions(spark, sf_dir)).select("img_path", "edits", "ref_tokens")
+    counted = metrics.pair_edits(a.formula_predictions(spark, sf_dir), kernel="jvm")
+    return counted.select("p_partkey", "edits", "ref_tokens")
 
 
 _RATE = """SELECT split, sum(edits)::BIGINT AS edits, sum(ref_tokens)::BIGINT AS ref_tokens,
@@ -66,19 +68,19 @@ def _rates(edits):
     return metrics.pooled_error_rate(edits, ["split"]).withColumn("error_rate", F.round("error_rate", 6))
 
 
-@query("cer_by_split", _edits_sql(_RX, _RATE))
+@query("cer_by_split", _edits_sql("chat", _RATE))
 def cer_by_split(spark, sf_dir):
     return _rates(metrics.pair_edits(a.chat_predictions(spark, sf_dir)))
 
 
-@query("cer_long_kernel", _edits_sql(_RX, _RATE))
+@query("cer_long_kernel", _edits_sql("fpairs", _RATE))
 def cer_long_kernel(spark, sf_dir):
-    return _rates(metrics.long_pair_edits(a.chat_predictions(spark, sf_dir)))
+    return _rates(metrics.pair_edits(a.formula_predictions(spark, sf_dir), kernel="arrow"))
 
 
 @query("cer_documents")
 def cer_documents(spark, sf_dir):
-    return _rates(metrics.long_pair_edits(a.document_predictions(spark, sf_dir, spread=True)))
+    return _rates(metrics.pair_edits(a.document_predictions(spark, sf_dir, spread=True)))
 
 
 @query("wer_by_split")

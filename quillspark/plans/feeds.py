@@ -35,15 +35,27 @@ def versions(events):
 
 @query(
     "stream_state_changes",
-    """SELECT event_id AS id, 0 AS version, 'loading' AS status FROM events UNION ALL
- SELECT event_id, 1, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'response' END FROM events
+    """SELECT event_id AS id, 'loading' AS status FROM events UNION ALL
+ SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'response' END FROM events
  WHERE event_type IN ('error', 'view', 'click')""",
 )
 def stream_state_changes(spark, sf_dir):
-    feed = feeds.status_feed(versions(_stream(spark, sf_dir, "events")), "id", "status", ["version"])
+    feed = feeds.status_feed(versions(_stream(spark, sf_dir, "events")), "id", "status")
     return feeds.run_available(feed, "status")
 
 
+@query(
+    "stream_user_states",
+    """SELECT user_id, event_id, event_type FROM
+ (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type""",
+)
+def stream_user_states(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events")
+    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    feed = feeds.change_feed(timed, "user_id", "event_type", ["at", "event_id"])
+    return feeds.run_available(feed, "users").drop("at")
+
+
 def _ledger(spark, sf_dir):
     events = a.ledger_events(_stream(spark, sf_dir, "events"))
     return events.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))

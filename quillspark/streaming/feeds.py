@@ -38,8 +38,22 @@ def run_available(stream, name, path=None, checkpoint=None):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def status_feed(versions, key, state, order):
-    """A row per key whenever its state differs from the last one shown."""
+def status_feed(versions, key, state, watermark=None):
+    """(key, state) the first time each state of a key is seen.
+
+    For states that do not come back (loading, then response or failed) this is the feed of
+    changes, and it needs no Python worker. `watermark` is (time column, delay): keys older than
+    that leave the state.
+    """
+    if watermark is None:
+        return versions.select(key, state).dropDuplicates([key, state])
+    at, delay = watermark
+    timed = versions.select(key, state, at).withWatermark(at, delay)
+    return timed.dropDuplicatesWithinWatermark([key, state])
+
+
+def change_feed(versions, key, state, order):
+    """A row per key whenever its state differs from the last one shown; states may come back."""
     columns = list(dict.fromkeys([key, *order, state]))
     fields = [versions.schema[c] for c in columns]
 

@@ -68,11 +68,14 @@ def test_status_feed_shows_changes_only(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, "id long, version int, status string").coalesce(1).write.mode("append").parquet(
             str(tmp_path / "in"))
-        feed = feeds.status_feed(
-            feeds.read_files(spark, str(tmp_path / "in"), "id long, version int, status string"), "id", "status", ["version"])
-        out = feeds.run_available(feed, "s", str(tmp_path / "out"), str(tmp_path / "cp"))
+        stream = feeds.read_files(spark, str(tmp_path / "in"), "id long, version int, status string")
+        changes = feeds.change_feed(stream, "id", "status", ["version"])
+        out = feeds.run_available(changes, "c", str(tmp_path / "out"), str(tmp_path / "cp"))
+        first = feeds.run_available(
+            feeds.status_feed(stream, "id", "status"), "s", str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert sorted(tuple(r) for r in out.collect()) == [
         (1, 0, "loading"), (1, 2, "failed"), (2, 0, "loading"), (2, 1, "response")]
+    assert sorted(tuple(r) for r in first.collect()) == [(1, "failed"), (1, "loading"), (2, "loading"), (2, "response")]
 
 
 def test_number_rows_equals_one_window(spark):

@@ -78,8 +78,9 @@ def test_edits_equal_the_full_table(spark):
         kept = [(a.replace(" ", ""), b.replace(" ", "")) if tokenizer is text.word_tokens else (a, b)
                 for a, b in zip(labels, preds)]
         expected = [plain_edits(plain(a), plain(b)) for a, b in kept]
-        for kernel in (metrics.pair_edits, metrics.long_pair_edits):
-            got = {r.i: (r.edits, r.ref_tokens) for r in kernel(df, tokenizer=tokenizer).collect()}
+        for kernel in ("jvm", "arrow"):
+            counted = metrics.pair_edits(df, tokenizer=tokenizer, kernel=kernel)
+            got = {r.i: (r.edits, r.ref_tokens) for r in counted.collect()}
             assert [got[i][0] for i in range(len(rows))] == expected
             assert [got[i][1] for i in range(len(rows))] == [len(plain(a)) for a, _ in kept]
         df = spark.createDataFrame(rows, "i int, label string, pred string")
@@ -95,17 +96,19 @@ def test_many_distinct_tokens(spark):
     """More distinct tokens than one block of characters holds."""
     words = [f"w{i}" for i in range(70000)]
     df = spark.createDataFrame([(" ".join(words), " ".join(["x", *words[1:-1]]))], "label string, pred string")
-    row = metrics.long_pair_edits(df, tokenizer=text.word_tokens).first()
+    row = metrics.pair_edits(df, tokenizer=text.word_tokens).first()
     assert (row.edits, row.ref_tokens) == (2, 70000)
     short = spark.createDataFrame([(" ".join(words[:3000]), " ".join(words[3:3000]))], "label string, pred string")
-    assert metrics.pair_edits(short, tokenizer=text.word_tokens).first().edits == 3
+    assert metrics.pair_edits(short, tokenizer=text.word_tokens, kernel="jvm").first().edits == 3
 
 
 def test_pooled_rate_can_pass_one_and_be_null(spark):
     df = spark.createDataFrame([("v", "ab", "wxyz"), ("v", "", "q"), ("e", "", "z")], "split string, label string, pred string")
-    got = {r.split: r for r in metrics.pooled_error_rate(metrics.pair_edits(df), ["split"]).collect()}
-    assert got["v"].edits == 5 and got["v"].error_rate == 2.5
-    assert got["e"].error_rate is None
+    for kernel in ("jvm", "arrow"):
+        rates = metrics.pooled_error_rate(metrics.pair_edits(df, kernel=kernel), ["split"])
+        got = {r.split: r for r in rates.collect()}
+        assert got["v"].edits == 5 and got["v"].error_rate == 2.5
+        assert got["e"].error_rate is None
 
 
 def test_strip_takes_every_blank(spark):
