@@ -20,22 +20,25 @@ def group_sizes(df, fingerprint):
 def drop_equal(df, fingerprint, policy="drop_all"):
     """Drop rows that share a fingerprint inside their split.
 
-    "drop_all" removes every member of such a group, "keep_first" all but the smallest path.
+    "drop_all" removes every member of such a group, "keep_first" all but the smallest path. A row
+    without a fingerprint is like no other and stays.
     """
+    missing = F.concat(F.lit("none:"), F.col("img_path"))
+    rows = df.withColumn("__fp", F.coalesce(F.col(fingerprint).cast("string"), missing, F.lit("none")))
     if policy == "drop_all":
         # a row's own hash is part of the join key, so copies spread over all tasks; a group of
         # one holds exactly that hash, so equal hashes of other rows cannot match
         own = F.xxhash64("img_path")
         keep = (
-            df.groupBy("split", fingerprint)
+            rows.groupBy("split", "__fp")
             .agg(F.count(F.lit(1)).alias("__n"), F.min(own).alias("__own"))
             .where(F.col("__n") == 1)
             .drop("__n")
         )
-        on = ["split", fingerprint, "__own"]
-        return df.withColumn("__own", own).join(keep, on, "left_semi").drop("__own").select(*df.columns)
+        on = ["split", "__fp", "__own"]
+        return rows.withColumn("__own", own).join(keep, on, "left_semi").select(*df.columns)
     if policy == "keep_first":
-        first = df.groupBy("split", fingerprint).agg(F.min("img_path").alias("img_path"))
+        first = rows.groupBy("split", "__fp").agg(F.min("img_path").alias("img_path"))
         return df.join(first.select(*KEY), KEY, "left_semi").select(*df.columns)
     raise ValueError(f"unknown policy {policy!r}")
 

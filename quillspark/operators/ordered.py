@@ -10,8 +10,6 @@ keys still match.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.hashing import hash32
-
 CELL = "__cell"
 
 
@@ -56,15 +54,16 @@ def number_rows(df, keys, order, bucket, name="ordinal", descending=False):
     )
 
 
-def top_n_per_group(df, keys, order, n, salt, salts=64):
+def top_n_per_group(df, keys, order, n, salts=64):
     """First `n` rows of each group in two steps: per salted part, then over the winners.
 
-    Spark limits each part before its shuffle, so the last step sees at most `salts * n` rows.
+    The salt is the same for all rows of an input partition, and Spark limits each part before its
+    shuffle: a task sends at most `n` rows of a group, and the last step sees `salts * n` of them.
     """
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("__salt", F.pmod(salt, F.lit(salts)))
+        df.withColumn("__salt", F.spark_partition_id() % F.lit(salts))
         .withColumn("__r", F.row_number().over(part))
         .where(F.col("__r") <= n)
         .withColumn("__r", F.row_number().over(whole))
@@ -98,5 +97,5 @@ def salted_membership(df, keys, members, how, row_id, salts=16):
     copies = members.select(*keys).distinct().withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    salted = df.withColumn("__salt", F.pmod(hash32("salt", row_id), F.lit(salts)).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

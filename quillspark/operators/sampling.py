@@ -8,19 +8,25 @@ from quillspark.operators.ordered import hash_bucket, number_rows, top_n_per_gro
 from quillspark.operators.registry import KEY, class_quotas
 
 
-def sample_per_split(df, sizes, seed, id_column="img_path"):
-    """`sizes[split]` rows of each split, without replacement, in hash order."""
-    hashed = df.withColumn("__h", hash32(seed, F.col(id_column)))
-    parts = []
+# a sample of this many keys is surely small enough to send to every task
+_SMALL_SAMPLE = 100_000
+
+
+def sample_per_split(df, sizes, seed):
+    """`sizes[split]` rows of each split, without replacement, in hash order.
+
+    The choice is made on keys alone. Its size is known beforehand, so a small one is broadcast and
+    the rows themselves are not shuffled.
+    """
+    hashed = df.select(*KEY, hash32(seed, F.col("img_path")).alias("__h"))
+    chosen = None
     for n in sorted(set(sizes.values())):
         same = hashed.where(F.col("split").isin(*[s for s in sizes if sizes[s] == n]))
-        parts.append(
-            top_n_per_group(same, ["split"], [F.col("__h"), F.col(id_column)], n, F.col("__h")).drop("__h")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        part = top_n_per_group(same, ["split"], [F.col("__h"), F.col("img_path")], n).select(*KEY)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if sum(sizes.values()) <= _SMALL_SAMPLE:
+        chosen = F.broadcast(chosen)
+    return df.join(chosen, KEY, "left_semi").select(*df.columns)
 
 
 def sample(df, n, seed, id_column):
@@ -50,6 +56,8 @@ def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE, str
         F.col("n_class").alias("pool"),
         F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("draw"),
     )
+    # few rows come out of few tasks here, and each grows into as many as it has members
+    draws = draws.repartition(registry.sparkSession.sparkContext.defaultParallelism, "split", "score", "draw")
     one = [F.lit(str(seed)), F.col("split"), F.col("score"), F.col("draw")]
     primes = F.array(*[F.lit(p) for p in large_primes(strides)])
     wide = hash32("start", *one) * F.lit(1 << 31) + F.shiftright(hash32("start2", *one), 1)

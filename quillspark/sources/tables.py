@@ -46,10 +46,15 @@ def save_version(df, root):
     """Write the next version next to the ones being read; returns its number."""
     spark = df.sparkSession
     number = (versions(spark, root) or [0])[-1] + 1
-    df.write.mode("overwrite").partitionBy("split").parquet(f"{root}/v{number:06d}")
+    _evenly(df, "split").write.mode("overwrite").partitionBy("split").parquet(f"{root}/v{number:06d}")
     return number
 
 
+def _evenly(df, *folders):
+    """Rows gathered per folder in parts of even size: few files, and a hot folder gets many tasks."""
+    return df.hint("rebalance", *[F.col(c) for c in folders])
+
+
 def load_version(spark, root, schema=schemas.REGISTRY, number=None):
     number = number or versions(spark, root)[-1]
     rows = spark.read.schema(schema).parquet(f"{root}/v{number:06d}")
@@ -64,8 +69,9 @@ def read_or_create(spark, root, ingest):
 
 
 def write_class_folders(registry, path):
-    """Scored rows below `split=<split>/score=<score>/`. Tasks write to all folders at once."""
-    registry.where(F.col("score").isNotNull()).write.partitionBy("split", "score").parquet(path)
+    """Scored rows below `split=<split>/score=<score>/`."""
+    scored = registry.where(F.col("score").isNotNull())
+    _evenly(scored, "split", "score").write.partitionBy("split", "score").parquet(path)
 
 
 def read_class_folders(spark, path, split=None):

@@ -9,7 +9,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def bit_edits(ref, hyp):
-    """Edit distance of two token sequences, one row of bits per step (Myers, Hyyro)."""
+    """Exact edit distance of two token sequences; null when one is.
+
+    The first try looks at a band of diagonals as wide as the token counts demand; while the
+    distance is outside the band, the band doubles, up to the whole table.
+    """
+    from collections import Counter
+
     if ref is None or hyp is None:
         return None
     ref, hyp = list(ref), list(hyp)
@@ -17,34 +23,85 @@ def bit_edits(ref, hyp):
         return 0
     if not ref or not hyp:
         return len(ref) or len(hyp)
-    places = {}
+    mine, other = Counter(ref), Counter(hyp)
+    least = max(sum((mine - other).values()), sum((other - mine).values()))
+    places = _places(ref)
+    band = 64 + least + least // 8
+    while 4 * band < len(ref):
+        edits = _banded_edits(places, len(ref), hyp, band)
+        if edits <= band:
+            return edits
+        band *= 2
+    return _table_edits(places, len(ref), hyp)
+
+
+def _places(ref):
+    """Per token, a bit for each place it has, as little-endian bytes."""
+    found = {}
     for i, token in enumerate(ref):
-        places.setdefault(token, []).append(i)
-    width = len(ref)
-    where = {}
-    for token, at in places.items():
-        bits = bytearray(width // 8 + 1)
-        for i in at:
-            bits[i >> 3] |= 1 << (i & 7)
-        where[token] = int.from_bytes(bits, "little")
-    every, top = (1 << width) - 1, 1 << (width - 1)
+        bits = found.get(token)
+        if bits is None:
+            bits = found[token] = bytearray(len(ref) // 8 + 1)
+        bits[i >> 3] |= 1 << (i & 7)
+    return found
+
+
+def _table_edits(places, width, hyp):
+    """All rows of a column as the bits of one number (Myers 1999, Hyyro 2003)."""
+    where = {token: int.from_bytes(bits, "little") for token, bits in places.items()}
+    every, last = (1 << width) - 1, 1 << (width - 1)
     up, down, edits = every, 0, width
     for token in hyp:
         same = where.get(token, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         right_up = down | (every & ~(diagonal | up))
         right_down = up & diagonal
-        if right_up & top:
+        if right_up & last:
             edits += 1
-        elif right_down & top:
+        elif right_down & last:
             edits -= 1
         right_up = ((right_up << 1) | 1) & every
-        right_down = (right_down << 1) & every
-        up = right_down | (every & ~(diagonal | right_up))
+        up = ((right_down << 1) & every) | (every & ~(diagonal | right_up))
         down = right_up & diagonal
     return edits
 
 
+def _banded_edits(places, length, hyp, band):
+    """As above for the rows within `band` of the diagonal only; a result over `band` is a bound.
+
+    Bit p of column j stands for row j - band + p, so the vectors move down a row per column.
+    """
+    width = 2 * band + 1
+    every, last = (1 << width) - 1, 1 << (2 * band)
+    up, down, edits = every ^ ((1 << band) - 1), 0, band
+    turn = length - band
+    for column, token in enumerate(hyp, 1):
+        first = column - band - 1
+        bits = places.get(token)
+        if bits is None:
+            same = 0
+        elif first < 0:
+            same = (int.from_bytes(bits[: (width + first) // 8 + 1], "little") << -first) & every
+        else:
+            part = bits[first >> 3 : (first + width >> 3) + 1]
+            same = (int.from_bytes(part, "little") >> (first & 7)) & every
+        diagonal = ((((same & up) + up) ^ up) | same | down) & every
+        right_up = down | (every ^ (diagonal | up))
+        right_down = diagonal & up
+        if column <= turn:
+            edits += not diagonal & last
+        else:
+            last >>= 1
+            if right_up & last:
+                edits += 1
+            elif right_down & last:
+                edits -= 1
+        below = diagonal >> 1
+        up = right_down | (every ^ (below | right_up))
+        down = below & right_up
+    return edits
+
+
 def loaded(name, factory):
     """The scorer built by `factory`, once per worker process."""
     store = sys.modules.setdefault("_quillspark_scorers", types.ModuleType("_quillspark_scorers"))

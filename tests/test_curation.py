@@ -21,6 +21,9 @@ def test_all_members_of_a_group_go_but_other_splits_stay(spark):
     df = make(spark, [("a", "x", "train", 1), ("b", "x", "train", 1), ("c", "x", "valid", 1), ("d", "y", "train", 1)])
     assert {r.img_path for r in dedup.drop_equal(df, "label").collect()} == {"c", "d"}
     assert {r.img_path for r in dedup.drop_equal(df, "label", "keep_first").collect()} == {"a", "c", "d"}
+    blank = make(spark, [("a", None, "train", 1), ("b", None, "train", 1), ("c", "x", "train", 1)])
+    for policy in ("drop_all", "keep_first"):
+        assert dedup.drop_equal(blank, "label", policy).count() == 3
     with pytest.raises(ValueError):
         dedup.drop_equal(df, "label", "other")
 

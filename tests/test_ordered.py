@@ -110,8 +110,8 @@ def test_state_changes_equal_a_loop(spark):
 
 def test_top_n_is_the_plain_top_n(spark):
     rows = [("a" if i % 5 else "b", i, (i * 7919) % 1000) for i in range(1000)]
-    df = spark.createDataFrame(rows, "k string, i long, v long")
-    out = ordered.top_n_per_group(df, ["k"], [F.col("v"), F.col("i")], 7, F.hash("i"), salts=5)
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(11)
+    out = ordered.top_n_per_group(df, ["k"], [F.col("v"), F.col("i")], 7, salts=5)
     want = {r[1] for k in "ab" for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))[:7]}
     assert {r.i for r in out.collect()} == want
 

@@ -92,6 +92,21 @@ def test_bit_edits(a, b):
     assert workers.bit_edits(a, b) == plain_edits(a, b)
 
 
+def test_bands_widen_until_they_hold_the_distance():
+    rng = random.Random(11)
+    for changes in (0, 3, 60, 200, 700):
+        a = rng.choices("abcdefgh", k=1500)
+        b = list(a)
+        for _ in range(changes):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choices("abcdefghx", k=rng.randrange(3))
+        assert workers.bit_edits(a, b) == plain_edits(a, b)
+    # same token counts in another order: the first band is too narrow
+    a = rng.choices("ab", k=1600)
+    b = a[400:] + a[:400]
+    assert workers.bit_edits(a, b) == plain_edits(a, b)
+
+
 def test_many_distinct_tokens(spark):
     """More distinct tokens than one block of characters holds."""
     words = [f"w{i}" for i in range(70000)]
