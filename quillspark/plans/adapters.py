@@ -280,7 +280,7 @@ VIEWS = {
     "req": "SELECT event_id, md5((user_id * 11)::VARCHAR) AS key FROM events",
     "led": f"""SELECT user_id AS account, ts, event_id,
  CASE WHEN event_type = 'purchase' THEN {CREDIT} ELSE -1 END::BIGINT AS delta FROM events""",
-    "batches": """SELECT year(l_shipdate) * 12 + month(l_shipdate) AS epoch, l_returnflag AS phase,
+    "batches": """SELECT (year(l_shipdate) * 12 + month(l_shipdate))::INTEGER AS epoch, l_returnflag AS phase,
  l_discount AS loss, l_tax AS lr, l_quantity AS n FROM lineitem""",
     "lg": "SELECT vec_id, embedding::DOUBLE[] AS logits, label AS target FROM embeddings",
     "grids": """SELECT p_partkey, p_size AS n, round(p_retailprice * 100)::INTEGER AS width, p_size * 100 AS height FROM part""",

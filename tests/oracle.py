@@ -11,6 +11,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
 
 def connection(sf_dir):
     con = duckdb.connect()
@@ -44,6 +46,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     """None when both sides are equal, else a text that says how they differ."""
     df = fn(spark, sf_dir)
     left = normal(df.columns, [tuple(r) for r in df.collect()])
+    theirs = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    ours = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema}
+    if ours != theirs:
+        return f"types {ours} / {theirs}"
     cur = con.execute(sql)
     right = normal([d[0] for d in cur.description], cur.fetchall())
     if left[0] != right[0]:
