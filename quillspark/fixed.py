@@ -68,3 +68,6 @@ LATEX_TOKEN = (
     r"\\(?:mathbb\{[a-zA-Z]\}|begin\{[a-z]+\}|end\{[a-z]+\}|operatorname\*|[a-zA-Z]+|[^\n])"
     r"|[\s\S]"
 )
+# one character, and one word; Java and Python read all three patterns alike
+CHAR_TOKEN = r"[\s\S]"
+WORD_TOKEN = r"[^ \t\n\x0b\f\r]+"

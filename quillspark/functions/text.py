@@ -17,16 +17,21 @@ def bind(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def tokens(s, pattern=fixed.LATEX_TOKEN):
+    """All matches of a token pattern, in order."""
+    return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+
+
 def latex_tokens(s):
-    return F.regexp_extract_all(s, F.lit(fixed.LATEX_TOKEN), F.lit(0))
+    return tokens(s, fixed.LATEX_TOKEN)
 
 
 def char_tokens(s):
-    return F.regexp_extract_all(s, F.lit(r"[\s\S]"), F.lit(0))
+    return tokens(s, fixed.CHAR_TOKEN)
 
 
 def word_tokens(s):
-    return F.regexp_extract_all(s, F.lit(r"\S+"), F.lit(0))
+    return tokens(s, fixed.WORD_TOKEN)
 
 
 def _code_char(position):

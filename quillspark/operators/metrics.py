@@ -3,40 +3,41 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillspark import workers
+from quillspark import fixed, workers
 from quillspark.functions import text, vectors
 
 
-def pair_edits(pairs, ref="label", hyp="pred", tokenizer=text.latex_tokens, kernel="arrow"):
+def pair_edits(pairs, ref="label", hyp="pred", tokenizer=fixed.LATEX_TOKEN, kernel="arrow"):
     """Per pair: edits between both token lists and the reference's length.
 
-    `kernel="arrow"` counts 64 and more cells per step on Arrow batches, for texts of any length;
-    equal pairs are not sent. `kernel="jvm"` stays in built-in expressions, for short labels.
+    `tokenizer` is a token pattern, or a function from a text column to an array column.
+    `kernel="arrow"` counts many cells per step on Arrow batches, for texts of any length;
+    `kernel="jvm"` stays in built-in expressions, for short labels.
     """
-    tokens = F.struct(tokenizer(F.col(ref)).alias("r"), tokenizer(F.col(hyp)).alias("h"))
+    pattern = tokenizer if isinstance(tokenizer, str) else None
+
+    def cut(column):
+        return text.tokens(column, pattern) if pattern else tokenizer(column)
+
     if kernel == "jvm":
         counted = text.bind(
-            tokens,
+            F.struct(cut(F.col(ref)).alias("r"), cut(F.col(hyp)).alias("h")),
             lambda t: F.struct(
                 text.token_edits(t["r"], t["h"]).alias("edits"), F.size(t["r"]).alias("ref_tokens")
             ),
         )
-        out = pairs.withColumn("__c", counted)
-        edits, length = F.col("__c.edits"), F.col("__c.ref_tokens")
     else:
 
-        @F.pandas_udf("bigint")
-        def distance(r: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series([workers.bit_edits(a, b) for a, b in zip(r, h, strict=True)], dtype="Int64")
+        @F.pandas_udf("edits bigint, ref_tokens bigint")
+        def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
+            return workers.pair_counts(r, h, pattern)
 
-        differ = F.col(ref) != F.col(hyp)
-        out = pairs.withColumn("__c", tokens)
-        counted = distance(F.when(differ, F.col("__c.r")), F.when(differ, F.col("__c.h")))
-        same = F.when(F.col(ref) == F.col(hyp), F.lit(0))
-        edits, length = F.coalesce(same, counted), F.size(F.col("__c.r"))
+        # a pattern is applied by the worker: texts travel, not lists of their tokens
+        counted = count(F.col(ref), F.col(hyp)) if pattern else count(cut(F.col(ref)), cut(F.col(hyp)))
     return (
-        out.withColumn("edits", edits.cast("bigint"))
-        .withColumn("ref_tokens", length.cast("bigint"))
+        pairs.withColumn("__c", counted)
+        .withColumn("edits", F.col("__c.edits").cast("bigint"))
+        .withColumn("ref_tokens", F.col("__c.ref_tokens").cast("bigint"))
         .drop("__c")
     )
 

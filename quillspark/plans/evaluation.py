@@ -85,7 +85,7 @@ def cer_documents(spark, sf_dir):
 
 @query("wer_by_split")
 def wer_by_split(spark, sf_dir):
-    return _rates(metrics.pair_edits(a.chat_predictions(spark, sf_dir), tokenizer=text.word_tokens))
+    return _rates(metrics.pair_edits(a.chat_predictions(spark, sf_dir), tokenizer=fixed.WORD_TOKEN))
 
 
 @query(

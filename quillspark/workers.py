@@ -35,6 +35,26 @@ def bit_edits(ref, hyp):
     return _table_edits(places, len(ref), hyp)
 
 
+def pair_counts(refs, hyps, pattern=None):
+    """Edits and reference length per pair of token lists, or of texts cut by a pattern."""
+    import re
+
+    import pandas as pd
+
+    cut = re.compile(pattern).findall if pattern else list
+    edits, lengths = [], []
+    for ref, hyp in zip(refs, hyps, strict=True):
+        tokens = None if ref is None else cut(ref)
+        lengths.append(None if tokens is None else len(tokens))
+        if tokens is None or hyp is None:
+            edits.append(None)
+        elif pattern and ref == hyp:
+            edits.append(0)
+        else:
+            edits.append(bit_edits(tokens, cut(hyp)))
+    return pd.DataFrame({"edits": pd.array(edits, dtype="Int64"), "ref_tokens": pd.array(lengths, dtype="Int64")})
+
+
 def _places(ref):
     """Per token, a bit for each place it has, as little-endian bytes."""
     found = {}

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark import workers
+from quillspark import fixed, workers
 from quillspark.functions import text
 from quillspark.operators import metrics
 
@@ -78,8 +78,10 @@ def test_edits_equal_the_full_table(spark):
         kept = [(a.replace(" ", ""), b.replace(" ", "")) if tokenizer is text.word_tokens else (a, b)
                 for a, b in zip(labels, preds)]
         expected = [plain_edits(plain(a), plain(b)) for a, b in kept]
-        for kernel in ("jvm", "arrow"):
-            counted = metrics.pair_edits(df, tokenizer=tokenizer, kernel=kernel)
+        pattern = {text.latex_tokens: fixed.LATEX_TOKEN, text.word_tokens: fixed.WORD_TOKEN}.get(
+            tokenizer, fixed.CHAR_TOKEN)
+        for kernel, cut in (("jvm", tokenizer), ("arrow", tokenizer), ("jvm", pattern), ("arrow", pattern)):
+            counted = metrics.pair_edits(df, tokenizer=cut, kernel=kernel)
             got = {r.i: (r.edits, r.ref_tokens) for r in counted.collect()}
             assert [got[i][0] for i in range(len(rows))] == expected
             assert [got[i][1] for i in range(len(rows))] == [len(plain(a)) for a, _ in kept]
@@ -126,6 +128,13 @@ def test_pooled_rate_can_pass_one_and_be_null(spark):
         assert got["e"].error_rate is None
 
 
+def test_null_texts_count_for_nothing(spark):
+    df = spark.createDataFrame([(None, "a"), ("b", None), ("c", "d")], "label string, pred string")
+    for kernel in ("jvm", "arrow"):
+        got = [(r.edits, r.ref_tokens) for r in metrics.pair_edits(df, kernel=kernel).collect()]
+        assert got == [(None, None), (None, 1), (1, 1)]
+
+
 def test_strip_takes_every_blank(spark):
     texts = [" a ", " b　", "\x1cc\x85", "\n\td e\r\n", "​f​", "   ", "", " x "]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
