@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark import fixed
-from quillspark.operators.ordered import CELL, bucket_window, with_cell
+from quillspark.operators.ordered import bucket_window, cell, with_cell
 
 
 def balance_ledger(events, account, order, delta, bucket, start=fixed.START_BALANCE):
@@ -14,28 +14,29 @@ def balance_ledger(events, account, order, delta, bucket, start=fixed.START_BALA
     far). Sums and lowest prefixes per bucket are enough to carry both across buckets, so an account
     with most of the events is still spread over all its buckets.
     """
+    at = cell([account])
     cells = with_cell(events, [account], bucket)
-    inside = Window.partitionBy(CELL).orderBy(*order)
+    inside = Window.partitionBy(*at).orderBy(*order)
     to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     to_previous = inside.rowsBetween(Window.unboundedPreceding, -1)
     running = cells.withColumn("__sum", F.sum(delta).over(to_here))
 
-    per_bucket = running.groupBy(CELL).agg(F.sum(delta).alias("__total"), F.min("__sum").alias("__low"))
-    earlier = bucket_window().rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = running.groupBy(*at).agg(F.sum(delta).alias("__total"), F.min("__sum").alias("__low"))
+    earlier = bucket_window([account]).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         per_bucket.withColumn("__base", start + F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
         .withColumn("__floor", F.min(F.col("__base") + F.col("__low")).over(earlier))
-        .select(CELL, "__base", F.least(F.lit(0), F.col("__floor")).alias("__floor"))
+        .select(*at, "__base", F.least(F.lit(0), F.col("__floor")).alias("__floor"))
     )
 
     level = F.col("__base") + F.col("__sum")
     floor_before = F.least(F.col("__floor"), F.col("__base") + F.col("__low_before"))
     return (
         running.withColumn("__low_before", F.min("__sum").over(to_previous))
-        .join(carried, CELL)
+        .join(carried, at)
         .withColumn("accepted", (F.col(delta) > 0) | (level >= floor_before))
         .withColumn("balance", level - F.least(floor_before, level))
-        .drop(CELL, "__sum", "__low_before", "__base", "__floor")
+        .drop(*at, "__sum", "__low_before", "__base", "__floor")
     )
 
 

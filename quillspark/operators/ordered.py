@@ -3,26 +3,45 @@
 A plain window over a split, class, session or account gives that group to one task. Here the
 group is cut into buckets that follow the order (hash prefixes, hours, id ranges). A small
 aggregate per bucket carries what the next bucket must know, and the window runs inside buckets.
-Group and bucket travel as one struct column: the window and the join share one shuffle, and null
-keys still match.
+Group and bucket travel as plain columns without nulls: they sort fast, and the window and the join
+that brings the carried value back share one shuffle.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CELL = "__cell"
+BUCKET = "__bucket"
+_FIRST = -(1 << 63)
+
+
+def _group(keys):
+    return [f"__{part}{i}" for i in range(len(keys)) for part in ("key", "none")]
+
+
+def cell(keys):
+    """Names of the columns that say which group and bucket a row is in."""
+    return [*_group(keys), BUCKET]
 
 
 def with_cell(df, keys, bucket):
-    return df.withColumn(
-        CELL, F.struct(F.struct(*[F.col(k) for k in keys]).alias("key"), bucket.alias("bucket"))
-    )
+    """`df` with its cell columns; rows without a key or bucket have a cell of their own."""
+
+    def filled(key):
+        if isinstance(df.schema[key].dataType, T.IntegralType):
+            return F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+    columns = [c for k in keys for c in (filled(k), F.col(k).isNull())]
+    bucket = F.coalesce(bucket.cast("bigint"), F.lit(_FIRST))
+    named = dict(zip(cell(keys), [*columns, bucket], strict=True))
+    return df.withColumns(named)
 
 
-def bucket_window(descending=False):
+def bucket_window(keys, descending=False):
     """Window over the per-bucket rows of one group, in bucket order."""
-    at = F.col(f"{CELL}.bucket")
-    return Window.partitionBy(f"{CELL}.key").orderBy(at.desc() if descending else at.asc())
+    order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
+    return Window.partitionBy(*_group(keys)).orderBy(order)
 
 
 def hash_bucket(hashed, buckets=4096):
@@ -41,16 +60,17 @@ def id_bucket(number, rows=1 << 20):
 
 def number_rows(df, keys, order, bucket, name="ordinal", descending=False):
     """Exact row_number over `order` inside `keys`; `bucket` must follow the order."""
+    at = cell(keys)
     cells = with_cell(df, keys, bucket)
-    sizes = cells.groupBy(CELL).agg(F.count(F.lit(1)).alias("__n"))
-    before = bucket_window(descending).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(CELL, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(CELL).orderBy(*order))
+    sizes = cells.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    before = bucket_window(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*at, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
     return (
         cells.withColumn("__at", inside)
-        .join(starts, CELL)
+        .join(starts, at)
         .withColumn(name, F.col("__at") + F.col("__start"))
-        .drop(CELL, "__at", "__start")
+        .drop(*at, "__at", "__start")
     )
 
 
@@ -74,18 +94,19 @@ def top_n_per_group(df, keys, order, n, salts=64):
 
 def state_changes(df, keys, state, order, bucket):
     """Rows whose state differs from the previous one of their key; the first row counts."""
+    at = cell(keys)
     cells = with_cell(df, keys, bucket)
-    inside = Window.partitionBy(CELL).orderBy(*order)
-    last = cells.groupBy(CELL).agg(
+    inside = Window.partitionBy(*at).orderBy(*order)
+    last = cells.groupBy(*at).agg(
         F.max_by(F.struct(F.col(state).alias("s")), F.struct(*order)).alias("__last")
     )
-    carried = last.select(CELL, F.lag("__last").over(bucket_window()).alias("__carried"))
-    shown = F.coalesce(F.lag(F.struct(F.col(state).alias("s"))).over(inside), F.col("__carried"))
+    carried = last.select(*at, F.lag("__last").over(bucket_window(keys)).alias("__carried"))
     return (
-        cells.join(carried, CELL)
-        .withColumn("__shown", shown)
+        cells.withColumn("__previous", F.lag(F.struct(F.col(state).alias("s"))).over(inside))
+        .join(carried, at)
+        .withColumn("__shown", F.coalesce("__previous", "__carried"))
         .where(F.col("__shown").isNull() | ~F.col("__shown.s").eqNullSafe(F.col(state)))
-        .drop(CELL, "__carried", "__shown")
+        .drop(*at, "__carried", "__previous", "__shown")
     )
 
 
