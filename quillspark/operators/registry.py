@@ -1,5 +1,6 @@
 """Sample registry: one typed row per (img_path, split)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 KEY = ["img_path", "split"]
@@ -54,12 +55,14 @@ def split_counts(registry):
 
 
 def class_shares(registry):
-    """Rows of each class and their share of all rows in the split, unscored ones included."""
+    """Rows of each class and their share of all rows in the split, unscored ones included.
+
+    The window runs over one row per (split, class), so it stays small.
+    """
     counted = registry.groupBy("split", "score").agg(F.count(F.lit(1)).alias("n_class"))
-    totals = counted.groupBy("split").agg(F.sum("n_class").alias("n_split"))
     return (
-        counted.where(F.col("score").isNotNull())
-        .join(totals, "split")
+        counted.withColumn("n_split", F.sum("n_class").over(Window.partitionBy("split")))
+        .where(F.col("score").isNotNull())
         .withColumn("share", F.col("n_class") / F.col("n_split"))
     )
 

@@ -210,6 +210,23 @@ def uploads(spark, sf_dir):
     )
 
 
+def page_pictures(spark, sf_dir):
+    """The bytes of each page as a grey picture 32 wide, the last line filled up with zeros."""
+    data = F.encode("html", "UTF-8")
+    lines = F.greatest(F.ceil(F.octet_length(data) / 32), F.lit(1)).cast("int")
+    return table(spark, sf_dir, "pages", spread_by="page_id").select(
+        "page_id",
+        F.struct(
+            F.col("url").alias("origin"),
+            lines.alias("height"),
+            F.lit(32).alias("width"),
+            F.lit(1).alias("nChannels"),
+            F.lit(0).alias("mode"),
+            F.rpad(data, lines * 32, F.unhex(F.lit("00"))).alias("data"),
+        ).alias("image"),
+    )
+
+
 def url_candidates(spark, sf_dir):
     """Page addresses, some of them damaged."""
     h = hash32("url", F.col("page_id")) % 5

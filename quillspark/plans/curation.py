@@ -9,7 +9,7 @@ from quillspark.operators import datasets, dedup, ordered, sampling, scoring
 from quillspark.operators import registry as reg
 from quillspark.plans import adapters as a
 from quillspark.session import scratch_folder, written
-from quillspark.sources import ink, tables
+from quillspark.sources import images, ink, tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -656,6 +656,12 @@ def block_hash(spark, sf_dir):
     return a.logits(spark, sf_dir).select("vec_id", vectors.median_block_hash(F.col("logits")).alias("phash"))
 
 
+@query("image_hashes")
+def image_hashes(spark, sf_dir):
+    pictures = a.page_pictures(spark, sf_dir)
+    return pictures.select("page_id", images.perceptual_hash(F.col("image")).alias("phash"))
+
+
 @query(
     "path_parts",
     r"""SELECT doc_id, 'data.d/'||source||'/'||doc_id||'.v1.InkML' AS path, 'data.d/'||source AS parent,

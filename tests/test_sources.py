@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import schemas, session
+from quillspark import schemas, session, workers
 from quillspark.functions import layout, rules
 from quillspark.operators import listing
 from quillspark.sources import images, ink, tables
@@ -67,6 +67,29 @@ def test_images_and_hashes(spark, tmp_path):
     assert differing <= 4 < bin(int(got["a.png"], 16) ^ int(got["d.png"], 16)).count("1")
 
 
+def test_pixel_hash_equals_plain_sums():
+    import math
+    import random
+
+    rng = random.Random(2)
+    height, width = 64, 96
+    grey = [[rng.randrange(256) for _ in range(width)] for _ in range(height)]
+    small = [[sum(grey[2 * y + a][3 * x + b] for a in range(2) for b in range(3)) / 6 for x in range(32)] for y in range(32)]
+
+    def coefficient(u, v):
+        return sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64)
+                   for y in range(32) for x in range(32))
+
+    block = [coefficient(u, v) for u in range(8) for v in range(8)]
+    middle = sum(sorted(block)[31:33]) / 2
+    want = f"{int(''.join(str(int(c > middle)) for c in block), 2):016x}"
+    data = bytes(p for row in grey for p in row)
+    assert workers.pixel_hash(height, width, 1, data, 8) == want
+    coloured = bytes(v for row in grey for p in row for v in (p, p, p))
+    assert workers.pixel_hash(height, width, 3, coloured, 8) == want
+    assert workers.pixel_hash(-1, -1, 3, b"", 8) is None
+
+
 def test_csv_keeps_every_text(spark, tmp_path):
     texts = ["NA", "", None, "a,b", 'say "hi"', "line\nend", " outer ", "\\frac{1}{2}\\", "null", "tab\t"]
     df = spark.createDataFrame([(f"p{i}", t, "train", i if i % 2 else None) for i, t in enumerate(texts)], schemas.REGISTRY)
