@@ -73,12 +73,17 @@ def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE, str
 
 
 def draw_members(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
-    """The members of each draw with their ordinal: one equi-join on the pool position."""
+    """The members of each draw with their ordinal: one equi-join on the pool position.
+
+    Spark cannot foresee how far a plan row grows, and would broadcast all members. Their number is
+    bounded by draws times `max_size`, so each task hashes its part of them and streams the pool.
+    """
     plan = draw_plan(registry, draws_per_split, seed, max_size)
     steps = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("members").cast("int") - 1)).alias("ordinal"))
     at = (F.col("start") + F.col("ordinal") * F.col("stride")) % F.col("pool")
     wanted = steps.select("split", "score", "draw", "ordinal", at.alias("position"))
-    return wanted.join(numbered_pool(registry, seed), ["split", "score", "position"]).drop("position")
+    on = ["split", "score", "position"]
+    return wanted.hint("shuffle_hash").join(numbered_pool(registry, seed), on).drop("position")
 
 
 def combined_samples(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
@@ -87,9 +92,12 @@ def combined_samples(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SI
     A group holds at most `max_size` members. Two draws of the same set share a name.
     """
     members = draw_members(registry, draws_per_split, seed, max_size)
-    return concatenated(
-        members.join(registry.select(*KEY, "label"), KEY), ["split", "score", "draw"], "ordinal"
-    )
+    # labels grow far beyond the join's input here: keep all tasks, where AQE would merge them
+    spark = registry.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = members.repartition(tasks, *KEY).hint("shuffle_hash")
+    labelled = spread.join(registry.select(*KEY, "label"), KEY)
+    return concatenated(labelled, ["split", "score", "draw"], "ordinal")
 
 
 def concatenated(members, keys, ordinal):
