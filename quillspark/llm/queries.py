@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, mixing
+from quillspark.llm import exact_dedup, mixing, packing, token_files
 
 
 def documents(spark, sf_dir):
@@ -19,10 +19,25 @@ def op2_mixing(spark, sf_dir):
     return rows.repartitionByRange(placed, F.col("order")).sortWithinPartitions(placed, "order").drop("order")
 
 
+def tokenizer(name):
+    """Place of a public tokenizer's file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.copy_groups(documents(spark, sf_dir), digest_all=True)
 
 
+def op10_token_files(spark, sf_dir):
+    return token_files.token_table(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 _OP2 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -74,7 +89,9 @@ FROM normal WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES = {"op2_mixing": _OP2, "op7_exact_dedup": _OP7}
