@@ -93,11 +93,11 @@ def shingles(hashes, bounds, k):
     counts = np.diff(bounds)
     last, first = np.repeat(bounds[1:], counts), np.repeat(bounds[:-1], counts)
     at = np.arange(n)
-    out, weight = np.zeros(n, np.uint64), np.uint64(1)
+    out, weight = np.zeros(n, np.uint64), 1
     for j in range(k):
         stop = max(n - j, 0)
-        out[:stop] += np.where(at[:stop] + j < last[:stop], hashes[j:] * weight, np.uint64(0))
-        weight *= _STEP
+        out[:stop] += np.where(at[:stop] + j < last[:stop], hashes[j:] * np.uint64(weight), np.uint64(0))
+        weight = weight * int(_STEP) % (1 << 64)
     valid = (at + k <= last) | ((at == first) & (at + k > last))
     n_runs = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     return mixed(out[valid]), np.concatenate([[0], np.cumsum(n_runs)])

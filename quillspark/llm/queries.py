@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, mixing, packing, token_files
+from quillspark.llm import exact_dedup, fingerprints, mixing, ngram_join, packing, token_files
 
 
 def documents(spark, sf_dir):
@@ -19,6 +19,15 @@ def op2_mixing(spark, sf_dir):
     return rows.repartitionByRange(placed, F.col("order")).sortWithinPartitions(placed, "order").drop("order")
 
 
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.neighbour_fingerprints(documents(spark, sf_dir))
+
+
+def op4_ngram_join(spark, sf_dir):
+    rows = ngram_join.near_components(documents(spark, sf_dir), words=3, percent=90)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer(name):
     """Place of a public tokenizer's file; the operators take it as a parameter."""
     import public_tokenizers
@@ -89,6 +98,8 @@ FROM normal WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_ngram_join": op4_ngram_join,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_files": op10_token_files,
