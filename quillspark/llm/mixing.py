@@ -18,7 +18,7 @@ tables give empty results. Rerunning gives the same rows.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.columns import WORD, packed, unpacked, whole_text
+from quillspark.llm.columns import WORD, row_of, unpacked, whole_text
 
 # Fixed values of the query: weights by rank of the source, and how far a schedule starts above its mean.
 WEIGHTS = (1, 2, 3)
@@ -52,16 +52,14 @@ def _inverse(share, knots):
     return out
 
 
-def _keyed(docs):
-    """row, source, size, bucket and order of every document."""
-    rows = packed(docs)
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = rows.select(
-        "row",
-        F.col("row.source").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat_ws("|", F.lit(SEED), F.col("row.doc_id"))).alias("order"),
-        F.xxhash64(text).alias("tie"),
+def _keyed(docs, keep):
+    """row (the columns `keep`), source, size, bucket and order of every document."""
+    rows = docs.select(
+        row_of(keep),
+        F.col("source").alias("source"),
+        F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
+        F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id"))).alias("order"),
+        F.xxhash64(whole_text()).alias("tie"),
     )
     return rows.withColumn("bucket", F.substring("order", 1, 3))
 
@@ -93,10 +91,10 @@ def targets(sizes, weights=None, max_passes=MAX_PASSES):
     return ranked.select("source", "class", "weight", "source_size", target.alias("target"))
 
 
-def mix_plan(docs, knots=None, max_passes=MAX_PASSES):
-    """row, size, source_size, target, taken, and `visits`: (pass, words, position) of each time a document is read."""
+def mix_plan(docs, knots=None, max_passes=MAX_PASSES, keep=("doc_id",)):
+    """row (a struct of the columns `keep`), size, source_size, target, taken, and `visits`: (pass, words, position) of each time a document is read."""
     knots = knots or schedules()
-    rows = _keyed(docs)
+    rows = _keyed(docs, keep)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), [integral(k) for k in knots], max_passes)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +130,7 @@ def mixed(docs, knots=None, max_passes=MAX_PASSES):
 
     The document at which a source's demand ends is cut after its last word there. Documents without words carry no demand and go.
     """
-    rows = mix_plan(docs, knots, max_passes).select("row", "size", "order", F.explode("visits").alias("visit"))
+    rows = mix_plan(docs, knots, max_passes, docs.columns).select("row", "size", "order", F.explode("visits").alias("visit"))
     cut = F.expr(r"regexp_extract(row.text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', visit.words, '}+'), 0)")
     text = F.when(F.col("visit.words") < F.col("size"), cut).otherwise(F.col("row.text"))
     rows = rows.withColumn("row", F.col("row").withField("text", text))
