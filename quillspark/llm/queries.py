@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, fingerprints, mixing, ngram_join, packing, token_files
+from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, token_files, toxicity
 
 
 def documents(spark, sf_dir):
@@ -28,6 +28,10 @@ def op4_ngram_join(spark, sf_dir):
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_licenses(spark, sf_dir):
+    return licenses.summary(documents(spark, sf_dir))
+
+
 def tokenizer(name):
     """Place of a public tokenizer's file; the operators take it as a parameter."""
     import public_tokenizers
@@ -43,6 +47,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.copy_groups(documents(spark, sf_dir), digest_all=True)
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_table(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -100,8 +108,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_fingerprints": op3_fingerprints,
     "op4_ngram_join": op4_ngram_join,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_token_files": op10_token_files,
 }
 
