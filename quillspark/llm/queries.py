@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, token_files, toxicity
+from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, pii, token_files, toxicity
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark, sf_dir):
+    return pii.summary(documents(spark, sf_dir))
+
+
 def op2_mixing(spark, sf_dir):
     plan = mixing.mix_plan(documents(spark, sf_dir))
     rows = plan.select(
@@ -105,6 +109,7 @@ FROM normal WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_fingerprints": op3_fingerprints,
     "op4_ngram_join": op4_ngram_join,

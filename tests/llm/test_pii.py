@@ -1,0 +1,141 @@
+"""Personal data against plain patterns, and the disclosure rule against a plain count."""
+
+import hashlib
+import math
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from odd import ODD
+
+from quillspark.llm import pii, queries
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), list(PLAIN).index(kind), m.end()))
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{pii.ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def check(rows, out):
+    got = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.base_sha256))
+    want = sorted(((i, t, plain_base(t)) for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(listed(r[2]).encode()).hexdigest()))
+    assert len(got) == len(want)
+    for r, (i, _, base) in zip(got, want):
+        assert r.doc_id == i and r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert set(listed(base).split(",")) <= set(r.spans.split(","))
+        assert base or not r.spans
+    return got
+
+
+def test_the_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check(rows, queries.op1_pii(spark, sf))
+
+
+TRICKY = [
+    "a@b.cd%x@y.zz a@b..c a@b. @b.c x@y.z@w.v", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.4 1.2.3 0000255.1.1.1 9.9.9.999", "4111 1111 1111 1111 4111-1111-1111-1112 5500  0000 0000 0004",
+    "4111111111111111 41111111111111111111 3 4111 1111 1111 1111-", "+1 (555) 010-9999 +12 34 +1234567890123456 +1.2.3.4.5.6.7.8.9.0 ++49 30 1234567", "+4111 1111 1111 1111", "é@b.cd ñ+x@é.de \U0001f600 q@w.e 1.1.1.1",
+    "1" * 30_000, "a" * 30_000 + "@b.c", "a.b-" * 8_000, "1 " * 20_000, "x@y.z " * 300,
+]
+
+
+def test_tricky_and_odd_rows(table):
+    rows = list(enumerate([*ODD, *TRICKY])) + [(None, "a@b.cd"), (None, "a@b.cd"), (5, "x")]
+    check(rows, pii.summary(table([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, kind string, rid int")))
+    assert pii.summary(table([])).count() == 0
+
+
+def test_random_texts(table):
+    texts = []
+
+    @settings(max_examples=400, deadline=None, database=None)
+    @given(st.lists(st.sampled_from([*"ab1234567890@.+- ()%é\n", "4111 1111", "1111", "@b.c", "10.0", "+49 "]), max_size=40))
+    def collect(parts):
+        texts.append("".join(parts))
+
+    collect()
+    rows = list(enumerate(texts))
+    check(rows, pii.summary(table(rows)))
+
+
+def plain_disclosures(texts):
+    """term -> spans by the rule of the docstring, per text."""
+    base = [plain_base(t) for t in texts]
+    words = [{w.lower() for w in re.findall(pii._TERM, t.lower())} for t in texts]
+    near, with_entity, both = [], {}, {}
+    for i, t in enumerate(texts):
+        for a, k, b in base[i]:
+            entity = (k, t[a:b].lower())
+            with_entity.setdefault(entity, set()).add(i)
+            for m in re.finditer(pii._TERM, t):
+                inside = (a - pii.CONTEXT <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + pii.CONTEXT)
+                same_gap = not any(k2 == k and (a2, b2) != (a, b) and min(a, m.start()) < a2 < max(b, m.end()) for a2, k2, b2 in base[i])
+                if len(m[0]) >= pii.TERM_CHARS and inside and same_gap and not any(x < m.end() and m.start() < y for x, _, y in base[i]):
+                    near.append((i, entity, m[0].lower(), m.start(), m.end()))
+                    both.setdefault((entity, m[0].lower()), set()).add(i)
+    n, out = len(texts), [set() for _ in texts]
+    for i, entity, term, a, b in near:
+        docs, df, de = both[entity, term], sum(term in w for w in words), len(with_entity[entity])
+        if len({texts[j] for j in docs}) >= pii.SUPPORT and df >= pii.SUPPORT and de < n:
+            share = math.log(n * len(docs) / (df * de)) / math.log(n / de)
+            if share >= pii.DISCLOSES:
+                out[i].add((a, 5 if share >= pii.REMOVES else 4, b))
+    best = []
+    for spans in out:
+        ends = {}
+        for a, k, b in spans:
+            ends[a, b] = max(k, ends.get((a, b), 0))
+        best.append({(a, k, b) for (a, b), k in ends.items()})
+    return [sorted({*b, *s}) for b, s in zip(base, best)]
+
+
+def test_terms_that_give_entities_away(table):
+    texts = [f"filler{i} lorem ipsum dolor text{i % 7} and more words here" for i in range(40)]
+    texts += [f"write to Jane Quorra at jane{k}@mail.example or call about item{i}" for k in (1, 2) for i in range(3)]
+    texts += [f"the note{i} of Zebulon Pike says +49 30 1234567 and lorem" for i in range(3)] + ["lorem ipsum a@b.cd only once", "Pike alone", "Jane went home"]
+    out = {r.doc_id: r.spans for r in pii.summary(table(list(enumerate(texts)))).collect()}
+    want = plain_disclosures(texts)
+    assert [out[i] for i in range(len(texts))] == [listed(w) for w in want]
+    found = {texts[i][a:b] for i, w in enumerate(want) for a, k, b in w if k >= 4}
+    assert {"Zebulon", "Pike", "Quorra"} <= found and "lorem" not in found
+
+
+def test_sanitised(table):
+    texts = ["write to Zebulon at z@y.xx now", "ask Zebulon z@y.xx please", None, "1.2.3.4 and +49 30 1234567"] + [f"lorem {i} ipsum" for i in range(30)]
+    docs = table([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
+    out = pii.sanitised(docs)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and got[0] == "write to  at [EMAIL] now" and got[1] == "ask  [EMAIL] please"
+    assert got[2] is None and got[3] == "[IP] and [PHONE]" and got[4] == "lorem 0 ipsum"
