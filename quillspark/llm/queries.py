@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, pii, token_files, toxicity
+from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, pii, suffix_dedup, token_files, toxicity
 
 
 def documents(spark, sf_dir):
@@ -55,6 +55,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_spans(documents(spark, sf_dir)).drop("starts", "ends")
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_table(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -117,6 +121,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }
 
