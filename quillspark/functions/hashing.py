@@ -28,29 +28,3 @@ def permutation_seeds(count, modulus):
         return int(hashlib.md5(f"{tag}|{i}".encode()).hexdigest()[:8], 16)
 
     return [(1 + number("a", i) % (modulus - 1), number("b", i) % modulus) for i in range(count)]
-
-
-def _is_prime(n):
-    if n % 2 == 0:
-        return False
-    d, r = n - 1, 0
-    while d % 2 == 0:
-        d, r = d // 2, r + 1
-    # these bases decide every number below 2.1e12
-    for base in (2, 3, 5, 7, 11):
-        x = pow(base, d, n)
-        if x in (1, n - 1):
-            continue
-        if not any((x := x * x % n) == n - 1 for _ in range(r - 1)):
-            return False
-    return True
-
-
-def large_primes(count, above=1 << 40):
-    """The first `count` primes over `above`; each is coprime to every smaller pool size."""
-    found, n = [], above + 1
-    while len(found) < count:
-        if _is_prime(n):
-            found.append(n)
-        n += 2
-    return found

@@ -5,9 +5,20 @@ from pyspark.sql import functions as F
 from quillspark import fixed
 from quillspark.functions.text import path_suffix
 
-_URL = (
+# a host name may be international; addresses are checked part by part
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
+_NAME = rf"(?:{_LABEL}\.)+(?:\p{{L}}{{2,63}}|xn--[a-zA-Z0-9-]{{2,59}})\.?"
+_BYTE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = rf"{_BYTE}(?:\.{_BYTE}){{3}}"
+_HEX = r"[0-9a-fA-F]{1,4}"
+_V6 = "|".join(
+    [rf"(?:{_HEX}:){{7}}{_HEX}", rf"(?:{_HEX}:){{1,7}}:", rf"::(?:{_HEX}:){{0,6}}{_HEX}", "::", rf"(?:{_HEX}:){{6}}{_V4}", rf"::(?:{_HEX}:){{0,5}}{_V4}"]
+    + [rf"(?:{_HEX}:){{1,{7 - n}}}(?::{_HEX}){{{n}}}" for n in range(1, 7)]
+)
+URL = (
     r"^(?:https?|ftps?)://"
-    r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
+    r"(?:[^\s:@/?#\[\]]+(?::[^\s:@/?#\[\]]*)?@)?"
+    rf"(?:{_NAME}|{_V4}|localhost|\[(?:{_V6})\])"
     r"(?::[0-9]{1,5})?(?:[/?#][^\s]*)?$"
 )
 
@@ -16,7 +27,7 @@ def url_error(url):
     """Null for a usable URL, else the message for the first rule it breaks."""
     return (
         F.when(F.coalesce(F.length(url), F.lit(0)) == 0, F.lit(fixed.MSG_NO_URL))
-        .when(~url.rlike(_URL) | F.try_parse_url(url, F.lit("HOST")).isNull(), F.lit(fixed.MSG_BAD_URL))
+        .when(~url.rlike(URL), F.lit(fixed.MSG_BAD_URL))
         .otherwise(F.lit(None).cast("string"))
     )
 

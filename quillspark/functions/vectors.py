@@ -46,10 +46,6 @@ def target_rank(logits, target):
     return bind(F.struct(logits.alias("x"), at_target.alias("v"), target.alias("t")), count)
 
 
-def in_top_k(logits, target, k):
-    return target_rank(logits, target) < k
-
-
 def cross_entropy(logits, target):
     def loss(s):
         return F.log(_exp_sum(s["x"], s["top"])) + s["top"] - F.element_at(s["x"], s["t"] + 1)
@@ -58,7 +54,12 @@ def cross_entropy(logits, target):
 
 
 def median_block_hash(block):
-    """Hex text of 64 bits, one per coefficient: set where it is over the block's median."""
+    """Hex text of 64 bits, one per coefficient: set where it is over the block's median.
+
+    A block of another size is an error.
+    """
+    wrong = F.raise_error(F.concat(F.lit("not a block of 64: "), F.size(block)))
+    block = F.when(block.isNull() | (F.size(block) == 64), block).otherwise(wrong.cast("array<double>"))
 
     def of(s):
         half = F.size(s["x"]) / F.lit(2)

@@ -38,8 +38,3 @@ def balance_ledger(events, account, order, delta, bucket, start=fixed.START_BALA
         .withColumn("balance", level - F.least(floor_before, level))
         .drop(*at, "__sum", "__low_before", "__base", "__floor")
     )
-
-
-def shown_balances(ledger):
-    """Events after which a different balance is shown: every accepted one."""
-    return ledger.where("accepted")

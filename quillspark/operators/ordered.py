@@ -74,8 +74,30 @@ def number_rows(df, keys, order, bucket, name="ordinal", descending=False):
     )
 
 
+def first_n_per_group(df, keys, order, bucket, n):
+    """First `n` rows of each group for any `n`, a number or a column of the keys; `bucket` must follow the order.
+
+    Counts per bucket tell where the n-th row lies. Rows behind that bucket go before any sort, and a
+    group's winners are sorted in buckets, never in one task.
+    """
+    at = cell(keys)
+    cells = with_cell(df, keys, bucket)
+    sizes = cells.groupBy(*keys, *at).agg(F.count(F.lit(1)).alias("__n"))
+    before = bucket_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    starts = starts.withColumn("__wanted", n if hasattr(n, "cast") else F.lit(n))
+    starts = starts.where(F.col("__start") < F.col("__wanted")).select(*at, "__start", "__wanted")
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
+    return (
+        cells.join(starts, at)
+        .withColumn("__at", inside)
+        .where(F.col("__at") + F.col("__start") <= F.col("__wanted"))
+        .drop(*at, "__at", "__start", "__wanted")
+    )
+
+
 def top_n_per_group(df, keys, order, n, salts=64):
-    """First `n` rows of each group in two steps: per salted part, then over the winners.
+    """First `n` rows of each group in two steps, for a small `n` (a page): per salted part, then over the winners.
 
     The salt is the same for all rows of an input partition, and Spark limits each part before its
     shuffle: a task sends at most `n` rows of a group, and the last step sees `salts * n` of them.

@@ -3,29 +3,20 @@
 from pyspark.sql import functions as F
 
 from quillspark import fixed
-from quillspark.functions.hashing import hash32, large_primes, path_set_key
-from quillspark.operators.ordered import hash_bucket, number_rows, top_n_per_group
+from quillspark.functions.hashing import hash32, path_set_key
+from quillspark.operators.ordered import first_n_per_group, hash_bucket, number_rows
 from quillspark.operators.registry import KEY, class_quotas
 
 
-# a sample of this many keys is surely small enough to send to every task
-_SMALL_SAMPLE = 100_000
-
-
 def sample_per_split(df, sizes, seed):
     """`sizes[split]` rows of each split, without replacement, in hash order.
 
-    The choice is made on keys alone. Its size is known beforehand, so a small one is broadcast and
-    the rows themselves are not shuffled.
+    The choice is made on keys alone, for any size of sample; Spark measures it and then chooses the join.
     """
     hashed = df.select(*KEY, hash32(seed, F.col("img_path")).alias("__h"))
-    chosen = None
-    for n in sorted(set(sizes.values())):
-        same = hashed.where(F.col("split").isin(*[s for s in sizes if sizes[s] == n]))
-        part = top_n_per_group(same, ["split"], [F.col("__h"), F.col("img_path")], n).select(*KEY)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if sum(sizes.values()) <= _SMALL_SAMPLE:
-        chosen = F.broadcast(chosen)
+    wanted = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("split")]
+    order = [F.col("__h"), F.col("img_path")]
+    chosen = first_n_per_group(hashed, ["split"], order, hash_bucket(F.col("__h")), wanted).select(*KEY)
     return df.join(chosen, KEY, "left_semi").select(*df.columns)
 
 
@@ -44,10 +35,18 @@ def numbered_pool(registry, seed, buckets=4096):
     return numbered.withColumn("position", F.col("position") - 1).drop("__h")
 
 
-def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE, strides=64):
-    """One row per draw: how many members, where it starts and its stride through the pool.
+def _gcd(a, b):
+    """Greatest common divisor by Euclid's steps: 92 are enough for any two 64-bit numbers."""
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % p["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step)["a"]
+
 
-    The stride is a prime over any pool size, so steps of it visit distinct positions.
+def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
+    """One row per draw: how many members, where it starts, its stride through the pool and its turn.
+
+    The stride is any number below the pool's size. Steps of it come back to the start after `turn` of them;
+    each further turn is shifted by one place, so as many steps as the pool has rows visit each row once.
     """
     quotas = class_quotas(registry, draws_per_split).where(F.col("quota") > 0)
     draws = quotas.select(
@@ -59,17 +58,21 @@ def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE, str
     # few rows come out of few tasks here, and each grows into as many as it has members
     draws = draws.repartition(registry.sparkSession.sparkContext.defaultParallelism, "split", "score", "draw")
     one = [F.lit(str(seed)), F.col("split"), F.col("score"), F.col("draw")]
-    primes = F.array(*[F.lit(p) for p in large_primes(strides)])
-    wide = hash32("start", *one) * F.lit(1 << 31) + F.shiftright(hash32("start2", *one), 1)
-    return draws.select(
+
+    def wide(tag):
+        return hash32(tag, *one) * F.lit(1 << 31) + F.shiftright(hash32(f"{tag}2", *one), 1)
+
+    stride = F.when(F.col("pool") > 1, 1 + wide("stride") % F.greatest(F.col("pool") - 1, F.lit(1))).otherwise(1)
+    draws = draws.select(
         "split",
         "score",
         "draw",
         "pool",
         F.least(1 + hash32("size", *one) % max_size, F.col("pool")).alias("members"),
-        (wide % F.col("pool")).alias("start"),
-        (F.element_at(primes, (hash32("stride", *one) % strides + 1).cast("int")) % F.col("pool")).alias("stride"),
+        (wide("start") % F.col("pool")).alias("start"),
+        stride.cast("bigint").alias("stride"),
     )
+    return draws.withColumn("turn", F.floor(F.col("pool") / _gcd(F.col("stride"), F.col("pool"))))
 
 
 def draw_members(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
@@ -80,7 +83,8 @@ def draw_members(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
     """
     plan = draw_plan(registry, draws_per_split, seed, max_size)
     steps = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("members").cast("int") - 1)).alias("ordinal"))
-    at = (F.col("start") + F.col("ordinal") * F.col("stride")) % F.col("pool")
+    shifted = F.floor(F.col("ordinal") / F.col("turn"))
+    at = (F.col("start") + F.col("ordinal") * F.col("stride") + shifted) % F.col("pool")
     wanted = steps.select("split", "score", "draw", "ordinal", at.alias("position"))
     on = ["split", "score", "position"]
     return wanted.hint("shuffle_hash").join(numbered_pool(registry, seed), on).drop("position")

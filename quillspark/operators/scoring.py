@@ -1,5 +1,8 @@
 """Batch scoring by a user's model, and the teacher and student steps built on it."""
 
+import hashlib
+
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Tokenizer
@@ -17,12 +20,15 @@ KEY = reg.KEY
 def score_batch(df, factory, name, keys, value, result_type, output="answer", batch=fixed.SCORE_BATCH):
     """Run a model over `value`: `factory()` gives a function from a list to an equally long list.
 
-    The model is built once per worker process. Answers go with their key, never by row position.
+    The model is built once per worker process, and again when the factory or what it holds has
+    changed. Answers go with their key, never by row position.
     """
-    fields = [df.schema[k] for k in keys] + [T.StructField(output, result_type)]
+    version = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+    kind = T.DataType.fromDDL(result_type) if isinstance(result_type, str) else result_type
+    fields = [df.schema[k] for k in keys] + [T.StructField(output, kind)]
 
     def run(batches):
-        score = workers.loaded(name, factory)
+        score = workers.loaded(name, version, factory)
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]

@@ -9,12 +9,14 @@ START, CREDIT = 2, 3
 
 
 def table(spark, sf_dir, name, spread_by=None):
-    """A given table; `spread_by` is for costly row work on files with fewer blocks than cores."""
+    """A given table, as its files come.
+
+    A session that sets `spark.quillspark.spread` deals the rows of costly queries out by a key first: for tests and
+    benches on files of one block.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
-    return df
+    tasks = int(spark.conf.get("spark.quillspark.spread", "0"))
+    return df.repartition(tasks, spread_by) if spread_by and tasks else df
 
 
 def samples(spark, sf_dir, spread=False):

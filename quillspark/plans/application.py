@@ -90,7 +90,7 @@ def key_view(spark, sf_dir):
     "url_rules",
     a.sql(
         f"""SELECT page_id, CASE WHEN length(url) = 0 THEN '{fixed.MSG_NO_URL}'
- WHEN NOT regexp_matches(url, '^(?:https?|ftps?)://(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?\\.)+[a-zA-Z]{{2,}}(?::[0-9]{{1,5}})?(?:[/?#][^\\s]*)?$')
+ WHEN NOT regexp_matches(url, '{rules.URL}')
  THEN '{fixed.MSG_BAD_URL}' END AS error FROM urls""",
         "urls",
     ),
@@ -99,14 +99,17 @@ def url_rules(spark, sf_dir):
     return a.url_candidates(spark, sf_dir).select("page_id", rules.url_error(F.col("url")).alias("error"))
 
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in fixed.IMAGE_SUFFIXES)
+
+
 @query(
     "upload_rules",
     a.sql(
         f"""SELECT page_id, CASE WHEN NOT starts_with(content_type, 'image/') THEN '{fixed.MSG_NOT_IMAGE}' END AS type_error,
- CASE WHEN lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) NOT IN ('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.tiff') THEN '{fixed.MSG_BAD_SUFFIX}'
+ CASE WHEN lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) NOT IN ({_SUFFIXES}) THEN '{fixed.MSG_BAD_SUFFIX}'
  WHEN starts_with(b64, '!!') THEN '{fixed.MSG_NOT_DECODABLE}'
  WHEN length(b64) > {fixed.MAX_B64_CHARS} THEN '{fixed.MSG_TOO_LARGE}'
- WHEN width > 4096 OR height > 4096 THEN '{fixed.MSG_TOO_WIDE}' END AS error FROM uploads""",
+ WHEN width > {fixed.MAX_SIDE} OR height > {fixed.MAX_SIDE} THEN '{fixed.MSG_TOO_WIDE}' END AS error FROM uploads""",
         "up0", "uploads",
     ),
 )

@@ -274,12 +274,12 @@ def _tagged(tag):
 _DRAWS = f"""plan0 AS (SELECT split, score, n_class AS pool, unnest(range(0, quota)) AS draw FROM quotas WHERE quota > 0),
 plan AS (SELECT split, score, draw, pool, least(1 + {_tagged("size")} % {fixed.MAX_DRAW_SIZE}, pool) AS members,
  ({_tagged("start")} * {1 << 31} + ({_tagged("start2")} >> 1)) % pool AS start,
- ([{",".join(str(p) for p in hashing.large_primes(64))}]::BIGINT[])[({_tagged("stride")} % 64 + 1)::INTEGER] % pool AS stride FROM plan0),
-steps AS (SELECT *, unnest(range(0, members)) AS ordinal FROM plan),
+ CASE WHEN pool > 1 THEN 1 + ({_tagged("stride")} * {1 << 31} + ({_tagged("stride2")} >> 1)) % greatest(pool - 1, 1) ELSE 1 END AS stride FROM plan0),
+steps AS (SELECT *, pool // gcd(stride, pool) AS turn, unnest(range(0, members)) AS ordinal FROM plan),
 pool AS (SELECT split, score, img_path, label, row_number() OVER (PARTITION BY split, score
  ORDER BY {a.h("'pool'", f"'{_SEED}'", "img_path")}, img_path) - 1 AS position FROM curated WHERE score IS NOT NULL),
 members AS (SELECT s.split, s.score, s.draw, s.ordinal, p.img_path, p.label FROM steps s JOIN pool p
- ON s.split = p.split AND s.score = p.score AND p.position = (s.start + s.ordinal * s.stride) % s.pool)"""
+ ON s.split = p.split AND s.score = p.score AND p.position = (s.start + s.ordinal * s.stride + s.ordinal // s.turn) % s.pool)"""
 
 
 @query("draw_members", _curated_sql("SELECT split, score, draw, ordinal, img_path FROM members", _DRAWS))

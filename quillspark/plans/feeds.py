@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.rules import status
 from quillspark.plans import adapters as a
 from quillspark.plans.application import LEDGER
+from quillspark.session import scratch_folder
 from quillspark.streaming import feeds
 
 QUERIES, ORACLES = {}, {}
@@ -20,9 +21,22 @@ def query(name, sql=None):
     return register
 
 
-def _stream(spark, sf_dir, name):
-    schema = a.table(spark, sf_dir, name).schema
-    return feeds.read_files(spark, sf_dir, schema, pattern=f"{name}.parquet")
+def _arriving(spark, table, at, build, name, parts=3):
+    """What `build(stream)` gives when the table's rows arrive in `parts` slices of time, a run of the stream after each."""
+    numbered = table.withColumn("__at", at)
+    cuts = numbered.approxQuantile("__at", [i / parts for i in range(1, parts)], 0.01)
+    bounds = [float("-inf"), *cuts, float("inf")]
+    folder, out, checkpoint = (scratch_folder(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    for low, high in zip(bounds, bounds[1:]):
+        part = numbered.where((F.col("__at") > low) & (F.col("__at") <= high)).drop("__at")
+        part.write.mode("append").parquet(folder)
+        rows = feeds.run_available(build(feeds.read_files(spark, folder, table.schema)), name, out, checkpoint)
+    return rows
+
+
+def _events(spark, sf_dir, build, name):
+    """The event stream, in the order of time."""
+    return _arriving(spark, a.table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), build, name)
 
 
 def versions(events):
@@ -40,8 +54,8 @@ def versions(events):
  WHERE event_type IN ('error', 'view', 'click')""",
 )
 def stream_state_changes(spark, sf_dir):
-    feed = feeds.status_feed(versions(_stream(spark, sf_dir, "events")), "id", "status")
-    return feeds.run_available(feed, "status")
+    build = lambda events: feeds.change_feed(versions(events), "id", "status", ["version"])
+    return _events(spark, sf_dir, build, "status").select("id", "status")
 
 
 @query(
@@ -50,15 +64,43 @@ def stream_state_changes(spark, sf_dir):
  (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type""",
 )
 def stream_user_states(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events")
-    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
-    feed = feeds.change_feed(timed, "user_id", "event_type", ["at", "event_id"])
-    return feeds.run_available(feed, "users").drop("at")
+    return _events(spark, sf_dir, lambda events: _user_states(events, F.col("event_type")), "users")
+
+
+@query(
+    "stream_null_states",
+    """SELECT user_id, event_id, event_type FROM
+ (SELECT user_id, event_id, nullif(event_type, 'view') AS event_type, lag(nullif(event_type, 'view')) OVER w AS p,
+  row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR p IS DISTINCT FROM event_type""",
+)
+def stream_null_states(spark, sf_dir):
+    state = F.nullif(F.col("event_type"), F.lit("view"))
+    return _events(spark, sf_dir, lambda events: _user_states(events, state), "nulls")
+
+
+def _user_states(events, state):
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    timed = events.select("user_id", at, "event_id", state.alias("event_type"))
+    return feeds.change_feed(timed, "user_id", "event_type", ["at", "event_id"]).drop("at")
+
+
+@query(
+    "stream_latest_state",
+    """SELECT user_id, event_id, event_type FROM
+ (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
+)
+def stream_latest_state(spark, sf_dir):
+    table = a.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    folder, root, checkpoint = (scratch_folder(spark, f"latest-{x}") for x in ("in", "out", "state"))
+    for half in (0, 1):  # the halves come in any order of time
+        table.where(F.col("event_id") % 2 == half).write.mode("append").parquet(folder)
+        stream = feeds.read_files(spark, folder, table.schema)
+        rows = feeds.keep_latest(stream, ["user_id"], ["ts", "event_id"], root, checkpoint)
+    return rows.select("user_id", "event_id", "event_type")
 
 
-def _ledger(spark, sf_dir):
-    events = a.ledger_events(_stream(spark, sf_dir, "events"))
-    return events.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+def _ledger(events):
+    return a.ledger_events(events).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @query(
@@ -66,8 +108,8 @@ def _ledger(spark, sf_dir):
     a.sql("", "led").rstrip() + ",\n" + LEDGER + "\nSELECT account, event_id, delta, accepted, balance FROM ledger",
 )
 def stream_ledger(spark, sf_dir):
-    feed = feeds.ledger_feed(_ledger(spark, sf_dir), "account", ["ts", "event_id"], "delta", start=a.START)
-    return feeds.run_available(feed, "ledger").drop("ts")
+    build = lambda events: feeds.ledger_feed(_ledger(events), "account", ["ts", "event_id"], "delta", start=a.START)
+    return _events(spark, sf_dir, build, "ledger").drop("ts")
 
 
 @query(
@@ -75,8 +117,8 @@ def stream_ledger(spark, sf_dir):
     a.sql("", "led").rstrip() + ",\n" + LEDGER + "\nSELECT account, event_id, balance FROM ledger WHERE accepted",
 )
 def stream_balance(spark, sf_dir):
-    feed = feeds.balance_feed(_ledger(spark, sf_dir), "account", ["ts", "event_id"], "delta", start=a.START)
-    return feeds.run_available(feed, "balance").select("account", "event_id", "balance")
+    build = lambda events: feeds.balance_feed(_ledger(events), "account", ["ts", "event_id"], "delta", start=a.START)
+    return _events(spark, sf_dir, build, "balance").select("account", "event_id", "balance")
 
 
 @query(
@@ -86,7 +128,9 @@ def stream_balance(spark, sf_dir):
     ),
 )
 def stream_ingest(spark, sf_dir):
-    incoming = a.as_samples(_stream(spark, sf_dir, "documents"))
     present = a.samples(spark, sf_dir).join(a.scores(spark, sf_dir), "doc_id").select("img_path", "split")
-    fresh = feeds.run_available(feeds.ingest_feed(incoming, present), "ingest")
+    table = a.table(spark, sf_dir, "documents").select("doc_id", "text")
+    twice = table.unionByName(table.where(F.col("doc_id") % 3 == 0))  # keys come again, in the same part and in later ones
+    at = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1000)).cast("double")
+    fresh = _arriving(spark, twice, at, lambda docs: feeds.ingest_feed(a.as_samples(docs), present), "ingest")
     return fresh.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))

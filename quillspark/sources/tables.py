@@ -1,5 +1,6 @@
 """Registry and application tables: Parquet versions, CSV interchange, folders by class, JDBC."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillspark import schemas
@@ -42,12 +43,39 @@ def versions(spark, root):
     return sorted(int(p.getName()[1:]) for p in named)
 
 
+def _save_next(spark, root, write):
+    """Write to the next free version number. Of two writers of one number the second fails over to the next.
+
+    A folder without `_SUCCESS` was left by a writer that failed, or belongs to one at work: it is never reused.
+    """
+    files, paths = _listing(spark, root)
+    taken = [int(p.getName()[1:]) for p in paths if p.getName().startswith("v")]
+    number = max(taken, default=0) + 1
+    for _ in range(100):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{number:06d}")
+        if not files.exists(path):
+            try:
+                write(f"{root}/v{number:06d}")
+                return number
+            except AnalysisException as error:
+                if "PATH_ALREADY_EXISTS" not in str(error):
+                    raise
+        number += 1
+    raise RuntimeError(f"no free version below {root}")
+
+
 def save_version(df, root):
     """Write the next version next to the ones being read; returns its number."""
-    spark = df.sparkSession
-    number = (versions(spark, root) or [0])[-1] + 1
-    _evenly(df, "split").write.mode("overwrite").partitionBy("split").parquet(f"{root}/v{number:06d}")
-    return number
+    return _save_next(df.sparkSession, root, _evenly(df, "split").write.mode("error").partitionBy("split").parquet)
+
+
+def save_snapshot(df, root):
+    """As `save_version`, for a table without splits."""
+    return _save_next(df.sparkSession, root, df.write.mode("error").parquet)
+
+
+def load_snapshot(spark, root, schema):
+    return spark.read.schema(schema).parquet(f"{root}/v{versions(spark, root)[-1]:06d}")
 
 
 def _evenly(df, *folders):

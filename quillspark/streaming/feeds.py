@@ -9,16 +9,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quillspark import fixed, workers
-from quillspark.operators.registry import new_entries
+from quillspark.operators.registry import KEY, new_entries
 from quillspark.session import scratch_folder
+from quillspark.sources import tables
 
 
-def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=1000):
-    """Stream of the Parquet files of a folder; files that come later are picked up."""
+def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=1000, bytes_per_trigger="1g"):
+    """Stream of the Parquet files of a folder; files that come later are picked up.
+
+    Both limits bound a micro-batch, and so what one key's rows of it can hold.
+    """
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("maxFilesPerTrigger" if files_per_trigger else "maxBytesPerTrigger", files_per_trigger or bytes_per_trigger)
         .parquet(folder)
     )
 
@@ -38,43 +42,36 @@ def run_available(stream, name, path=None, checkpoint=None):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def status_feed(versions, key, state, watermark=None):
-    """(key, state) the first time each state of a key is seen.
+def change_feed(versions, key, state, order, forget_after_ms=None):
+    """A row per key whenever its state differs from the last one shown; states may come back.
 
-    For states that do not come back (loading, then response or failed) this is the feed of
-    changes, and it needs no Python worker. `watermark` is (time column, delay): keys older than
-    that leave the state.
+    A null is a state like any other. Rows of a micro-batch are taken in `order` inside their key; a row that comes
+    in a later micro-batch is taken as it arrives, even if it is older: it changes what is shown. `forget_after_ms`
+    drops the state of keys without news for that time, and their next row counts as a first one; it is for
+    queries that run on, as Spark never ends a run of what is available while such a timer may fire.
     """
-    if watermark is None:
-        return versions.select(key, state).dropDuplicates([key, state])
-    at, delay = watermark
-    timed = versions.select(key, state, at).withWatermark(at, delay)
-    return timed.dropDuplicatesWithinWatermark([key, state])
-
-
-def change_feed(versions, key, state, order):
-    """A row per key whenever its state differs from the last one shown; states may come back."""
     columns = list(dict.fromkeys([key, *order, state]))
     fields = [versions.schema[c] for c in columns]
+    # pandas holds whole numbers with nulls as floats
+    plain = int if isinstance(versions.schema[state].dataType, T.IntegralType) else lambda x: x
 
     def changes(group, batches, stored):
         import pandas as pd
 
+        if stored.hasTimedOut:
+            stored.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(order)
-        shown = stored.get[0] if stored.exists else None
-        previous = rows[state].shift(1)
-        previous.iloc[0] = shown
-        stored.update((rows[state].iloc[-1],))
-        yield rows[rows[state] != previous][columns]
+        states = [None if pd.isna(x) else plain(x) for x in rows[state]]
+        previous = [stored.get[0] if stored.exists else object(), *states[:-1]]
+        stored.update((states[-1],))
+        if forget_after_ms:
+            stored.setTimeoutDuration(forget_after_ms)
+        yield rows[[now is not before and now != before for now, before in zip(states, previous)]][columns]
 
-    remembered = T.StructType([T.StructField("shown", T.StringType())])
-    return (
-        versions.select(*columns)
-        .groupBy(key)
-        .applyInPandasWithState(
-            changes, T.StructType(fields), remembered, "append", GroupStateTimeout.NoTimeout
-        )
-    )
+    remembered = T.StructType([T.StructField("shown", versions.schema[state].dataType)])
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
+    return versions.select(*columns).groupBy(key).applyInPandasWithState(changes, T.StructType(fields), remembered, "append", timeout)
 
 
 def ledger_feed(events, account, order, delta, start=fixed.START_BALANCE):
@@ -106,5 +103,27 @@ def balance_feed(events, account, order, delta, start=fixed.START_BALANCE):
 
 
 def ingest_feed(incoming, current):
-    """New files' rows whose key the registry does not have yet."""
-    return new_entries(incoming, current)
+    """New files' rows whose key neither the registry nor an earlier row of the stream has.
+
+    The state is one row per accepted key, as the registry itself.
+    """
+    return new_entries(incoming, current).dropDuplicates(KEY)
+
+
+def keep_latest(stream, keys, order, root, checkpoint):
+    """Merge each micro-batch into a snapshot of the latest row per key, saved as the next version below `root`.
+
+    A repeated micro-batch merges to the same snapshot.
+    """
+
+    def merge(batch, _):
+        spark = batch.sparkSession
+        rows = batch
+        if tables.versions(spark, root):
+            rows = rows.unionByName(tables.load_snapshot(spark, root, batch.schema))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("__row")).select("__row.*")
+        tables.save_snapshot(newest, root)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return tables.load_snapshot(stream.sparkSession, root, stream.schema)

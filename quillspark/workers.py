@@ -122,12 +122,12 @@ def _banded_edits(places, length, hyp, band):
     return edits
 
 
-def loaded(name, factory):
-    """The scorer built by `factory`, once per worker process."""
+def loaded(name, version, factory):
+    """The scorer built by `factory`, once per worker process and version; a new version takes the old one's place."""
     store = sys.modules.setdefault("_quillspark_scorers", types.ModuleType("_quillspark_scorers"))
-    if not hasattr(store, name):
-        setattr(store, name, factory())
-    return getattr(store, name)
+    if getattr(store, name, (None,))[0] != version:
+        setattr(store, name, (version, factory()))
+    return getattr(store, name)[1]
 
 
 def pixel_hash(height, width, channels, data, side):

@@ -127,9 +127,20 @@ def test_draws(spark):
     assert min(sizes) < 16 and max(sizes) > 48
 
 
-def test_large_primes_are_primes():
-    for p in hashing.large_primes(4, above=10**6):
-        assert all(p % d for d in range(2, 1001))
+def test_strides_spread_over_the_pool(spark):
+    df = make(spark, [(f"p{i}", "", "train", 1 + (i == 0)) for i in range(3001)])
+    plan = sampling.draw_plan(df, {"train": 400}, "s").where("pool > 1").collect()
+    strides = sorted(r.stride for r in plan)
+    assert len(set(strides)) > 300 and strides[0] < 300 and strides[-1] > 2700
+    for r in plan[:40]:
+        places = [(r.start + i * r.stride + i // r.turn) % r.pool for i in range(r.pool)]
+        assert len(set(places)) == r.pool
+
+
+def test_any_sample_size_without_a_hot_task(spark):
+    df = make(spark, [(f"p{i}", "", "train" if i % 7 else "valid", None) for i in range(9000)])
+    out = sampling.sample_per_split(df, {"train": 5000, "valid": 2000}, "x")
+    assert sorted((r.split, r["count"]) for r in out.groupBy("split").count().collect()) == [("train", 5000), ("valid", 1286)]
 
 
 def test_samples_do_not_depend_on_partitions(spark):

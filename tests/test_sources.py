@@ -153,6 +153,30 @@ def test_status_and_rules(spark):
     got = [r.e for r in df.select(rules.url_error(F.col("u")).alias("e")).collect()]
     assert got == [None, None, "Invalid image URL", "Invalid image URL", "No image URL provided", "No image URL provided",
                    "Invalid image URL", None]
+    good = ["http://10.1.2.3/x.png", "http://[::1]/a.png", "https://[2001:db8::8a2e:370:7334]:8080/", "https://user:pw@example.org/a.png",
+            "https://münchen.de/a.png", "https://xn--mnchen-3ya.de/", "http://localhost:3000/a", "https://例え.テスト/a"]
+    bad = ["http://256.1.1.1/", "http://[::1", "http://[1:2:3]/", "http://a b.de/", "javascript://a.de", "http://-a.de/", "http://user@/x", "http://1.2.3/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "i int, u string")
+    got = [r.e is None for r in df.select("i", rules.url_error(F.col("u")).alias("e")).orderBy("i").collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
+def test_a_changed_model_answers_for_itself(spark):
+    from quillspark.operators import scoring
+
+    df = spark.createDataFrame([("a",), ("b",)], "img_path string").coalesce(1)
+    for answer in ("A", "B", "A"):
+        factory = lambda answer=answer: lambda values: [answer for _ in values]
+        out = scoring.score_batch(df, factory, "m", ["img_path"], "img_path", "string")
+        assert {r.answer for r in out.collect()} == {answer}
+
+
+def test_two_writers_do_not_share_a_version(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", "train", 1)], "img_path string, label string, split string, score int")
+    root = str(tmp_path / "registry")
+    assert tables.save_version(df, root) == 1
+    (tmp_path / "registry" / "v000002").mkdir()  # another writer at work
+    assert tables.save_version(df, root) == 3 and tables.versions(spark, root) == [1, 3]
 
 
 def test_size_limit_counts_text_and_first_rule_wins(spark):
