@@ -10,8 +10,8 @@ No list of all pairs of a group is made:
 * equal sets are one node;
 * in each list, members are first verified against its most typical member only, which joins families of near copies;
 * afterwards only pairs of different components are listed, one side being outside the largest component of the list.
-Pairs are held against two bounds that lose nothing before shingles move: sizes, and a 256-bit parity sketch, whose differing
-bits are at most the symmetric difference. Links are verified on exact sets of 64-bit hashes.
+Pairs are held against bounds that lose nothing before shingles move: sizes, a 256-bit parity sketch, whose differing
+bits are at most the symmetric difference, and then a parity sketch of about a bit per shingle. Links are verified on exact sets of 64-bit hashes.
 
 Defined results: a text without words, or null, has size 0 and links with nothing; fewer words than n are one shingle. A component is
 named by its smallest doc_id that is not null. Rows with equal ids are separate documents, repeated rows are copies. An empty table
@@ -34,7 +34,7 @@ VERIFY_COST = 10.0
 SKETCH = 256
 _SEEN = 100_000  # sets a task remembers, so that copies in one task are listed once
 
-_PROFILE = "kind int, doc_id bigint, mark bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bucket int, found bigint"
+_PROFILE = "kind int, doc_id bigint, mark bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sketch binary, bucket int, found bigint"
 _ENTRIES = "token bigint, node bigint, matches int, typical float"
 
 
@@ -61,6 +61,36 @@ def parity_sketches(sets, bounds):
     return np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64).reshape(-1, SKETCH // 64)
 
 
+def sized_sketches(sets, bounds):
+    """A parity sketch of at least a bit per shingle for each set, a power of two of bits: the longer folds onto the shorter."""
+    counts = np.diff(bounds)
+    bits = 1 << np.maximum(np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), 8)
+    ends = np.cumsum(bits)
+    first = np.repeat(ends - bits, counts)
+    at = first + ((sets >> np.uint64(20)) & np.repeat(bits - 1, counts).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [odd[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist())]
+
+
+def differing_bits(a, b):
+    """At most the symmetric difference of the sets of two sized sketches."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _close(percent):
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+            keep = [differing_bits(p, q) * (100 + percent) <= (i + j) * (100 - percent) for i, j, p, q in zip(n, m, x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 class _Seen(set):
     def fresh(self, nodes):
         """Which of the nodes are met for the first time (or forgotten since)."""
@@ -90,14 +120,14 @@ def _profiles(words):
                 found += np.bincount(_lower(_taken(sets, bounds, seen.fresh(nodes))[0]), minlength=BUCKETS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n, np.int32)), some.column(0), some.column(2), pa.array(np.diff(bounds)), pa.array(nodes),
-                     *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
+                     *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)), pa.array(sized_sketches(sets, bounds), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
                     names=_names(_PROFILE))
         bucket = np.flatnonzero(found)
         for i in range(0, len(bucket), 1 << 16):
             some = bucket[i : i + (1 << 16)]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(some), np.int32)), *[none] * 8, pa.array(some.astype(np.int32)), pa.array(found[some])], names=_names(_PROFILE))
+                [pa.array(np.ones(len(some), np.int32)), *[none] * 8, pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(found[some])], names=_names(_PROFILE))
 
     return run
 
@@ -185,6 +215,7 @@ class _Join:
         seen = written(self.rows.mapInArrow(_profiles(words), _PROFILE), "profiles")
         self.docs = seen.where("kind = 0").select("doc_id", "mark", "n", "node")
         self.nodes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
+        self.sketches = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         counts = seen.where("kind = 1").groupBy("bucket").agg(F.sum("found").alias("found")).toPandas()  # at most BUCKETS rows
         frequency = np.zeros(BUCKETS, np.int64)
         frequency[counts["bucket"]] = counts["found"]
@@ -192,7 +223,9 @@ class _Join:
 
     def verified(self, pairs):
         """Links (a, b) among candidate pairs, by exact sets."""
-        pairs = written(pairs, "candidates")
+        x, y = (self.sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}")) for c in "ab")
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+        pairs = written(pairs.mapInArrow(_close(self.percent), "a bigint, b bigint"), "candidates")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         wanted = self.spark.sparkContext.broadcast(_bitmap(wanted))
         sets = self.rows.select("doc_id", "text").mapInArrow(_chosen_sets(self.words, wanted), "node bigint, hashes array<bigint>")

@@ -112,3 +112,5 @@ def test_bounds_lose_nothing():
         sketch = ngram_join.parity_sketches(both, np.array([0, len(a), len(both)])).view(np.uint64)
         differing = sum(bin(int(x)).count("1") for x in sketch[0] ^ sketch[1])
         assert differing <= len(np.setxor1d(a, b))
+        x, y = ngram_join.sized_sketches(both, np.array([0, len(a), len(both)]))
+        assert ngram_join.differing_bits(x, y) <= len(np.setxor1d(a, b)) and ngram_join.differing_bits(x, x) == 0
