@@ -40,13 +40,15 @@ IDS_SCHEMA = DIGEST_SCHEMA + ", ids array<bigint>"
 def _selectors(widths, ends):
     """The selector that packs most of the ids from each place on; `ends`: the end of each place's block."""
     n = len(widths)
-    best = np.full(n, len(COUNTS) - 1)
-    places = np.arange(n)
+    widest = int(np.flatnonzero(WIDTHS >= ESCAPE_BITS)[0])  # fits everywhere, as escapes are 0 here
+    best = np.full(n, widest)
+    places, room = np.arange(n), ends - np.arange(n)
     # from wide to narrow: where the ids of a selector do not fit, those of a narrower one, being more, do not fit either
-    for k in range(len(COUNTS) - 2, -1, -1):
-        wide = np.append(np.flatnonzero(widths > WIDTHS[k]), n)
-        stop = np.minimum(wide[np.searchsorted(wide, places)], ends[places])
-        places = places[stop - places >= np.minimum(COUNTS[k], ends[places] - places)]
+    for k in range(widest - 1, -1, -1):
+        wide = np.flatnonzero(widths > WIDTHS[k])
+        stop = np.repeat(np.append(wide, n), np.diff(wide, prepend=-1, append=n))[:n]  # the next id that is too wide
+        fits = np.minimum(stop[places] - places, room) >= np.minimum(COUNTS[k], room)
+        places, room = places[fits], room[fits]
         if not len(places):
             break
         best[places] = k
@@ -80,7 +82,7 @@ def pack(ids):
     kinds = best[places]
     out = kinds.astype(np.uint64) << np.uint64(60)
     padded = np.append(ids, np.uint64(0))
-    for k in np.unique(kinds):
+    for k in np.flatnonzero(np.bincount(kinds)):
         rows = np.flatnonzero(kinds == k)
         at, stop = places[rows], ends[places[rows]]
         if not WIDTHS[k]:
@@ -103,7 +105,7 @@ def unpack(words, block_words, n_ids, escape_at, escapes):
     start = block * BLOCK + (ends - taken) - base[block] if len(words) else ends
     stop = np.minimum((block + 1) * BLOCK, n_ids)
     out = np.zeros(n_ids + 1, np.uint64)
-    for k in np.unique(kinds):
+    for k in np.flatnonzero(np.bincount(kinds)):
         rows = np.flatnonzero(kinds == k)
         mask = np.uint64((1 << int(WIDTHS[k])) - 1)
         if not WIDTHS[k]:

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memory of pieces already encoded.
 
-A text is cut at single spaces. Neither tokenizer joins what stands left and right of a space before a character that is not white
-space, so the ids of a text are those of its pieces in a row (tests compare with whole texts). Pieces repeat; each
+A text is cut at single spaces, or at any white space where the tokenizer drops it. Neither tokenizer joins what stands left and right of
+a space before a character that is not white space, so the ids of a text are those of its pieces in a row (tests compare with whole texts). Pieces repeat; each
 is encoded once while it is remembered. Many new pieces go through the tokenizer in one call, parted by its own special token.
 """
 
@@ -10,8 +10,9 @@ import os
 
 import numpy as np
 
-MOST_PIECES = 700_000
+MOST_PIECES = 1_200_000
 _PUNCTUATION = ".,;:!?"
+_NOT_WHITE = "\x1c\x1d\x1e\x1f"  # white space to str.split() alone
 _encoders = {}
 
 
@@ -93,7 +94,8 @@ class Encoder:
 
     def _coded(self, pieces):
         codes = self.codes
-        pieces[0] = (pieces[0],)
+        if self.spaced:
+            pieces[0] = (pieces[0],)  # the first piece has no space before it
         out = np.fromiter(map(codes.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         for i in np.flatnonzero(out < 0).tolist():
             piece = pieces[i]
@@ -108,7 +110,7 @@ class Encoder:
         """All ids of all texts, each text followed by `end_id`, and the n + 1 bounds between texts."""
         if len(self.codes) > MOST_PIECES:
             self._forget()
-        pieces = [t.split(" ") for t in texts]
+        pieces = [t.split(" ") if self.spaced or any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
         coded = [self._coded(p) for p in pieces]
         self._learn()
         if self.spaced:
