@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import fixed, schemas
 from quillspark.functions.text import data_uri, strip, tagged_prompt, untagged
@@ -12,9 +13,10 @@ def message(sender, value):
     return F.struct(F.lit(sender).alias("from"), value.alias("value"))
 
 
-def sft_records(samples, question=fixed.USER_PROMPT):
-    """One tagged question and its answer per sample."""
+def sft_records(samples, question=fixed.USER_PROMPT, keep=()):
+    """One tagged question and its answer per sample, and the columns `keep`."""
     return samples.select(
+        *keep,
         F.array(message("human", tagged_prompt(question)), message("gpt", F.col("label"))).alias("conversations"),
         F.array("img_path").alias("images"),
     )
@@ -35,22 +37,26 @@ def dpo_records(predictions, question=fixed.USER_PROMPT):
     )
 
 
-def write_records(records, path):
-    """JSON Lines, so that writing stays parallel."""
-    records.write.option("ignoreNullFields", "false").json(path)
+def write_records(records, path, *folders):
+    """JSON Lines, so that writing stays parallel; one dataset for each value of the columns `folders`."""
+    records.write.option("ignoreNullFields", "false").partitionBy(*folders).json(path)
 
 
-def read_records(spark, path, schema=schemas.SFT_SAMPLE, array_file=False):
-    """Chat records from JSON Lines, or from files that hold one JSON array each."""
+def read_records(spark, path, schema=schemas.SFT_SAMPLE, array_file=False, splits=False):
+    """Chat records from JSON Lines, or from files that hold one JSON array each; `splits`: from one folder per split."""
+    if splits:
+        schema = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
     return spark.read.schema(schema).option("multiLine", array_file).json(path)
 
 
+def answers(records):
+    """The columns img_path and label of SFT records."""
+    return [F.element_at("images", 1).alias("img_path"), F.element_at("conversations", 2)["value"].alias("label")]
+
+
 def read_back(records):
     """(img_path, label) of SFT records."""
-    return records.select(
-        F.element_at("images", 1).alias("img_path"),
-        F.element_at("conversations", 2)["value"].alias("label"),
-    )
+    return records.select(*answers(records))
 
 
 def first_messages(messages, keys, position, sender, value):
@@ -63,8 +69,8 @@ def first_messages(messages, keys, position, sender, value):
     return messages.where(F.col(position) < 2).groupBy(*keys).agg(at(0).alias("first"), at(1).alias("second"))
 
 
-def calibration_messages(first, second, image):
-    """Messages for calibration. Only the first message decides which form is taken."""
+def calibration_messages(first, second, image, root="/"):
+    """Messages for calibration. Only the first message decides which form is taken; image paths below `root` become absolute."""
 
     def part(kind, text=None, image_url=None):
         nothing = F.lit(None).cast("string")
@@ -78,7 +84,7 @@ def calibration_messages(first, second, image):
         return F.struct(role.alias("role"), F.array(*parts).alias("parts"))
 
     asked = (first["from"] == "human") & F.contains(first["value"], F.lit(fixed.IMAGE_TAG))
-    picture = F.concat(F.lit("file://"), image)
+    picture = F.concat(F.lit("file://"), F.when(image.startswith("/"), image).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), image)))
     return F.when(
         F.coalesce(asked, F.lit(False)),
         F.array(

@@ -23,24 +23,18 @@ def drop_equal(df, fingerprint, policy="drop_all"):
     "drop_all" removes every member of such a group, "keep_first" all but the smallest path. A row
     without a fingerprint is like no other and stays.
     """
-    missing = F.concat(F.lit("none:"), F.col("img_path"))
-    rows = df.withColumn("__fp", F.coalesce(F.col(fingerprint).cast("string"), missing, F.lit("none")))
-    if policy == "drop_all":
-        # a row's own hash is part of the join key, so copies spread over all tasks; a group of
-        # one holds exactly that hash, so equal hashes of other rows cannot match
-        own = F.xxhash64("img_path")
-        keep = (
-            rows.groupBy("split", "__fp")
-            .agg(F.count(F.lit(1)).alias("__n"), F.min(own).alias("__own"))
-            .where(F.col("__n") == 1)
-            .drop("__n")
-        )
-        on = ["split", "__fp", "__own"]
-        return rows.withColumn("__own", own).join(keep, on, "left_semi").select(*df.columns)
+    own = F.concat(F.lit("none:"), F.col("img_path"))
+    rows = df.withColumn("__fp", F.coalesce(F.col(fingerprint).cast("string"), own, F.lit("none")))
+    # groups with copies are few: that side is small, and the rows need not move
+    copied = rows.groupBy(F.col("split").alias("__split"), F.col("__fp").alias("__of")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("img_path").alias("__first")
+    ).where(F.col("__n") > 1)
+    same = rows["split"].eqNullSafe(copied["__split"]) & (rows["__fp"] == copied["__of"])
     if policy == "keep_first":
-        first = rows.groupBy("split", "__fp").agg(F.min("img_path").alias("img_path"))
-        return df.join(first.select(*KEY), KEY, "left_semi").select(*df.columns)
-    raise ValueError(f"unknown policy {policy!r}")
+        same &= ~rows["img_path"].eqNullSafe(copied["__first"])
+    elif policy != "drop_all":
+        raise ValueError(f"unknown policy {policy!r}")
+    return rows.join(copied, same, "left_anti").select(*df.columns)
 
 
 def shingle_rows(df, keys, text, width=3):
@@ -86,21 +80,34 @@ def band_rows(signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
     return signatures.select(*KEY, F.posexplode(F.array(*[key(b) for b in range(bands)])).alias("band", "band_key"))
 
 
+def bands_for(threshold, count=fixed.NUM_PERM):
+    """(bands, rows per band) of `count` values: the cut at which a pair of this likeness shares a band about half the time.
+
+    Among cuts whose rows divide the signature's use, the one whose (1 / bands) ** (1 / rows) is next to the threshold.
+    """
+    cuts = [(count // rows, rows) for rows in range(1, count + 1)]
+    return min(cuts, key=lambda c: (abs((1 / c[0]) ** (1 / c[1]) - threshold), -c[1]))
+
+
+def _shared_bands(signatures, bands, rows):
+    """Keys of rows that share a band with another row, with the number of such bands."""
+    keys = band_rows(signatures, bands, rows)
+    on = ["split", "band", "band_key"]
+    copied = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n")
+    return keys.join(copied, on, "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("__shared"))
+
+
 def near_duplicate_flags(df, signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
     """Per row: in how many bands another row of its split has the same key."""
-    alone = (
-        band_rows(signatures, bands, rows)
-        .groupBy("split", "band", "band_key")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("img_path").alias("img_path"))
-        .where(F.col("__n") == 1)
-        .groupBy(*KEY)
-        .agg(F.count(F.lit(1)).cast("int").alias("__alone"))
-    )
-    shared = F.lit(bands) - F.coalesce(F.col("__alone"), F.lit(0))
-    return df.join(alone, KEY, "left").withColumn("bands_shared", shared).drop("__alone")
+    shared = _shared_bands(signatures, bands, rows)
+    return df.join(shared, KEY, "left").withColumn("bands_shared", F.coalesce("__shared", F.lit(0))).drop("__shared")
 
 
-def drop_near(df, signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS):
-    """Drop every row that shares a band key with another row of its split."""
-    flagged = near_duplicate_flags(df, signatures, bands, rows)
-    return flagged.where(F.col("bands_shared") == 0).drop("bands_shared")
+def drop_near(df, signatures, bands=fixed.LSH_BANDS, rows=fixed.LSH_ROWS, threshold=None):
+    """Drop every row that shares a band key with another row of its split.
+
+    `threshold` chooses bands and rows for that likeness instead.
+    """
+    if threshold is not None:
+        bands, rows = bands_for(threshold)
+    return df.join(_shared_bands(signatures, bands, rows), KEY, "left_anti").select(*df.columns)

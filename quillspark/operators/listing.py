@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.rules import status
 from quillspark.functions.text import masked_key
-from quillspark.operators.ordered import number_rows, salted_membership, time_bucket
+from quillspark.operators.ordered import number_rows, time_bucket
 
 
 def session_rows(df, session_id, when, number=None, offset=0, ids=None):
@@ -40,9 +40,10 @@ def session_counts(df):
     return df.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def page_flags(df, shown):
-    """Whether a session has rows, and whether there are more than the `shown` first ones."""
-    return session_counts(df).select(
+def page_flags(df, sessions, shown):
+    """For each of `sessions`: whether it has rows, and whether there are more than the `shown` first ones."""
+    counts = sessions.select("session_id").distinct().join(session_counts(df), "session_id", "left")
+    return counts.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).select(
         "session_id",
         "n_rows",
         (F.col("n_rows") > 0).alias("present"),
@@ -64,12 +65,13 @@ def key_rows(keys):
     )
 
 
-def accepted_requests(requests, keys, row_id):
-    return salted_membership(requests, ["key"], keys, "left_semi", row_id)
+def accepted_requests(requests, keys):
+    """Requests whose key was granted. A hot key's requests are split by AQE: its side of the join is one row."""
+    return requests.join(keys.select("key").distinct(), "key", "left_semi")
 
 
-def rejected_requests(requests, keys, row_id):
-    return salted_membership(requests, ["key"], keys, "left_anti", row_id)
+def rejected_requests(requests, keys):
+    return requests.join(keys.select("key").distinct(), "key", "left_anti")
 
 
 def without_session(df, session_id):
@@ -82,8 +84,10 @@ def without_selected(df, selected):
     return df.join(selected.select("id", "session_id"), ["id", "session_id"], "left_anti")
 
 
-def oldest_first(df, when):
-    return df.orderBy(F.col(when).asc(), F.col("id").asc())
+def oldest_first(df, when, name="place"):
+    """Each row's place in its session, the oldest first; nothing is sorted across sessions."""
+    order = [F.col(when).asc(), F.col("id").asc()]
+    return number_rows(df, ["session_id"], order, time_bucket(F.col(when)), name)
 
 
 def latest_state(versions, keys, order, values):

@@ -67,8 +67,10 @@ def accuracy(df, logits, target, ks=(1, 5)):
     )
 
 
-def best_epoch(metrics, keys, metric, decreasing):
-    """Epoch with the best metric of each group; the earliest one wins a tie."""
+def best_epoch(metrics, keys, metric, decreasing=None):
+    """Epoch with the best metric of each group; the earliest one wins a tie. A loss is best when low, all else when high."""
+    if decreasing is None:
+        decreasing = metric == "loss"
     best = F.min(F.struct((F.col(metric) if decreasing else -F.col(metric)).alias("m"), F.col("epoch").alias("e")))
     value = F.col("__b.m") if decreasing else -F.col("__b.m")
     return (

@@ -130,15 +130,3 @@ def state_changes(df, keys, state, order, bucket):
         .where(F.col("__shown").isNull() | ~F.col("__shown.s").eqNullSafe(F.col(state)))
         .drop(*at, "__carried", "__previous", "__shown")
     )
-
-
-def salted_membership(df, keys, members, how, row_id, salts=16):
-    """left_semi / left_anti against `members` when one key may hold a large part of `df`.
-
-    Each row of `df` goes to one of `salts` copies of the distinct member keys.
-    """
-    copies = members.select(*keys).distinct().withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

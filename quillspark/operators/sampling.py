@@ -117,7 +117,12 @@ def concatenated(members, keys, ordinal):
         .select(
             *keys,
             F.size("__m").alias("n_members"),
-            F.concat(path_set_key(F.col("__m.img_path")), F.lit(".png")).alias("img_path"),
+            # the file lies in the folder of the first member
+            F.concat(
+                F.regexp_extract(F.element_at("__m", 1)["img_path"], "^(.*/)", 1),
+                path_set_key(F.col("__m.img_path")),
+                F.lit(".png"),
+            ).alias("img_path"),
             F.array_join(F.transform("__m", lambda m: F.coalesce(m["label"], F.lit(""))), "").alias("label"),
         )
     )

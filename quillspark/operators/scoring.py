@@ -41,6 +41,17 @@ def score_batch(df, factory, name, keys, value, result_type, output="answer", ba
     return df.select(*columns).mapInPandas(run, T.StructType(fields))
 
 
+def joined_answers(rows, answers, keys, output):
+    """`rows` with the answer to each, by key. A row without an answer, or with two, is an error: none is lost in silence."""
+
+    def wrong(what):
+        return F.raise_error(F.concat_ws(" ", F.lit(what), *[F.col(k).cast("string") for k in keys])).cast(answers.schema[output].dataType)
+
+    single = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(output).alias("__answer"))
+    value = F.when(F.col("__n") == 1, F.col("__answer")).when(F.col("__n") > 1, wrong("answered twice:")).otherwise(wrong("no answer:"))
+    return rows.join(single, keys, "left").withColumn(output, value).drop("__n", "__answer")
+
+
 def teacher_scores(registry, factory, name, sizes, seed, value="img_path"):
     """Answers of the teacher on a fixed number of rows per split; only class answers become scores."""
     subset = sample_per_split(registry, sizes, seed)

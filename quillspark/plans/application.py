@@ -183,10 +183,15 @@ def session_counts(spark, sf_dir):
 
 @query(
     "page_flags",
-    a.sql("SELECT session_id, count(*) AS n_rows, count(*) > 0 AS present, count(*) > 60 AS still_more FROM gens GROUP BY 1", "gens"),
+    a.sql(
+        """SELECT session_id, count(id) AS n_rows, count(id) > 0 AS present, count(id) > 60 AS still_more
+ FROM (SELECT 's'||c_custkey AS session_id FROM customer) LEFT JOIN gens USING (session_id) GROUP BY 1""",
+        "gens",
+    ),
 )
 def page_flags(spark, sf_dir):
-    return listing.page_flags(a.generations(spark, sf_dir), shown=60)
+    sessions = a.table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), F.col("c_custkey")).alias("session_id"))
+    return listing.page_flags(a.generations(spark, sf_dir), sessions, shown=60)
 
 
 @query(
@@ -212,7 +217,7 @@ def shown_keys(spark, sf_dir):
     a.sql("SELECT event_id FROM req WHERE key IN (SELECT key FROM keys)", "keys", "req"),
 )
 def key_semi(spark, sf_dir):
-    return listing.accepted_requests(a.requests(spark, sf_dir), a.api_keys(spark, sf_dir), F.col("event_id")).select("event_id")
+    return listing.accepted_requests(a.requests(spark, sf_dir), a.api_keys(spark, sf_dir)).select("event_id")
 
 
 @query(
@@ -220,7 +225,7 @@ def key_semi(spark, sf_dir):
     a.sql("SELECT event_id, key FROM req WHERE key NOT IN (SELECT key FROM keys)", "keys", "req"),
 )
 def key_anti(spark, sf_dir):
-    refused = listing.rejected_requests(a.requests(spark, sf_dir), a.api_keys(spark, sf_dir), F.col("event_id"))
+    refused = listing.rejected_requests(a.requests(spark, sf_dir), a.api_keys(spark, sf_dir))
     return refused.select("event_id", "key")
 
 
@@ -234,11 +239,15 @@ def delete_session(spark, sf_dir):
 
 @query(
     "delete_selected",
-    a.sql(f"SELECT id, session_id, {_when('request_at')} AS requested FROM gens WHERE NOT failed", "gens"),
+    a.sql(
+        f"""SELECT id, session_id, {_when('request_at')} AS requested,
+ row_number() OVER (PARTITION BY session_id ORDER BY request_at, id) AS place FROM gens WHERE NOT failed""",
+        "gens",
+    ),
 )
 def delete_selected(spark, sf_dir):
     kept = listing.without_selected(a.generations(spark, sf_dir), _wanted(spark, sf_dir))
-    return listing.oldest_first(kept, "request_at").select("id", "session_id", clock("request_at").alias("requested"))
+    return listing.oldest_first(kept, "request_at").select("id", "session_id", clock("request_at").alias("requested"), "place")
 
 
 @query(

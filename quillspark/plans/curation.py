@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark import fixed
+from quillspark import fixed, schemas
 from quillspark.functions import hashing, layout, rules, text, vectors
 from quillspark.operators import datasets, dedup, ordered, sampling, scoring
 from quillspark.operators import registry as reg
@@ -216,8 +216,12 @@ def near_dup_drop(spark, sf_dir):
 
 
 def curated(spark, sf_dir):
-    """The registry after merged scores and duplicate removal."""
-    merged = reg.merge_scores(fingerprinted(a.registry(spark, sf_dir, spread=True)), _second_opinion(spark, sf_dir))
+    """The registry after merged scores and duplicate removal.
+
+    Fingerprints are taken at the scan: who does not ask for labels moves keys alone.
+    """
+    scored = fingerprinted(a.samples(spark, sf_dir, spread=True)).join(a.scores(spark, sf_dir), "doc_id", "left")
+    merged = reg.merge_scores(scored, _second_opinion(spark, sf_dir))
     return dedup.drop_equal(merged, "phash")
 
 
@@ -293,7 +297,7 @@ def draw_members(spark, sf_dir):
 @query(
     "sft_draws",
     _curated_sql(
-        """SELECT split, score, draw, count(*) AS n_members, md5(string_agg(img_path, '' ORDER BY img_path))||'.png' AS img_path,
+        """SELECT split, score, draw, count(*) AS n_members, regexp_extract(arg_min(img_path, ordinal), '^(.*/)', 1)||md5(string_agg(img_path, '' ORDER BY img_path))||'.png' AS img_path,
  sum(length(label))::BIGINT AS label_chars, md5(string_agg(label, '' ORDER BY ordinal)) AS label_md5 FROM members GROUP BY 1, 2, 3""",
         _DRAWS,
     ),
@@ -311,6 +315,25 @@ def sft_draws(spark, sf_dir):
     )
 
 
+@query(
+    "sft_dataset",
+    _curated_sql(
+        f"""SELECT split, regexp_extract(arg_min(img_path, ordinal), '^(.*/)', 1)||md5(string_agg(img_path, '' ORDER BY img_path))||'.png' AS img_path,
+ '{fixed.IMAGE_TAG}{fixed.USER_PROMPT}' AS question, md5(string_agg(label, '' ORDER BY ordinal)) AS label_md5 FROM members GROUP BY split, score, draw""",
+        _DRAWS,
+    ),
+)
+def sft_dataset(spark, sf_dir):
+    """Draws as records, written per split and read back."""
+    combined = sampling.combined_samples(saved(spark, sf_dir), fixed.DRAWS_PER_SPLIT, _SEED)
+    path = scratch_folder(spark, "sft-draws")
+    datasets.write_records(datasets.sft_records(combined, keep=["split"]), path, "split")
+    records = datasets.read_records(spark, path, splits=True)
+    question = records.select(
+        "split", F.element_at("conversations", 1)["value"].alias("question"), *datasets.answers(records))
+    return question.select("split", "img_path", "question", F.md5("label").alias("label_md5"))
+
+
 @query(
     "draw_key",
     _curated_sql(
@@ -329,19 +352,20 @@ def draw_key(spark, sf_dir):
 
 @query(
     "concat_labels",
-    """SELECT p_brand AS brand, p_size AS size, count(*) AS n_members, string_agg(p_name, '' ORDER BY p_partkey) AS label
- FROM part GROUP BY 1, 2""",
+    """SELECT p_brand AS brand, p_size AS size, p_partkey // 1024 AS block, count(*) AS n_members, string_agg(p_name, '' ORDER BY p_partkey) AS label
+ FROM part GROUP BY 1, 2, 3""",
 )
 def concat_labels(spark, sf_dir):
     parts = a.table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("brand"),
         F.col("p_size").alias("size"),
+        F.floor(F.col("p_partkey") / 1024).alias("block"),  # bounds a group, however large the table
         F.col("p_partkey").alias("ordinal"),
         F.col("p_partkey").cast("string").alias("img_path"),
         F.col("p_name").alias("label"),
     )
-    joined = sampling.concatenated(parts, ["brand", "size"], "ordinal")
-    return joined.select("brand", "size", F.col("n_members").cast("bigint"), "label")
+    joined = sampling.concatenated(parts, ["brand", "size", "block"], "ordinal")
+    return joined.select("brand", "size", "block", F.col("n_members").cast("bigint"), "label")
 
 
 @query(
@@ -463,6 +487,42 @@ def dpo_pairs(spark, sf_dir):
     )
 
 
+def rule_writer():
+    """Answers to labels: right, one letter changed, blanks around, or a piece lost."""
+    import hashlib
+
+    def answer(label):
+        kind = int(hashlib.md5(label.encode()).hexdigest()[:8], 16) % 4
+        return (label, label.replace("e", "a"), f" \n{label}\t ", label.replace("on", ""))[kind]
+
+    return lambda labels: [answer(x or "") for x in labels]
+
+
+_WRITTEN = """SELECT *, CASE ('0x'||substr(md5(label),1,8))::BIGINT % 4 WHEN 0 THEN label WHEN 1 THEN replace(label, 'e', 'a')
+ WHEN 2 THEN ' '||chr(10)||label||chr(9)||' ' ELSE replace(label, 'on', '') END AS pred FROM reg WHERE split = 'train'"""
+
+
+@query(
+    "dpo_dataset",
+    a.sql(f"""SELECT img_path AS image, '{_QUESTION}' AS question, md5(label) AS chosen_md5, md5({_STRIPPED}) AS rejected_md5
+ FROM ({_WRITTEN}) WHERE label <> {_STRIPPED}""", "reg"),
+)
+def dpo_dataset(spark, sf_dir):
+    """SFT records of the training split -> answers of a model -> wrong ones as preference records, written and read back."""
+    path, out = scratch_folder(spark, "sft-train"), scratch_folder(spark, "dpo")
+    datasets.write_records(datasets.sft_records(a.samples(spark, sf_dir, spread=True), keep=["split"]), path, "split")
+    train = datasets.read_back(reg.split_rows(datasets.read_records(spark, path, splits=True), "train"))
+    given = scoring.score_batch(train, rule_writer, "rule_writer", ["img_path"], "label", T.StringType(), "pred")
+    pairs = scoring.joined_answers(train, given, ["img_path"], "pred")
+    datasets.write_records(datasets.dpo_records(pairs), out)
+    return datasets.read_records(spark, out, schemas.DPO_SAMPLE).select(
+        F.col("images")[0].alias("image"),
+        F.col("conversations")[0]["value"].alias("question"),
+        F.md5("chosen.value").alias("chosen_md5"),
+        F.md5("rejected.value").alias("rejected_md5"),
+    )
+
+
 @query(
     "manifest_projection",
     a.sql(f"SELECT '{_QUESTION}' AS opening, label AS reply, [img_path][1] AS picture FROM reg", "reg"),
@@ -498,7 +558,7 @@ def chat_records(spark, sf_dir):
 
 _CALIBRATION = """SELECT conv_id, CASE WHEN tagged THEN 2 ELSE 1 END AS n_messages,
  CASE WHEN tagged THEN 'user' ELSE sender END AS first_role,
- CASE WHEN tagged THEN 'file://img/'||conv_id||'.png' END AS image,
+ CASE WHEN tagged THEN 'file:///img/'||conv_id||'.png' END AS image,
  CASE WHEN tagged THEN trim(replace(value, '<image>', ''), chr(32)||chr(9)||chr(10)||chr(13)) ELSE value END AS first_text,
  CASE WHEN tagged THEN second END AS reply FROM
  (SELECT f.*, s.value AS second, f.sender = 'human' AND contains(f.value, '<image>') AS tagged FROM
@@ -662,6 +722,19 @@ def image_hashes(spark, sf_dir):
     return pictures.select("page_id", images.perceptual_hash(F.col("image")).alias("phash"))
 
 
+@query(
+    "ink_registry",
+    """SELECT 'ink/'||s||'/'||vec_id||'.png' AS img_path, '\\alpha_{'||label||'}' AS label, s AS split
+ FROM (SELECT *, ['train', 'valid', 'test', 'other'][(vec_id % 4 + 1)::INTEGER] AS s FROM embeddings) WHERE s <> 'other'""",
+)
+def ink_registry(spark, sf_dir):
+    """Registry rows of parsed ink files; folders other than the splits do not count."""
+    split = F.element_at(F.array(*(F.lit(x) for x in (*fixed.SPLITS, "other"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    texts = a.ink_texts(spark, sf_dir).withColumn("split", split)
+    texts = texts.withColumn("path", F.concat(F.lit("ink/"), F.col("split"), F.lit("/"), F.col("vec_id"), F.lit(".inkml")))
+    return ink.registry_rows(ink.parse_ink(texts, "inkml"))
+
+
 @query(
     "path_parts",
     r"""SELECT doc_id, 'data.d/'||source||'/'||doc_id||'.v1.InkML' AS path, 'data.d/'||source AS parent,

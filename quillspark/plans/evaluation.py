@@ -1,10 +1,11 @@
 """Token, error-rate, accuracy and metric queries, each with its SQL check."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import fixed
 from quillspark.functions import text, vectors
-from quillspark.operators import metrics
+from quillspark.operators import datasets, metrics, sampling, scoring
 from quillspark.plans import adapters as a
 from quillspark.session import scratch_folder
 
@@ -83,6 +84,34 @@ def cer_documents(spark, sf_dir):
     return _rates(metrics.pair_edits(a.document_predictions(spark, sf_dir, spread=True)))
 
 
+def rule_reader():
+    """Answers to labels: every e becomes a character that no label holds, but for labels with commands."""
+    return lambda labels: [x if x is None or "\\" in x else x.replace("e", "\x07") for x in labels]
+
+
+@query(
+    "eval_cer",
+    a.sql(
+        f"""SELECT split, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS ref_tokens, round(sum(e) / sum(n), 6) AS error_rate FROM
+ (SELECT split, CASE WHEN contains(label, chr(92)) THEN 0 ELSE length(label) - length(replace(label, 'e', '')) END AS e,
+  len(regexp_extract_all(label, '{_RX}')) AS n FROM
+  (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {a.h("'eval'", "img_path")}, img_path) AS r FROM reg) WHERE r <= {fixed.EVAL_SAMPLES})
+ GROUP BY split""",
+        "reg",
+    ),
+)
+def eval_cer(spark, sf_dir):
+    """Read the dataset -> a sample per split -> answers of a model -> pooled error rate. A changed token counts one edit."""
+    path = scratch_folder(spark, "sft-eval")
+    datasets.write_records(datasets.sft_records(a.samples(spark, sf_dir), keep=["split"]), path, "split")
+    records = datasets.read_records(spark, path, splits=True)
+    rows = records.select("split", *datasets.answers(records))
+    chosen = sampling.sample_per_split(rows, dict.fromkeys(fixed.SPLITS, fixed.EVAL_SAMPLES), "eval")
+    keys = ["split", "img_path"]
+    given = scoring.score_batch(chosen, rule_reader, "rule_reader", keys, "label", T.StringType(), "pred")
+    return _rates(metrics.pair_edits(scoring.joined_answers(chosen, given, keys, "pred")))
+
+
 @query("wer_by_split")
 def wer_by_split(spark, sf_dir):
     return _rates(metrics.pair_edits(a.chat_predictions(spark, sf_dir), tokenizer=fixed.WORD_TOKEN))
@@ -184,7 +213,7 @@ def best_epoch(spark, sf_dir):
     summary = scratch_folder(spark, "summary")
     _epochs(a.lines_as_batches(spark, sf_dir)).write.mode("append").parquet(summary)
     rows = spark.read.schema("phase string, epoch int, loss double, lr double").parquet(summary)
-    return metrics.best_epoch(rows, ["phase"], "loss", decreasing=True)
+    return metrics.best_epoch(rows, ["phase"], "loss")
 
 
 @query(
@@ -196,4 +225,4 @@ def best_epoch(spark, sf_dir):
     ),
 )
 def best_epoch_increasing(spark, sf_dir):
-    return metrics.best_epoch(_epochs(a.lines_as_batches(spark, sf_dir)), ["phase"], "lr", decreasing=False)
+    return metrics.best_epoch(_epochs(a.lines_as_batches(spark, sf_dir)), ["phase"], "lr")

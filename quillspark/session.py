@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_made = []
+
+
 def build_session(master=None, app="quillspark", **conf):
     """Session with the settings the operators assume: UTC, AQE with skew handling, Arrow."""
     builder = SparkSession.builder.appName(app)
@@ -39,8 +42,17 @@ def scratch_root(spark):
 
 
 def scratch_folder(spark, name):
-    """A path below the shared folder that no other run uses."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses. `clear_scratch` removes it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark):
+    """Remove all scratch folders of this process. For their owner, when no result that reads them is needed any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df, name, partition_by=()):

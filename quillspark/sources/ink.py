@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillspark import schemas
-from quillspark.functions.text import bind
+from quillspark import fixed, schemas
+from quillspark.functions.text import bind, rendered_path
 
 
 def _columns(ink):
@@ -62,6 +62,12 @@ def parse_ink(df, column):
     )
 
 
+def registry_rows(inks, splits=fixed.SPLITS):
+    """(img_path, label, split) of ink files in the folders of known splits: the path is that of the drawn picture."""
+    known = inks.where(F.col("split").isin(*splits))
+    return known.select(rendered_path(F.col("path")).alias("img_path"), "label", "split")
+
+
 def points(ink, keys):
     """One row per point, with its stroke and its place in it, both from 0."""
     strokes = ink.select(*keys, F.posexplode("strokes").alias("stroke", "__points"))

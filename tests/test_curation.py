@@ -193,7 +193,7 @@ def test_calibration_looks_at_the_first_message_only(spark):
     out = {r.id: r.m for r in pairs.select(
         "id", datasets.calibration_messages(F.col("first"), F.col("second"), F.lit("i.png")).alias("m")).collect()}
     assert [m.role for m in out[1]] == ["user", "assistant"]
-    assert out[1][0].parts[0].image == "file://i.png" and out[1][0].parts[1].text == "what?"
+    assert out[1][0].parts[0].image == "file:///i.png" and out[1][0].parts[1].text == "what?"
     assert out[1][1].parts[0].text == "this"
     assert [(m.role, m.parts[0].text) for m in out[2]] == [("system", "s")]
     assert [(m.role, m.parts[0].text) for m in out[3]] == [("human", "no tag")]
