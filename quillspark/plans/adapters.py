@@ -60,6 +60,28 @@ def document_predictions(spark, sf_dir, spread=False):
     return rows.withColumn("pred", _predicted(F.col("label"), hash32("pred", F.col("doc_id")) % 4))
 
 
+def document_changes(spark, sf_dir, spread=False):
+    """Documents with answers whose edit distance is known: none, a character that no text holds for each e, blanks
+    around, or a piece lost. Texts with commands are answered right."""
+    rows, label = samples(spark, sf_dir, spread), F.col("label")
+    kind = F.when(F.contains(label, F.lit("\\")), 0).otherwise(hash32("pred", F.col("doc_id")) % 4)
+    changed = (
+        F.when(kind == 0, label)
+        .when(kind == 1, F.replace(label, F.lit("e"), F.lit("\x07")))
+        .when(kind == 2, F.concat(F.lit(" \n"), label, F.lit("\t ")))
+        .otherwise(F.replace(label, F.lit("on"), F.lit("")))
+    )
+    return rows.withColumn("pred", changed)
+
+
+def chat_changes(spark, sf_dir):
+    """Conversation turns with up to three words added before and behind."""
+    rows, label = chat_predictions(spark, sf_dir), F.col("label")
+    kind = hash32("pred", F.col("img_path")) % 4
+    before = F.when(kind % 2 == 1, "\x07 ").otherwise("")
+    return rows.withColumn("pred", F.concat(before, label, F.when(kind >= 2, " \x07 \x07").otherwise("")))
+
+
 def chat_predictions(spark, sf_dir):
     """Conversation turns as LaTeX-flavoured labels with predictions."""
     turns = table(spark, sf_dir, "conversations", spread_by="conv_id")
