@@ -6,7 +6,7 @@ step goes back on it, so that the classifier cannot overfit the positives hidden
 
 Features are hashes of lower-case words and of their first four to six bytes, present or not, in 2^20 places. The features kept are those that tell positives from
 unlabelled texts beyond chance on the training texts. Training takes bounded samples, chosen by a hash of the id: at most `MOST_POSITIVE`
-and about `MOST_UNLABELLED` texts, as sparse features; scores are computed for every row by the workers.
+and about `MOST_UNLABELLED` texts, of which the driver gets the kept features; scores are computed for every row by the workers.
 
 Defined results: null and empty texts are scored by the bias alone. A row without an id is scored, but never trained on. Without positives (an empty
 table of labels) every score is the prior 0. Equal texts have equal scores. An empty table gives an empty result. Ids that are labelled both
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import arrays
 from quillspark.llm.columns import row_of, unpacked, whole_text
+from quillspark.session import written
 
 PLACES = 1 << 20
 MOST_POSITIVE = 4_000
-MOST_UNLABELLED = 16_000
+MOST_UNLABELLED = 12_000
 MOST_FEATURES = 4_096
 SIGNIFICANT = 6.0
 STEPS = 800
@@ -96,28 +97,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums[bounds[1:]] - sums[bounds[:-1]] + self.bias, -40, 40)))
 
 
-def kept_features(positive, places, bounds):
-    """Places that positives hold more or less often than unlabelled texts, beyond chance; the most significant first."""
-    doc = np.repeat(np.arange(len(positive)), np.diff(bounds))
-    counts = [np.bincount(places[positive[doc] == k], minlength=PLACES) for k in (1, 0)]
-    n, m = positive.sum(), (~positive).sum()
-    p, u = (counts[0] + 0.5) / (n + 1), (counts[1] + 0.5) / (m + 1)
-    mean = (counts[0] + counts[1] + 1) / (n + m + 2)
-    z = (p - u) / np.sqrt(mean * (1 - mean) * (1 / n + 1 / m))
-    best = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    return best[np.abs(z[best]) > SIGNIFICANT]
-
-
-def fit(positive, places, bounds, prior, steps=STEPS, rate=0.05, decay=5e-4):
+def kept_features(sample):
+    """Places that positives hold more or less often than unlabelled texts, beyond chance; at most MOST_FEATURES reach the driver."""
+    sizes = sample.agg(F.sum("positive"), F.count("*")).first()
+    n = sizes[0] or 0
+    m = sizes[1] - n
+    if not n or not m:
+        return np.zeros(0, np.int64)
+    counts = sample.select("positive", F.explode("places").alias("place")).groupBy("place")
+    counts = counts.agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
+    mean = (F.col("p") + F.col("u") + 1) / (n + m + 2)
+    apart = (F.col("p") + 0.5) / (n + 1) - (F.col("u") + 0.5) / (m + 1)
+    z = F.abs(apart) / F.sqrt(mean * (1 - mean) * (1 / n + 1 / m))
+    best = counts.select("place", z.alias("z")).where(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "place").limit(MOST_FEATURES)
+    return np.array([r.place for r in best.collect()], np.int64)
+
+
+def _narrowed(kept):
+    """The sampled texts with the kept places alone."""
+
+    def run(batches):
+        held = np.zeros(PLACES, bool)
+        held[kept] = True
+        for batch in batches:
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            places = lists.values.to_numpy()[bounds[0] : bounds[-1]]
+            inside = np.flatnonzero(held[places])
+            cut = np.searchsorted(inside, bounds - bounds[0]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(places[inside]))], names=["positive", "places"])
+
+    return run
+
+
+def fit(positive, places, bounds, kept, prior, steps=STEPS, rate=0.05, decay=5e-4):
     """A model by gradient steps (Adam) on the non-negative risk, over all sampled texts at once."""
     positive = np.asarray(positive, bool)
     weights = np.zeros(PLACES, np.float32)
     if not positive.any() or positive.all():
         return Model(weights, -40.0)
-    kept = kept_features(positive, places, bounds)
-    column = np.full(PLACES, -1)
+    column = np.full(PLACES, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    doc = np.repeat(np.arange(len(positive)), np.diff(bounds))
+    doc = np.repeat(np.arange(len(positive), dtype=np.int32), np.diff(bounds))
     inside = column[places] >= 0
     doc, column = doc[inside], column[places[inside]]
     share_p, share_u = positive / positive.sum(), ~positive / (~positive).sum()
@@ -145,11 +166,14 @@ def class_prior(labels):
 
 
 def trained(docs, labels):
-    sample = training_texts(docs, labels).toArrow()  # bounded by MOST_POSITIVE + about MOST_UNLABELLED rows
-    lists = sample.column("places").combine_chunks()
+    """A model from the bounded samples. Features are counted and chosen by Spark; the driver gets the chosen ones of each text."""
+    sample = written(training_texts(docs, labels), "training")
+    kept = kept_features(sample)
+    rows = sample.mapInArrow(_narrowed(kept), "positive int, places array<int>").orderBy("positive", "places").toArrow()
+    lists = rows.column("places").combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
     places = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] if len(lists) else np.zeros(0, np.int32)
-    return fit(sample.column("positive").to_numpy().astype(bool), places, bounds - bounds[0], class_prior(labels))
+    return fit(rows.column("positive").to_numpy().astype(bool), places, bounds - bounds[0], kept, class_prior(labels))
 
 
 def scored(rows, model, text):

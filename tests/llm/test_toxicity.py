@@ -51,6 +51,6 @@ def test_risk_does_not_fall_below_zero():
             rows[i] = np.r_[rows[i], 7777]
     places = np.concatenate([np.unique(r) for r in rows])
     bounds = np.r_[0, np.cumsum([len(np.unique(r)) for r in rows])]
-    model = toxicity.fit(positive, places, bounds, 0.1)
+    model = toxicity.fit(positive, places, bounds, np.array([7777, 1, 2, 3]), 0.1)
     marked = model.weights[7777] + model.bias
     assert marked > 0 > model.bias
