@@ -57,6 +57,8 @@ def _keyed(docs, keep):
     rows = docs.select(
         row_of(keep),
         F.col("source").alias("source"),
+        # the source as a key without nulls: the join and the window below share one shuffle
+        F.when(F.col("source").isNull(), "none").otherwise(F.concat(F.lit("of "), F.col("source"))).alias("stream"),
         F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id"))).alias("order"),
         F.xxhash64(whole_text()).alias("tie"),
@@ -95,15 +97,15 @@ def mix_plan(docs, knots=None, max_passes=MAX_PASSES, keep=("doc_id",)):
     """row (a struct of the columns `keep`), size, source_size, target, taken, and `visits`: (pass, words, position) of each time a document is read."""
     knots = knots or schedules()
     rows = _keyed(docs, keep)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = rows.groupBy("source", "stream", "bucket").agg(F.sum("size").alias("words"))
     sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), [integral(k) for k in knots], max_passes)
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("stream").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     sums = sums.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(
-        F.col("b.source").alias("of"), F.col("bucket").alias("slot"), "base", "class", "source_size", "target"
+        "stream", "bucket", "base", "class", "source_size", "target"
     )
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot")))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, ["stream", "bucket"])
+    inside = Window.partitionBy("stream", "bucket").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("passes", passes)
