@@ -16,6 +16,7 @@ table gives an empty result. Other columns are not read.
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -243,7 +244,7 @@ def _chunks(suffixes, sieve, copied):
         starts = np.concatenate([t[2] + o for t, o in zip(texts, offsets)])
         ends = np.concatenate([t[3] + o for t, o in zip(texts, offsets)])
         return pa.RecordBatch.from_pydict({
-            "chunk": [uuid.uuid4().hex], "digests": pa.array([[t[1] for t in texts]], pa.list_(pa.binary())), "data": pa.array([data.tobytes()], pa.binary()),
+            "chunk": [uuid.uuid4().hex], "digests": pa.array([[t[1] for t in texts]], pa.list_(pa.binary())), "data": pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()),
             "offsets": pa.array([offsets], pa.list_(pa.int64())), "starts": pa.array([starts], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())),
         })
 
@@ -268,7 +269,7 @@ def _chunks(suffixes, sieve, copied):
 
 
 def _opened(suffixes, row):
-    data, starts, ends = np.frombuffer(row["data"], np.uint8), np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)
+    data, starts, ends = np.frombuffer(zlib.decompress(row["data"]), np.uint8), np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)
     return data, suffixes.hashes(arrays.prefix_sums(data), starts, ends)
 
 
