@@ -27,7 +27,8 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the mixed documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+    # the executors have run the other stages before: a small memory of pieces
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, most_pieces=200_000)
 
 
 STAGES = [

@@ -22,6 +22,7 @@ from quillspark.session import written
 
 WINDOW = 1024
 GROUP = 50_000
+MOST_PIECES = 500_000  # of text, remembered by a worker
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, place bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -76,9 +77,9 @@ def best_fit(lengths, window=WINDOW):
     return windows, offsets
 
 
-def _cut(path, end_id, window):
+def _cut(path, end_id, window, most_pieces):
     def run(batches):
-        encoder, place = tokens.encoder(path, True), TaskContext.get().partitionId() << 40
+        encoder, place = tokens.encoder(path, True, most_pieces), TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in arrays.slices(batch):
                 ids, bounds = encoder.encode(some.column(1).to_pylist(), end_id)
@@ -111,15 +112,15 @@ def _packed(window):
     return run
 
 
-def pieces(docs, path, end_id, window=WINDOW):
+def pieces(docs, path, end_id, window=WINDOW, most_pieces=MOST_PIECES):
     """Full windows and the rest of each document: doc_id, start, length, ids_crc32, doc_tokens, place (a number of its own)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(_cut(path, end_id, window), PIECES)
+    return rows.mapInArrow(_cut(path, end_id, window, most_pieces), PIECES)
 
 
-def pack(docs, path, end_id, window=WINDOW, group=GROUP):
-    """All pieces with sequence_id and offset. Sequence ids are even for full windows, odd for packed ones."""
-    cut = written(pieces(docs, path, end_id, window), "pieces")
+def pack(docs, path, end_id, window=WINDOW, group=GROUP, most_pieces=MOST_PIECES):
+    """All pieces with sequence_id and offset. `most_pieces` bounds what a worker remembers of the tokenizer's answers. Sequence ids are even for full windows, odd for packed ones."""
+    cut = written(pieces(docs, path, end_id, window, most_pieces), "pieces")
     short = cut.where(F.col("length") < window)
     groups = short.count() // group + 1
     short = short.repartition(groups, "place").sortWithinPartitions(F.desc("length"), "place")

@@ -29,6 +29,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE_BITS = 20
 BLOCK = 512
+SEGMENT_BYTES = 1 << 21
 FILE_SCHEMA = (
     "shard int, segment int, first bigint, n_ids bigint, words binary, block_words binary, "
     "escape_at binary, escape_ids binary, doc_ids array<bigint>, doc_lengths array<bigint>"
@@ -131,7 +132,7 @@ def _segments(path, end_id):
     def run(batches):
         encoder, shard, segment, first = tokens.encoder(path, False), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for some in arrays.slices(batch):
+            for some in arrays.slices(batch, most=SEGMENT_BYTES):
                 ids, bounds = encoder.encode(some.column(1).to_pylist(), end_id)
                 words, block_words, at, escapes = pack(ids)
                 row = {

@@ -10,26 +10,26 @@ import os
 
 import numpy as np
 
-MOST_PIECES = 1_200_000
+MOST_PIECES = 1_200_000  # some 300 MB of a worker
 _PUNCTUATION = ".,;:!?"
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"  # white space to str.split() alone
 _encoders = {}
 
 
-def encoder(path, spaced):
-    """The worker's encoder for a tokenizer file. spaced: a leading space is part of a piece (byte-level BPE)."""
-    if (path, spaced) not in _encoders:
+def encoder(path, spaced, most=MOST_PIECES):
+    """The worker's encoder for a tokenizer file. spaced: a leading space is part of a piece (byte-level BPE); most: pieces to remember."""
+    if (path, spaced, most) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+        _encoders[path, spaced, most] = Encoder(path, spaced, most)
+    return _encoders[path, spaced, most]
 
 
 class Encoder:
-    def __init__(self, path, spaced):
+    def __init__(self, path, spaced, most=MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.parted, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        self.plain, self.parted, self.spaced, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced, most
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
         special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
         self.mark = sorted(special)[0]
@@ -108,7 +108,7 @@ class Encoder:
 
     def encode(self, texts, end_id):
         """All ids of all texts, each text followed by `end_id`, and the n + 1 bounds between texts."""
-        if len(self.codes) > MOST_PIECES:
+        if len(self.codes) > self.most:
             self._forget()
         pieces = [t.split(" ") if self.spaced or any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
         coded = [self._coded(p) for p in pieces]
