@@ -7,7 +7,7 @@ The method is information-theoretic sanitisation. Every distinct base value is a
 `CONTEXT` code points of an entity are its context; over the corpus, p(t) is the share of documents that hold a term, p(e) that of documents that hold an entity,
 p(t, e) that of documents with the term in the entity's context. How much of an entity a term gives away is
 pmi(t; e) / ic(e), with pmi = log(p(t, e) / (p(t) p(e))) and ic = -log p(e): 1 when the term occurs with that entity alone. A term seen with an
-entity in `SUPPORT` documents or more and above `DISCLOSES` becomes a span: `term`, to be generalised, or `name`, to be removed, when
+entity in `SUPPORT` different texts or more (counted exactly, texts by a 64-bit hash) and above `DISCLOSES` becomes a span: `term`, to be generalised, or `name`, to be removed, when
 it is above `REMOVES`. DataFrame functions only. Contexts are pre-aggregated per (term, entity) before they meet; the corpus-wide counts of terms are one aggregate.
 
 Defined results: a null text counts as empty. Rows with equal ids, null included, and repeated rows are documents of their own. A context word that touches a
@@ -130,8 +130,8 @@ def _contexts(base):
 def disclosures(contexts, base, docs):
     """entity, term, disclosure for terms with enough support: pmi(t; e) / ic(e)."""
     n_docs = docs.count()
-    together = contexts.select("rid", "copy", "entity", "term").distinct().groupBy("entity", "term")
-    together = together.agg(F.count("*").alias("both"), F.approx_count_distinct("copy").alias("texts")).where(F.col("texts") >= SUPPORT)
+    together = contexts.select("rid", "copy", "entity", "term").distinct().groupBy("entity", "term", "copy").agg(F.count("*").alias("docs"))
+    together = together.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     entities = base.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(_TERM), F.lit(0))))
     terms = docs.select(words.alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= SUPPORT)

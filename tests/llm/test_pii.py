@@ -139,3 +139,11 @@ def test_sanitised(table):
     got = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == docs.columns and got[0] == "write to  at [EMAIL] now" and got[1] == "ask  [EMAIL] please"
     assert got[2] is None and got[3] == "[IP] and [PHONE]" and got[4] == "lorem 0 ipsum"
+
+
+def test_every_pair_of_two_texts_counts(table):
+    pairs = 1500
+    names = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(pairs)]
+    texts = [f"{word} {name} m{i}@mail.example" for i, name in enumerate(names) for word in ("ask", "tell")]
+    out = {r.doc_id: r.spans for r in pii.summary(table(list(enumerate(texts)))).collect()}
+    assert [i for i, t in enumerate(texts) if f"name:{t.index(' ') + 1}:{t.index(' ') + 6}" not in out[i].split(",")] == []
