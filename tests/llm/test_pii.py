@@ -147,3 +147,57 @@ def test_every_pair_of_two_texts_counts(table):
     texts = [f"{word} {name} m{i}@mail.example" for i, name in enumerate(names) for word in ("ask", "tell")]
     out = {r.doc_id: r.spans for r in pii.summary(table(list(enumerate(texts)))).collect()}
     assert [i for i, t in enumerate(texts) if f"name:{t.index(' ') + 1}:{t.index(' ') + 6}" not in out[i].split(",")] == []
+
+
+def whole_disclosures(texts):
+    """As plain_disclosures, by whole texts: all places of a term in every text that holds the entity."""
+    base = [plain_base(t) for t in texts]
+    words = [{w.lower() for w in re.findall(pii._TERM, t)} for t in texts]
+    entities = [{(k, t[a:b].lower()) for a, k, b in spans} for t, spans in zip(texts, base)]
+    places = []
+    for t, spans in zip(texts, base):
+        found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(pii._TERM, t) if len(m[0]) >= pii.TERM_CHARS]
+        places.append([(w, x, y) for w, x, y in found if not any(a < y and x < b for a, _, b in spans)])
+    both, n, out = {}, len(texts), []
+    for i in range(n):
+        for e in entities[i]:
+            for w in {w for w, _, _ in places[i]}:
+                both.setdefault((e, w), set()).add(i)
+    for i in range(n):
+        best = {}
+        for w, x, y in places[i]:
+            for e in entities[i]:
+                docs, df, de = both[e, w], sum(w in ws for ws in words), sum(e in es for es in entities)
+                if len({texts[j] for j in docs}) >= pii.SUPPORT and de < n:
+                    best[x, y] = max(best.get((x, y), 0), math.log(n * len(docs) / (df * de)) / math.log(n / de))
+        out.append(sorted({*base[i], *((x, 5 if v >= pii.REMOVES else 4, y) for (x, y), v in best.items() if v >= pii.DISCLOSES)}))
+    return out
+
+
+def test_terms_far_from_the_entity(table):
+    far = "lorem ipsum dolor sit amet " * 8
+    texts = [f"filler{i} lorem ipsum dolor sit amet text{i % 7} words" for i in range(40)] + ["Quorra alone", ""]
+    texts += [f"Quorra said {far} {k} +12 34 mail jane@mail.example or jane@mail.example, {far} and Quorra, QUORRA again {'é' * k}ea@b.cd" for k in range(3)]
+    texts += [texts[-1], f"{far} Zebulon {far} call +49 30 1234567 {far} Zebulon", f"Zebulon {far}, +49 30 1234567", f"{far} note jane@mail.example"]
+    out = {r.doc_id: r.spans for r in pii.summary(table(list(enumerate(texts)))).collect()}
+    want = whole_disclosures(texts)
+    assert [out[i] for i in range(len(texts))] == [listed(w) for w in want]
+    found = [[texts[i][a:b] for a, k, b in w if k >= 4] for i, w in enumerate(want)]
+    assert found[42].count("Quorra") == 2 and "QUORRA" in found[42] and found[46].count("Zebulon") == 2 and found[40] == [] and "lorem" not in found[42]
+
+
+def test_random_terms(table):
+    import random
+
+    rng, texts = random.Random(5), []
+    names, far = [f"n{'abcdefgh'[i]}me" for i in range(8)], ["so", "lorem", "ipsum", "+12 34", "a@b", "É"]
+    for i in range(120):
+        parts = rng.choices(far, k=rng.randrange(30))
+        for j in rng.sample(range(8), rng.choice([0, 0, 1, 1, 2])):
+            parts += [f"u{j}@b.cd", "+1 555 010 99990"][: 1 + (j == 0)] + [names[j]] * rng.randrange(3) + rng.choices(names, k=rng.random() < 0.1)
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[:10]
+    out = {r.doc_id: r.spans for r in pii.summary(table(list(enumerate(texts)))).collect()}
+    want = whole_disclosures(texts)
+    assert [out[i] for i in range(len(texts))] == [listed(w) for w in want] and sum(k >= 4 for w in want for _, k, _ in w) > 20
