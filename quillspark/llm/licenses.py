@@ -2,9 +2,11 @@
 
 The templates (phrases and notices) become one suffix automaton over their words. A file's words stream through it: at each word it
 knows the longest run of words, ending there, that occurs in any template (matching statistics). Runs that cannot be extended are long
-matches; those of one template that follow each other, in the file and in the template, are chained into a span, and the span
-counts as the share of the template's words it covers. A template's label is found when a span covers `COVERED` of it. Phrases are found at every place: a
-run contains a phrase as its end when the phrase's state is on the path of suffix links and the run is long enough.
+matches; those of one template that follow each other, in the file and in the template, are chained into a span. Its share is the words it covers by
+the words of the template and the words of the file that stand in its gaps. A span counts when its share is `COVERED` or more and the `DECIDING` words in it
+are those of the template, in order: none missing, none added. Of spans that overlap, the one with the best share, then with the most words, stays; its label is found.
+Phrases and whole notices are found at every place: a run contains one as its end when its state is on the path of suffix links and the run is long
+enough.
 
 Words are mapped to template words in bulk; only runs of template words pass through the automaton, word by word. No shuffle.
 
@@ -12,6 +14,8 @@ Defined results: a null or empty text has no words, no places (null) and no labe
 their own. Texts of any length stream. An empty table gives an empty result. Other columns are not read.
 """
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import arrays
 from quillspark.llm.columns import whole_text
 
-# Phrases that count wherever they stand, and notices of well-known licences (label: texts).
+# Phrases that count wherever they stand, notices of well-known licences (label: texts), and words that tell neighbouring licences apart.
 PHRASES = {
     "under the mit license": "mit",
     "apache license version 2": "apache-2",
@@ -43,6 +47,8 @@ NOTICES = {
     ],
     "gpl-3": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as "
+        "published by the Free Software Foundation",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
@@ -52,9 +58,70 @@ NOTICES = {
     ],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "gpl-2": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as "
+        "published by the Free Software Foundation",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
+    "lgpl-2": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
+    "lgpl-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ],
+    "lgpl-3": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "agpl-3": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "mpl-1.1": [
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at",
+    ],
+    "ecl-2": [
+        "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+        "License. You may obtain a copy of the License at",
+    ],
+    "epl-2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "bsl-1": ["Distributed under the Boost Software License, Version 1.0."],
+    "0bsd": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"
+    ],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "This work is licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication",
+    ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
 }
+_CC = {
+    "cc-by": ["Attribution"],
+    "cc-by-sa": ["Attribution-ShareAlike", "Attribution-Share Alike"],
+    "cc-by-nd": ["Attribution-NoDerivatives", "Attribution-NoDerivs"],
+    "cc-by-nc": ["Attribution-NonCommercial", "Attribution-Non-Commercial"],
+    "cc-by-nc-sa": ["Attribution-NonCommercial-ShareAlike", "Attribution-Non-Commercial-Share Alike"],
+    "cc-by-nc-nd": ["Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-NoDerivs"],
+}
+for _label, _names in _CC.items():
+    for _name in _names:
+        for _version in ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic"):
+            NOTICES.setdefault(_label, []).append(f"This work is licensed under a Creative Commons {_name} {_version} License")
+    NOTICES[_label].append(f"Licensed under {_label.upper().replace('-', ' ', 1)} 4.0.")
+# "library" decides before "general" only: GNU notices speak of "this library" under any licence
+DECIDING = (
+    "mit bsd apache educational boost eclipse mozilla lesser affero library sharealike share alike noncommercial commercial noderivatives noderivs "
+    "derivative derivatives nc sa nd cc0 1 2 3 4 5 6 7 8 9"
+).split()
 COVERED = 0.75
 MATCH_WORDS = 3
 GAP_WORDS = 6
@@ -131,7 +198,7 @@ class Scanner:
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         texts = [(p, label, True) for p, label in phrases.items()] + [(n, label, False) for label, ns in notices.items() for n in ns]
         templates = [split_words(t) for t, _, _ in texts]
-        vocabulary = sorted({w for t in templates for w in t})
+        vocabulary = sorted({w for t in templates for w in t}.union(DECIDING, ["general"]))
         self.labels, self.sizes = [label for _, label, _ in texts], [len(t) for t in templates]
         data, starts, ends, _ = _spans(pa.array([" ".join(vocabulary)]))
         hashes = arrays.span_hashes(arrays.prefix_sums(data), starts, ends)
@@ -140,21 +207,32 @@ class Scanner:
         number = {w: i for i, w in enumerate(vocabulary)}
         coded = [[number[w] for w in t] for t in templates]
         self.automaton = Automaton(coded)
-        phrase_state = {}
-        for p in range(len(phrases)):
+        self.decides = np.zeros(len(vocabulary), bool)
+        self.decides[[number[w] for w in DECIDING]] = True
+        self.library, self.general = number["library"], number["general"]
+        self.deciding = [self.deciding_words(t) for t in coded]
+        self.n_phrases, template_state = len(phrases), {}
+        for t, words in enumerate(coded):
             state, length = 0, 0
-            for w in coded[p]:
+            for w in words:
                 state, length = self.automaton.step(state, length, w)
-            phrase_state[state] = phrase_state.get(state, ()) + (p,)
-        self.phrases_at = []  # phrases that end any long enough run in a state
+            template_state[state] = template_state.get(state, ()) + (t,)
+        self.whole_at = []  # phrases and notices that end any long enough run in a state
         for state in range(len(self.automaton.next)):
             found, s = [], state
             while s > 0:
-                found += phrase_state.get(s, ())
+                found += template_state.get(s, ())
                 s = self.automaton.link[s]
-            self.phrases_at.append(tuple(found))
+            self.whole_at.append(tuple(found))
         self.shortest = min([*(self.sizes[p] for p in range(len(phrases))), MATCH_WORDS])
 
+    def deciding_words(self, numbers):
+        """The deciding words among word numbers (-1: none), in order."""
+        numbers = np.asarray(numbers, np.int64)
+        following = np.append(numbers[1:], -1)
+        decides = (numbers >= 0) & self.decides[numbers] & ((numbers != self.library) | (following == self.general))
+        return numbers[decides].tolist()
+
     def numbered(self, column):
         """Template word numbers of all words (-1: none) and the bounds of texts."""
         data, starts, ends, bounds = _spans(column)
@@ -172,9 +250,12 @@ class Scanner:
                 state, length = self.automaton.step(state, length, word) if word is not None else (0, 0)
                 if before_length >= MATCH_WORDS and length != before_length + 1:
                     self._chain(chains, spans, first + i - before_length - base, before, before_length)
-                for p in self.phrases_at[state]:
-                    if length >= self.sizes[p]:
-                        found.append((p, first + i - self.sizes[p] + 1 - base))
+                for t in self.whole_at[state]:
+                    start, end = first + i - self.sizes[t] + 1 - base, first + i + 1 - base
+                    if length >= self.sizes[t] and t < self.n_phrases:
+                        found.append((t, start))
+                    elif length >= self.sizes[t]:
+                        spans.append({"template": t, "start": start, "end": end, "words": self.sizes[t], "inserted": 0})
         spans.extend(chains.values())
         return found, spans
 
@@ -183,13 +264,26 @@ class Scanner:
         for template, place in self.automaton.places[state]:
             at, chain = place - length + 1, chains.get(template)
             if chain and chain["at"] < at and chain["end"] <= start <= chain["end"] + GAP_WORDS:
-                chain.update(end=start + length, at=place, words=chain["words"] + length)
+                chain.update(end=start + length, at=place, words=chain["words"] + length, inserted=chain["inserted"] + start - chain["end"])
                 continue
             if chain and chain["start"] == start and chain["words"] >= length:
                 continue  # the same words of the file at another place of the template
             if chain:
                 spans.append(chain)
-            chains[template] = {"template": template, "start": start, "end": start + length, "at": place, "words": length}
+            chains[template] = {"template": template, "start": start, "end": start + length, "at": place, "words": length, "inserted": 0}
+
+    def best(self, spans, numbers):
+        """Of a text's spans those that count (label, start, end, share), none overlapping another."""
+        kept, starts = [], []
+        for s in spans:
+            s["share"] = s["words"] / (self.sizes[s["template"]] + s["inserted"])
+        good = [s for s in spans if s["share"] >= COVERED and self.deciding_words(numbers[s["start"] : s["end"]]) == self.deciding[s["template"]]]
+        for s in sorted(good, key=lambda s: (-s["share"], -s["words"], s["start"], s["template"])):
+            i = bisect.bisect_left(starts, s["start"])
+            if (i == 0 or kept[i - 1]["end"] <= s["start"]) and (i == len(kept) or s["end"] <= kept[i]["start"]):
+                starts.insert(i, s["start"])
+                kept.insert(i, s)
+        return [(self.labels[s["template"]], s["start"], s["end"], s["share"]) for s in kept]
 
     def rows(self, column):
         """For each text: words, phrase places and covered spans (label, start, end, share)."""
@@ -208,8 +302,8 @@ class Scanner:
         for doc in range(len(bounds) - 1):
             runs = [(int(a), numbers[a:b].tolist()) for a, b in zip(starts[cut[doc] : cut[doc + 1]], ends[cut[doc] : cut[doc + 1]])]
             found, spans = self.scan(runs, int(bounds[doc])) if runs else ([], [])
-            spans = [(self.labels[s["template"]], s["start"], s["end"], s["words"] / self.sizes[s["template"]]) for s in spans]
-            yield int(bounds[doc + 1] - bounds[doc]), [(self.labels[p], at) for p, at in found], [s for s in spans if s[3] >= COVERED]
+            spans = self.best(spans, numbers[bounds[doc] : bounds[doc + 1]])
+            yield int(bounds[doc + 1] - bounds[doc]), [(self.labels[p], at) for p, at in found], spans
 
 
 SPANS = "doc_id bigint, n_words bigint, places array<struct<label:string,start:bigint>>, spans array<struct<label:string,start:bigint,end:bigint,share:double>>"

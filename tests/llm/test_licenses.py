@@ -73,3 +73,38 @@ def test_phrases_anywhere():
     texts = [" ".join(rng.choice(vocabulary[:4] if k % 2 else vocabulary, 60)) for k in range(200)]
     for text, (n, places, _) in zip(texts, scanner.rows(pa.array(texts))):
         assert (n, sorted(places)) == plain(text)
+
+
+def labels(text):
+    import pyarrow as pa
+
+    return [(s[0], s[3]) for s in next(licenses.Scanner().rows(pa.array([text])))[2]]
+
+
+def test_every_notice_has_its_own_label():
+    for label, notices in licenses.NOTICES.items():
+        for notice in notices:
+            assert labels(notice) == [(label, 1)] and labels(f"x the license. {notice} the y") == [(label, 1)]
+
+
+def test_neighbouring_licences():
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software " \
+        "Foundation{} either version {} of the License, or (at your option) any later version."
+    for kind, version, label in [("", "3", "gpl-3"), ("", "2", "gpl-2"), ("Lesser ", "2.1", "lgpl-2.1"), ("Lesser ", "3", "lgpl-3"), ("Library ", "2", "lgpl-2"), ("Affero ", "3", "agpl-3")]:
+        for thing in ("program", "library", "file"):
+            assert [x[0] for x in labels(gnu.format(thing, ";", kind, ";", version))] == [label], (kind, version, thing)
+    assert labels(gnu.format("program", ":", "", ",", "1")) == [] == labels(gnu.format("program", ":", "Affero ", ",", "1"))
+    cc = "This work is licensed under a Creative Commons Attribution{} International License."
+    for kind, label in [("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NonCommercial", "cc-by-nc"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd")]:
+        assert labels(cc.format(kind + " 4.0")) == [(label, 1)]
+    assert labels("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 United States License")[0][0] == "cc-by-sa"
+    assert labels("Licensed under the Apache License, Version 1.1.") == [] and labels("This work is licensed under the GNU General Public License, version 1.") == []
+    apache = licenses.NOTICES["apache-2"][0]
+    assert labels(apache.replace("Apache", "Educational Community")) == [("ecl-2", 1)] and labels(apache.replace("Apache", "Some Other")) == []
+
+
+def test_words_in_gaps_count():
+    notice = licenses.NOTICES["isc"][0]
+    words = notice.replace("and/or", "and or").split()
+    assert labels(notice.replace(" for any", " so for any")) == [("isc", len(words) / (len(words) + 1))]
+    assert labels(" ".join(w + " so so so so so" * (i % 4 == 3) for i, w in enumerate(words))) == []
