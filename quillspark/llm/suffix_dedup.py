@@ -1,8 +1,8 @@
 """Removal of every byte that lies in a 200-byte string which starts anywhere else as well.
 
-Suffixes are handled blockwise, with a difference cover. The cover D modulo v holds two places at every distance, so for any two suffixes
-there is a shift below v that brings both to places of the cover. Ranks of the cover sample (which strings of 200 - v + 1 bytes at cover places repeat) therefore
-settle most suffixes: one that has no repeated sample within reach can tie with no other, and never enters a bucket.
+Suffixes stand for their first 200 bytes, hashed: no suffix order is built (README: Notes on methods). A difference cover thins them out. The cover D modulo v holds two places at every distance, so for any two suffixes
+there is a shift below v that brings both to places of the cover. Which strings of 200 - v + 1 bytes at cover places repeat therefore
+settles most suffixes: one that has no repeated sample within reach can tie with no other, and never enters a bucket.
 The others are dealt into buckets by a 64-bit hash of their 200 bytes, and one bucket at a time is sorted: equal
 neighbours are ties. The number of buckets follows the input, so a bucket has a bounded size, and a task sends a suffix that repeats in its texts only once.
 Sorting by a hash in place of the bytes finds the same ties; it needs no order between different strings.
