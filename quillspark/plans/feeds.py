@@ -22,9 +22,12 @@ def query(name, sql=None):
 
 
 def _arriving(spark, table, at, build, name, parts=3):
-    """What `build(stream)` gives when the table's rows arrive in `parts` slices of time, a run of the stream after each."""
-    numbered = table.withColumn("__at", at)
-    cuts = numbered.approxQuantile("__at", [i / parts for i in range(1, parts)], 0.01)
+    """What `build(stream)` gives when the table's rows arrive in `parts` slices of time, a run of the stream after each.
+
+    Rows without a time come in the last slice: they are last in order too.
+    """
+    numbered = table.withColumn("__at", F.coalesce(at, F.lit(float("inf"))))
+    cuts = numbered.where(F.col("__at") < float("inf")).approxQuantile("__at", [i / parts for i in range(1, parts)], 0.01)
     bounds = [float("-inf"), *cuts, float("inf")]
     folder, out, checkpoint = (scratch_folder(spark, f"{name}-{x}") for x in ("in", "out", "state"))
     for low, high in zip(bounds, bounds[1:]):
