@@ -1,7 +1,7 @@
 """Change-only feeds and the credit ledger as Structured Streaming jobs.
 
-State is one small row per key. Rows of a micro-batch are put in event order inside each key; the
-size of a micro-batch is set by the source (`maxFilesPerTrigger`).
+State is one small row per key. Rows of a micro-batch are put in event order inside each key and folded chunk by chunk; the
+size of a micro-batch is set by the source (`maxBytesPerTrigger`).
 """
 
 from pyspark.sql import functions as F
@@ -14,10 +14,10 @@ from quillspark.session import scratch_folder
 from quillspark.sources import tables
 
 
-def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=1000, bytes_per_trigger="1g"):
+def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=None, bytes_per_trigger=1 << 30):
     """Stream of the Parquet files of a folder; files that come later are picked up.
 
-    Both limits bound a micro-batch, and so what one key's rows of it can hold.
+    A micro-batch is bounded by bytes, one file at least, or by `files_per_trigger` in place of that: Spark takes one limit only.
     """
     return (
         spark.readStream.schema(schema)
@@ -61,13 +61,14 @@ def change_feed(versions, key, state, order, forget_after_ms=None):
         if stored.hasTimedOut:
             stored.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order)
-        states = [None if pd.isna(x) else plain(x) for x in rows[state]]
-        previous = [stored.get[0] if stored.exists else object(), *states[:-1]]
-        stored.update((states[-1],))
+        last = stored.get[0] if stored.exists else object()
+        for rows in workers.sorted_chunks(batches, order):
+            states = [None if pd.isna(x) else plain(x) for x in rows[state]]
+            previous, last = [last, *states[:-1]], states[-1]
+            yield rows[[now is not before and now != before for now, before in zip(states, previous)]][columns]
+        stored.update((last,))
         if forget_after_ms:
             stored.setTimeoutDuration(forget_after_ms)
-        yield rows[[now is not before and now != before for now, before in zip(states, previous)]][columns]
 
     remembered = T.StructType([T.StructField("shown", versions.schema[state].dataType)])
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
@@ -81,13 +82,12 @@ def ledger_feed(events, account, order, delta, start=fixed.START_BALANCE):
     fields += [T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())]
 
     def fold(group, batches, stored):
-        import pandas as pd
-
-        rows = pd.concat(list(batches)).sort_values(order)
         balance = stored.get[0] if stored.exists else start
-        accepted, after = workers.ledger_steps(rows[delta].to_numpy(), balance)
-        stored.update((int(after[-1]),))
-        yield rows[columns].assign(accepted=accepted, balance=after)
+        for rows in workers.sorted_chunks(batches, order):
+            accepted, after = workers.ledger_steps(rows[delta].to_numpy(), balance)
+            balance = int(after[-1])
+            yield rows[columns].assign(accepted=accepted, balance=after)
+        stored.update((balance,))
 
     remembered = T.StructType([T.StructField("balance", T.LongType())])
     return (

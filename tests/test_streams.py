@@ -1,14 +1,19 @@
-"""The stream queries on events without a time."""
+"""The stream queries on events without a time, and the fold chunk by chunk."""
 
+import inspect
 import os
+import random
 
 import oracle
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as driver
+from quillspark import workers
+from quillspark.streaming import feeds
 
 SMALL = "/root/testdata/sf0.001"
 STREAMS = ["stream_state_changes", "stream_user_states", "stream_null_states", "stream_ledger", "stream_balance"]
@@ -31,3 +36,30 @@ def untimed(tmp_path_factory):
 @pytest.mark.parametrize("name", STREAMS)
 def test_events_without_a_time(spark, untimed, name):
     assert oracle.compare(spark, oracle.connection(untimed), name, driver.queries()[name], driver.oracle_sql()[name], untimed) is None
+
+
+@pytest.mark.parametrize("size, rows", [(0, 50), (49, 50), (50, 50), (3000, 400), (1200, 50), (2999, 700)])
+def test_sorted_chunks(size, rows):
+    rng = random.Random(size)
+    frame = pd.DataFrame({"at": [rng.choice([None, *range(40)]) for _ in range(size)], "id": rng.sample(range(size), size), "v": [rng.choice(["a", None]) for _ in range(size)]})
+    batches = [frame.iloc[a : a + 97] for a in range(0, size, 97)]
+    out = list(workers.sorted_chunks(iter(batches), ["at", "id"], rows))
+    assert all(0 < len(x) for x in out) and (size < 1000 or max(map(len, out)) < size / 2)
+    if size:
+        pd.testing.assert_frame_equal(pd.concat(out), frame.sort_values(["at", "id"]))
+
+
+def test_small_chunks_give_the_same_feeds(spark, untimed, monkeypatch):
+    monkeypatch.setattr(workers.sorted_chunks, "__defaults__", (3,))
+    for name in ("stream_null_states", "stream_ledger"):
+        assert oracle.compare(spark, oracle.connection(untimed), name, driver.queries()[name], driver.oracle_sql()[name], untimed) is None
+
+
+def test_bytes_bound_a_micro_batch(spark, tmp_path):
+    assert inspect.signature(feeds.read_files).parameters["files_per_trigger"].default is None
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = feeds.read_files(spark, str(tmp_path / "in"), "id long", bytes_per_trigger=1).writeStream.format("noop")
+    query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [10, 10, 10]
