@@ -1,8 +1,10 @@
-"""The registered queries of the ten operators on the whole table of documents, and SQL that checks them."""
+"""The registered queries of the operators on the whole tables of documents and vectors, and SQL that checks them."""
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, pii, suffix_dedup, token_files, toxicity
+from quillspark.llm import (
+    centroids, exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_files, toxicity, vector_codes,
+)
 
 
 def documents(spark, sf_dir):
@@ -63,6 +65,18 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_table(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op11_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _OP2 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -112,6 +126,73 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM normal WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOOR_MEAN = "(s - ((s % n) + n) % n) // n"
+
+
+def _lloyd(rounds, assigned, entries):
+    """CTEs a0, b1, a1, ...: assignments to entries b0, then entries by floored means and assignments again."""
+    steps = [assigned.format(r=0)]
+    for r in range(rounds):
+        steps += [entries.format(r=r, q=r + 1), assigned.format(r=r + 1)]
+    return ",\n".join(steps)
+
+
+# parts and entries stand as rows (part, pos, x); k packs squared distance and index, so that its minimum is the nearest, ties to the lower index
+_OP12 = (
+    f"""
+WITH kept AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id, embedding) AS row, len(embedding) // 4 AS width FROM embeddings WHERE {_FINITE}),
+cells AS MATERIALIZED (
+  SELECT row, (i - 1) // width AS part, (i - 1) % width AS pos, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS e, pos, x FROM cells WHERE row <= 256),
+"""
+    + _lloyd(
+        4,
+        """a{r} AS MATERIALIZED (
+  SELECT row, part, min(d * 256 + e) AS k FROM (
+    SELECT c.row, c.part, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN b{r} b USING (part, pos) GROUP BY ALL) GROUP BY ALL)""",
+        f"""b{{q}} AS MATERIALIZED (
+  SELECT part, e, pos, coalesce(m.x, b.x) AS x FROM b{{r}} b LEFT JOIN (
+    SELECT part, e, pos, ({_FLOOR_MEAN})::BIGINT AS x FROM (
+      SELECT part, k % 256 AS e, pos, sum(x)::BIGINT AS s, count(*) AS n FROM a{{r}} JOIN cells USING (row, part) GROUP BY ALL)) m USING (part, e, pos))""",
+    )
+    + """,
+coded AS (
+  SELECT row, string_agg(lower(lpad(hex(k % 256), 2, '0')), '' ORDER BY part) AS code, sum(k // 256)::BIGINT AS error FROM a4 GROUP BY row),
+book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row), book
+"""
+)
+
+_OP13 = (
+    f"""
+WITH kept AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, embedding) AS row FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+cells AS MATERIALIZED (
+  SELECT row, i AS pos, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT row - 1 AS e, pos, x FROM cells WHERE row <= 40),
+"""
+    + _lloyd(
+        5,
+        """a{r} AS MATERIALIZED (
+  SELECT row, min(d * 64 + e) AS k FROM (
+    SELECT c.row, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN b{r} b USING (pos) GROUP BY ALL) GROUP BY ALL)""",
+        f"""b{{q}} AS MATERIALIZED (
+  SELECT e, pos, coalesce(m.x, b.x) AS x FROM b{{r}} b LEFT JOIN (
+    SELECT e, pos, ({_FLOOR_MEAN})::BIGINT AS x FROM (
+      SELECT k % 64 AS e, pos, sum(x)::BIGINT AS s, count(*) AS n FROM a{{r}} JOIN cells USING (row) GROUP BY ALL)) m USING (e, pos))""",
+    )
+    + """,
+named AS (SELECT e, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM b5 GROUP BY e)
+SELECT vec_id, (k % 64)::INTEGER AS cluster, k // 64 AS distance, sum(k // 64) OVER (PARTITION BY k % 64)::BIGINT AS cluster_inertia,
+       sum(k // 64) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN kept USING (row) JOIN named ON named.e = k % 64
+"""
+)
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -123,6 +204,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op11_quality": op11_quality,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLES = {"op2_mixing": _OP2, "op7_exact_dedup": _OP7}
+ORACLES = {"op2_mixing": _OP2, "op7_exact_dedup": _OP7, "op12_vector_codes": _OP12, "op13_centroids": _OP13}
