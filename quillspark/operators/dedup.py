@@ -59,6 +59,11 @@ def minhash_signatures(df, text, keys=KEY, count=fixed.NUM_PERM, hasher=hash32):
     `hasher` maps a string column to a bigint below 2**32.
     """
     hashed = shingle_rows(df, keys, text).select(*keys, hasher(F.col("shingle")).alias("__x"))
+    return signature_minima(hashed, keys, count)
+
+
+def signature_minima(hashed, keys, count=fixed.NUM_PERM):
+    """`minhash` per key from rows of 32-bit hashes `__x`."""
     seeds = permutation_seeds(count, PRIME)
     minima = hashed.groupBy(*keys).agg(
         *[F.min((F.col("__x") * a + b) % PRIME).alias(f"__m{i}") for i, (a, b) in enumerate(seeds)]

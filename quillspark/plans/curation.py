@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from quillspark import fixed, schemas
 from quillspark.functions import hashing, layout, rules, text, vectors
-from quillspark.operators import datasets, dedup, ordered, sampling, scoring
+from quillspark.operators import datasets, dedup, ordered, sampling, scoring, similar
 from quillspark.operators import registry as reg
 from quillspark.plans import adapters as a
 from quillspark.session import scratch_folder, written
@@ -212,6 +212,66 @@ def near_dup_drop(spark, sf_dir):
     return kept.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))
 
 
+_CLASSES = """words AS (SELECT img_path, split, string_split(label, ' ') AS w FROM reg),
+grams AS (SELECT DISTINCT img_path, split, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE
+ list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) END) AS s FROM words),
+sizes AS (SELECT img_path, split, count(*) AS n FROM grams GROUP BY 1, 2),
+shared AS (SELECT x.split, x.img_path AS a, y.img_path AS b, count(*) AS c FROM grams x JOIN grams y
+ ON x.split = y.split AND x.s = y.s AND x.img_path <> y.img_path GROUP BY ALL),
+near AS (SELECT s.* FROM shared s JOIN sizes p ON p.img_path = a AND p.split = s.split JOIN sizes q ON q.img_path = b AND q.split = s.split
+ WHERE c * 100 >= (p.n + q.n - c) * 90),
+reach AS (SELECT split, img_path, img_path AS other FROM reg UNION
+ SELECT r.split, r.img_path, n.b FROM reach r JOIN near n ON n.split = r.split AND n.a = r.other),
+classes AS (SELECT img_path, split, min(other) AS class_path, count(*) AS class_size FROM reach GROUP BY 1, 2)"""
+
+
+def _classes_sql(body):
+    return "WITH RECURSIVE reg AS (" + a.VIEWS["reg"] + "),\n" + _CLASSES + "\n" + body
+
+
+@query(
+    "near_dup_pairs",
+    _classes_sql("SELECT img_path, split, n::INTEGER AS n_shingles, class_path, class_size FROM classes JOIN sizes USING (img_path, split)"),
+)
+def near_dup_pairs(spark, sf_dir):
+    """Every sample with its class of near duplicates and the class's representative."""
+    return similar.near_classes(a.samples(spark, sf_dir, spread=True), F.col("label"))
+
+
+@query(
+    "near_dup_unique",
+    _classes_sql("SELECT img_path, split, length(label) AS chars FROM reg JOIN classes USING (img_path, split) WHERE img_path = class_path"),
+)
+def near_dup_unique(spark, sf_dir):
+    kept = similar.drop_near(a.samples(spark, sf_dir), F.col("label"))
+    return kept.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))
+
+
+@query(
+    "band_plans",
+    "WITH reg AS (" + a.VIEWS["reg"] + f"""),
+copies AS (SELECT split, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS share FROM
+ (SELECT split, label, count(*) AS n FROM reg GROUP BY 1, 2) GROUP BY 1),
+cuts AS (SELECT split, threshold, 1 - share AS false_weight, 1 + share AS miss_weight, unnest(range(1, {fixed.NUM_PERM + 1}))::INTEGER AS rows
+ FROM copies, (SELECT unnest([0.7, 0.8, 0.9])::DOUBLE AS threshold)),
+points AS (SELECT *, {fixed.NUM_PERM} // rows AS bands, (i + 0.5)::DOUBLE / 1000 AS s FROM cuts, range(0, 1000) t(i)),
+chances AS (SELECT *, 1 - pow(1 - pow(s, rows), bands) AS p FROM points),
+areas AS (SELECT split, threshold, false_weight, miss_weight, rows, bands::INTEGER AS bands,
+ round(sum(CASE WHEN s < threshold THEN p ELSE 0 END) / 1000, 6) AS false_area, round(sum(CASE WHEN s >= threshold THEN 1 - p ELSE 0 END) / 1000, 6) AS miss_area
+ FROM chances GROUP BY ALL),
+costs AS (SELECT *, round(false_weight * false_area + miss_weight * miss_area, 6) AS cost FROM areas)
+SELECT *, row_number() OVER (PARTITION BY split, threshold ORDER BY cost, rows DESC) = 1 AS chosen FROM costs""",
+)
+def band_plans(spark, sf_dir):
+    """Cuts of a signature per split: a miss weighs the more, and a false proposal the less, the more rows have copies."""
+    sizes = dedup.group_sizes(a.samples(spark, sf_dir), "label").groupBy("split")
+    copied = F.sum(F.when(F.col("n_members") > 1, F.col("n_members")).otherwise(0)) / F.sum("n_members")
+    weighed = sizes.agg(F.round(copied, 6).alias("share")).select(
+        "split", F.explode(F.array(F.lit(0.7), F.lit(0.8), F.lit(0.9))).alias("threshold"),
+        (1 - F.col("share")).alias("false_weight"), (1 + F.col("share")).alias("miss_weight"))
+    return similar.band_areas(weighed)
+
+
 # --- quotas, samples and draws ----------------------------------------------------------------
 
 
