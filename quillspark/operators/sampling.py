@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark import fixed
+from quillspark.functions import permute
 from quillspark.functions.hashing import hash32, path_set_key
 from quillspark.operators.ordered import first_n_per_group, hash_bucket, number_rows
 from quillspark.operators.registry import KEY, class_quotas
@@ -35,19 +36,8 @@ def numbered_pool(registry, seed, buckets=4096):
     return numbered.withColumn("position", F.col("position") - 1).drop("__h")
 
 
-def _gcd(a, b):
-    """Greatest common divisor by Euclid's steps: 92 are enough for any two 64-bit numbers."""
-    pair = F.struct(a.alias("a"), b.alias("b"))
-    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % p["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step)["a"]
-
-
 def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
-    """One row per draw: how many members, where it starts, its stride through the pool and its turn.
-
-    The stride is any number below the pool's size. Steps of it come back to the start after `turn` of them;
-    each further turn is shifted by one place, so as many steps as the pool has rows visit each row once.
-    """
+    """One row per draw: how many members, and the keys of its own shuffled order of the pool."""
     quotas = class_quotas(registry, draws_per_split).where(F.col("quota") > 0)
     draws = quotas.select(
         "split",
@@ -55,37 +45,25 @@ def draw_plan(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
         F.col("n_class").alias("pool"),
         F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("draw"),
     )
-    # few rows come out of few tasks here, and each grows into as many as it has members
-    draws = draws.repartition(registry.sparkSession.sparkContext.defaultParallelism, "split", "score", "draw")
     one = [F.lit(str(seed)), F.col("split"), F.col("score"), F.col("draw")]
-
-    def wide(tag):
-        return hash32(tag, *one) * F.lit(1 << 31) + F.shiftright(hash32(f"{tag}2", *one), 1)
-
-    stride = F.when(F.col("pool") > 1, 1 + wide("stride") % F.greatest(F.col("pool") - 1, F.lit(1))).otherwise(1)
-    draws = draws.select(
-        "split",
-        "score",
-        "draw",
-        "pool",
-        F.least(1 + hash32("size", *one) % max_size, F.col("pool")).alias("members"),
-        (wide("start") % F.col("pool")).alias("start"),
-        stride.cast("bigint").alias("stride"),
-    )
-    return draws.withColumn("turn", F.floor(F.col("pool") / _gcd(F.col("stride"), F.col("pool"))))
+    members = F.least(1 + hash32("size", *one) % max_size, F.col("pool")).alias("members")
+    keys = permute.keys(lambda tag: hash32(tag, *one))
+    draws = draws.select("split", "score", "draw", "pool", members, *[k.alias(name) for name, k in keys.items()])
+    # few rows come out of few tasks here, and each grows into as many as it has members. Keys are made before: behind
+    # the exchange they would be made again for each member
+    return draws.repartition(registry.sparkSession.sparkContext.defaultParallelism, "split", "score", "draw")
 
 
 def draw_members(registry, draws_per_split, seed, max_size=fixed.MAX_DRAW_SIZE):
-    """The members of each draw with their ordinal: one equi-join on the pool position.
+    """The members of each draw with their ordinal: the first places of its own permutation of the pool, by one equi-join.
 
+    Every set of a draw's size may come out, in any order; nothing is kept between members, so tasks need not know of each other.
     Spark cannot foresee how far a plan row grows, and would broadcast all members. Their number is
     bounded by draws times `max_size`, so each task hashes its part of them and streams the pool.
     """
     plan = draw_plan(registry, draws_per_split, seed, max_size)
-    steps = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("members").cast("int") - 1)).alias("ordinal"))
-    shifted = F.floor(F.col("ordinal") / F.col("turn"))
-    at = (F.col("start") + F.col("ordinal") * F.col("stride") + shifted) % F.col("pool")
-    wanted = steps.select("split", "score", "draw", "ordinal", at.alias("position"))
+    steps = plan.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("members") - 1)).alias("ordinal"))
+    wanted = permute.permuted(steps, "ordinal", "pool", "position").select("split", "score", "draw", "ordinal", "position")
     on = ["split", "score", "position"]
     return wanted.hint("shuffle_hash").join(numbered_pool(registry, seed), on).drop("position")
 

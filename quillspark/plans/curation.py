@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark import fixed, schemas
-from quillspark.functions import hashing, layout, rules, text, vectors
+from quillspark.functions import hashing, layout, permute, rules, text, vectors
 from quillspark.operators import datasets, dedup, ordered, sampling, scoring, similar
 from quillspark.operators import registry as reg
 from quillspark.plans import adapters as a
@@ -298,7 +298,7 @@ quotas AS (SELECT *, floor(CASE split WHEN 'train' THEN 8000 ELSE 1000 END * sha
 
 
 def _curated_sql(body, *more):
-    return a.sql("", "reg", "sc", "scored", "ans").rstrip() + ",\n" + ",\n".join([_CURATED, *more]) + "\n" + body
+    return a.sql("", "reg", "sc", "scored", "ans").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join([_CURATED, *more]) + "\n" + body
 
 
 @query("class_quota", _curated_sql("SELECT split, score, n_class, n_split, quota FROM quotas"))
@@ -335,15 +335,27 @@ def _tagged(tag):
     return a.h(f"'{tag}'", *_ONE)
 
 
+def _half_rounds(rows):
+    """SQL of one pass of the permutation over `rows` (x, pool, k0, ...)."""
+    out = f"""SELECT *, x % a AS l, x // a AS h FROM (SELECT *, (pool + a - 1) // a AS b FROM
+ (SELECT *, ceil(sqrt(pool))::BIGINT AS a FROM {rows}))"""
+    for j in range(permute.HALF_ROUNDS):
+        mine, other, side = "lha" if j % 2 == 0 else "hlb"
+        at = f"(({other} + k{2 * j}) % {permute.PRIME})"
+        out = f"SELECT * REPLACE (({mine} + ({at} * {at} + k{2 * j + 1}) % {permute.PRIME}) % {side} AS {mine}) FROM ({out})"
+    return f"(SELECT * EXCLUDE (a, b, l, h) REPLACE (h * a + l AS x) FROM ({out}))"
+
+
+_KEYS = ", ".join(f"{_tagged(f'key{i}')} % {permute.PRIME} AS k{i}" for i in range(2 * permute.HALF_ROUNDS))
 _DRAWS = f"""plan0 AS (SELECT split, score, n_class AS pool, unnest(range(0, quota)) AS draw FROM quotas WHERE quota > 0),
-plan AS (SELECT split, score, draw, pool, least(1 + {_tagged("size")} % {fixed.MAX_DRAW_SIZE}, pool) AS members,
- ({_tagged("start")} * {1 << 31} + ({_tagged("start2")} >> 1)) % pool AS start,
- CASE WHEN pool > 1 THEN 1 + ({_tagged("stride")} * {1 << 31} + ({_tagged("stride2")} >> 1)) % greatest(pool - 1, 1) ELSE 1 END AS stride FROM plan0),
-steps AS (SELECT *, pool // gcd(stride, pool) AS turn, unnest(range(0, members)) AS ordinal FROM plan),
+plan AS (SELECT split, score, draw, pool, least(1 + {_tagged("size")} % {fixed.MAX_DRAW_SIZE}, pool) AS members, {_KEYS} FROM plan0),
+steps AS (SELECT * EXCLUDE members, unnest(range(0, members)) AS ordinal FROM plan),
+walk AS (SELECT *, ordinal AS x, false AS inside FROM steps
+ UNION ALL SELECT * REPLACE (x < pool AS inside) FROM {_half_rounds("(SELECT * FROM walk WHERE NOT inside)")}),
 pool AS (SELECT split, score, img_path, label, row_number() OVER (PARTITION BY split, score
  ORDER BY {a.h("'pool'", f"'{_SEED}'", "img_path")}, img_path) - 1 AS position FROM curated WHERE score IS NOT NULL),
-members AS (SELECT s.split, s.score, s.draw, s.ordinal, p.img_path, p.label FROM steps s JOIN pool p
- ON s.split = p.split AND s.score = p.score AND p.position = (s.start + s.ordinal * s.stride + s.ordinal // s.turn) % s.pool)"""
+members AS (SELECT s.split, s.score, s.draw, s.ordinal, p.img_path, p.label FROM walk s JOIN pool p
+ ON s.split = p.split AND s.score = p.score AND p.position = s.x WHERE s.inside)"""
 
 
 @query("draw_members", _curated_sql("SELECT split, score, draw, ordinal, img_path FROM members", _DRAWS))

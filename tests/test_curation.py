@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark import fixed
-from quillspark.functions import hashing
+from quillspark.functions import hashing, permute
 from quillspark.operators import datasets, dedup, sampling, scoring
 from quillspark.operators import registry as reg
 
@@ -127,14 +127,38 @@ def test_draws(spark):
     assert min(sizes) < 16 and max(sizes) > 48
 
 
-def test_strides_spread_over_the_pool(spark):
-    df = make(spark, [(f"p{i}", "", "train", 1 + (i == 0)) for i in range(3001)])
-    plan = sampling.draw_plan(df, {"train": 400}, "s").where("pool > 1").collect()
-    strides = sorted(r.stride for r in plan)
-    assert len(set(strides)) > 300 and strides[0] < 300 and strides[-1] > 2700
-    for r in plan[:40]:
-        places = [(r.start + i * r.stride + i // r.turn) % r.pool for i in range(r.pool)]
-        assert len(set(places)) == r.pool
+def test_permutations_visit_each_place_once(spark):
+    sizes = [*range(1, 40), 64, 65, 100, 1000, 4097, 10_001]
+    rows = spark.createDataFrame([(n, t) for n in sizes for t in range(3)], "size bigint, tag int")
+    keys = permute.keys(lambda name: hashing.hash32(name, F.col("tag"), F.col("size")))
+    rows = rows.select("size", "tag", *[k.alias(c) for c, k in keys.items()], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)).alias("i"))
+    placed = permute.permuted(rows, "i", "size", "at")
+    assert placed.columns == ["size", "tag", "i", "at"]
+    sums = placed.groupBy("size", "tag").agg(F.countDistinct("at").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.sum((F.col("i") == F.col("at")).cast("int")).alias("still"))
+    for r in sums.collect():
+        assert (r.n, r.low, r.high) == (r["size"], 0, r["size"] - 1)
+        assert r["size"] < 100 or r.still < 9
+
+
+def test_all_pairs_are_drawn_alike(spark):
+    pool, n, draws = 13, 4, 6000
+    df = make(spark, [(f"p{i:02d}", "", "train", 1) for i in range(pool)])
+    members = sampling.draw_members(df, {"train": draws}, "pairs", max_size=n)
+    sizes, orders, pairs = {}, {}, {}
+    for m in members.collect():
+        sizes.setdefault(m.draw, {})[m.ordinal] = int(m.img_path[1:])
+    wanted = 0
+    for chosen in sizes.values():
+        orders[chosen[0]] = orders.get(chosen[0], 0) + 1
+        values = sorted(chosen.values())
+        wanted += len(values) * (len(values) - 1) / 2
+        for i, x in enumerate(values):
+            for y in values[i + 1 :]:
+                pairs[x, y] = pairs.get((x, y), 0) + 1
+    # chi-square of 77 and of 12 degrees of freedom: the bounds leave one in a million
+    assert len(sizes) == draws and len(pairs) == 78
+    assert sum((c - wanted / 78) ** 2 for c in pairs.values()) / (wanted / 78) < 150
+    assert sum((c - draws / pool) ** 2 for c in orders.values()) / (draws / pool) < 51
 
 
 def test_any_sample_size_without_a_hot_task(spark):
