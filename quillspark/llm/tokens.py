@@ -1,8 +1,12 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memory of pieces already encoded.
 
 A text is cut at single spaces, or at any white space where the tokenizer drops it. Neither tokenizer joins what stands left and right of
-a space before a character that is not white space, so the ids of a text are those of its pieces in a row (tests compare with whole texts). Pieces repeat; each
-is encoded once while it is remembered. Many new pieces go through the tokenizer in one call, parted by its own special token.
+a space before a character that is not white space, so the ids of a text are those of its pieces in a row (tests compare with whole texts). Punctuation
+behind a piece is cut off where the tokenizer itself shows that it never joins the character before it. Pieces repeat; each
+is encoded once while it is remembered, and those met only once are forgotten first. Many new pieces go through the tokenizer in one call: as running text where
+its tokens tell the pieces apart (a byte-level token that begins with a space begins a piece; a token that ends a word ends a piece of letters), else parted by its own special token.
+
+A special token's string in a text gets its own id, as the library gives it by default; `special_text` reads it as ordinary text.
 """
 
 import itertools
@@ -13,54 +17,112 @@ import numpy as np
 MOST_PIECES = 1_200_000  # some 300 MB of a worker
 _PUNCTUATION = ".,;:!?"
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"  # white space to str.split() alone
+_CALL = 4096  # pieces in one call
 _encoders = {}
 
 
-def encoder(path, spaced, most=MOST_PIECES):
+def encoder(path, spaced, most=MOST_PIECES, special_text=False):
     """The worker's encoder for a tokenizer file. spaced: a leading space is part of a piece (byte-level BPE); most: pieces to remember."""
-    if (path, spaced, most) not in _encoders:
+    key = path, spaced, most, special_text
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced, most] = Encoder(path, spaced, most)
-    return _encoders[path, spaced, most]
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class Encoder:
-    def __init__(self, path, spaced, most=MOST_PIECES):
+    def __init__(self, path, spaced, most=MOST_PIECES, special_text=False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.plain, self.parted, self.spaced, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced, most
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain.encode_special_tokens = special_text
         special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
         self.mark = sorted(special)[0]
         self.mark_id = special[self.mark]
+        edge = [(t.startswith("\u0120") if spaced else t.endswith("</w>"), i) for t, i in self.plain.get_vocab().items()]
+        self.edge = np.zeros(max(i for _, i in edge) + 1, bool)
+        self.edge[[i for at_edge, i in edge if at_edge]] = True
+        normal = self.plain.normalizer
+        self._normal = normal.normalize_str if normal else str
+        self._small = self._normal("A") == "a"
+        self._letters, self._ends = set(), {}
         self._forget()
 
     def _forget(self):
         self.codes, self.new = {}, []
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.bad = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, bool))
+        self.start, self.length, self.bad, self.met = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, bool, np.int64))
+
+    def _forget_rare(self):
+        """Keep the pieces met more than once, unless these are too many themselves."""
+        n = len(self.codes)
+        keep = self.met[:n] > 1
+        if keep.sum() > self.most // 2:
+            return self._forget()
+        at = np.cumsum(keep) - 1
+        self.codes = {piece: int(at[code]) for piece, code in self.codes.items() if keep[code]}
+        length = self.length[:n][keep]
+        pool = _gathered(self.pool, self.start[:n][keep], length)
+        self.pool, self.used = _room(pool, len(pool) + 1), len(pool)
+        self.start, self.length = _room(np.cumsum(length) - length, 1 << 16), _room(length, 1 << 16)
+        self.bad, self.met = _room(self.bad[:n][keep], 1 << 16), _room(self.met[:n][keep], 1 << 16)
+
+    def _is_letter(self, char):
+        if self._normal(char).isalpha():
+            self._letters.add(char)
+            return True
+        return False
+
+    def _is_end(self, char):
+        """Whether punctuation behind this character is always a part of its own."""
+        found = self._ends.get(char)
+        if found is None:
+            ids = lambda text: self.plain.encode(text, add_special_tokens=False).ids
+            found = char.isalnum() and all(ids(f" {x}{char}{p}") == ids(f" {x}{char}") + ids(p) for p in _PUNCTUATION for x in ("", "a", "1"))
+            self._ends[char] = found
+        return found
+
+    def _runs_on(self, segment):
+        """Whether the segment can stand in running text, its edges told by the tokens."""
+        if self.spaced:
+            return len(segment) > 1 and segment[0] == " " and not segment[1].isspace() and " " not in segment[1:]
+        return segment.isalpha() and (segment.isascii() or self._letters.issuperset(segment) or all(map(self._is_letter, segment)))
+
+    def _ids(self, text):
+        return np.array(self.parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _running(self, segments):
+        """Ids and lengths of segments in running text."""
+        ids = self._ids("".join(segments) if self.spaced else " ".join(segments))
+        cuts = np.flatnonzero(self.edge[ids])
+        if len(cuts) != len(segments):
+            return self._parted(segments)
+        return ids, np.diff(np.append(cuts, len(ids)) if self.spaced else np.append(-1, cuts))
+
+    def _parted(self, segments):
+        """Ids and lengths of segments parted by marks: one before each, so that none is lost when it is empty."""
+        ids = self._ids(self.mark + self.mark.join(segments))
+        cuts = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, cuts), np.diff(np.append(cuts, len(ids))) - 1
 
     def _segments(self, segments):
-        """Ids of all segments in a row, with starts and lengths: one call for those without a special token's string."""
-        odd = [i for i, s in enumerate(segments) if "<" in s]
-        alone = [self.plain.encode(segments[i], add_special_tokens=False).ids for i in odd]
-        for i in odd:
-            segments[i] = ""
-        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i in range(0, len(segments), 4096):
-            # one mark before each segment: none is lost when it is empty
-            text = self.mark + self.mark.join(segments[i : i + 4096])
-            ids = np.array(self.parted.encode(text, add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            lengths.append(np.diff(np.append(cuts, len(ids))) - 1)
-            flat.append(np.delete(ids, cuts))
-        lengths = np.concatenate(lengths)
-        starts = np.cumsum(lengths) - lengths
-        base = sum(map(len, flat))
-        for i, ids in zip(odd, alone):
-            starts[i], lengths[i], base = base, len(ids), base + len(ids)
-            flat.append(np.array(ids, np.uint32))
+        """Ids of all segments, with starts and lengths."""
+        kinds = [0 if "<" in s else 1 if self._runs_on(s) else 2 for s in segments]  # 0: may hold a special token's string
+        starts, lengths, flat, base = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64), [np.zeros(0, np.uint32)], 0
+        kinds = np.array(kinds, np.int8)
+        for kind, size in ((0, 1), (1, _CALL), (2, _CALL)):
+            rows = np.flatnonzero(kinds == kind)
+            for i in range(0, len(rows), size):
+                some = rows[i : i + size]
+                if kind:
+                    ids, n = (self._running if kind == 1 else self._parted)([segments[j] for j in some.tolist()])
+                else:
+                    ids = np.array(self.plain.encode(segments[some[0]], add_special_tokens=False).ids, np.uint32)
+                    n = np.array([len(ids)])
+                lengths[some], starts[some] = n, base + np.cumsum(n) - n
+                flat.append(ids)
+                base += len(ids)
         return np.concatenate(flat), starts, lengths
 
     def _learn(self):
@@ -73,10 +135,12 @@ class Encoder:
             body = piece[0] if head else piece
             core, tail = body.rstrip(_PUNCTUATION), ""
             if len(core) < len(body):
-                if core and core[-1].isalnum():
+                if core and (core[-1].isascii() and core[-1].isalnum() or self._is_end(core[-1])):
                     tail = body[len(core) :]
                 else:
                     core = body
+            if self._small and core.isascii() and "<" not in core:
+                core = core.lower()
             cores.append(where.setdefault(core if head or not self.spaced else " " + core, len(where)))
             tails.append(where.setdefault(tail, len(where)))
         ids, starts, lengths = self._segments(list(where))
@@ -86,10 +150,11 @@ class Encoder:
         self.pool = _room(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
         n = len(self.codes)
-        self.start, self.length, self.bad = (_room(x, n) for x in (self.start, self.length, self.bad))
+        self.start, self.length, self.bad, self.met = (_room(x, n) for x in (self.start, self.length, self.bad, self.met))
         self.start[first:n] = self.used + np.cumsum(lengths) - lengths
         self.length[first:n] = lengths
         self.bad[first:n] = [p.__class__ is str and (not p or p[0].isspace()) for p in new]
+        self.met[first:n] = 0
         self.used += len(flat)
 
     def _coded(self, pieces):
@@ -109,7 +174,7 @@ class Encoder:
     def encode(self, texts, end_id):
         """All ids of all texts, each text followed by `end_id`, and the n + 1 bounds between texts."""
         if len(self.codes) > self.most:
-            self._forget()
+            self._forget_rare()
         pieces = [t.split(" ") if self.spaced or any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
         coded = [self._coded(p) for p in pieces]
         self._learn()
@@ -119,6 +184,7 @@ class Encoder:
                 coded[i] = self._coded(_rejoined(pieces[i], self.bad[coded[i]]))
             self._learn()
         codes = np.concatenate([np.zeros(0, np.int64), *coded])
+        self.met[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
         lengths = self.length[codes]
         ids = _gathered(self.pool, self.start[codes], lengths)
         last = np.cumsum([len(c) for c in coded], dtype=np.int64)

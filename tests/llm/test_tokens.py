@@ -14,9 +14,9 @@ from quillspark.llm import packing, queries, token_files, tokens
 from odd import ODD
 
 
-def plain(name):
+def plain(name, special_text=False):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_text
     return lambda text, end: t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -26,13 +26,43 @@ def crc(ids):
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 @settings(max_examples=60, deadline=None)
-@given(texts=st.lists(st.text(alphabet="ab .,\n\t'sé́<|>Σ日\x1c\xa0\x0012", max_size=30), max_size=5))
+@given(texts=st.lists(st.text(alphabet="ab .,!:\n\t'sé́<|>Σ日\x1c\xa0\x0012İक़ড়ਖ਼שׁÀßǅ", max_size=30), max_size=5))
 def test_pieces_give_the_ids_of_whole_texts(name, spaced, texts):
     encode, coder = plain(name), tokens.encoder(public_tokenizers.path(name), spaced)
     ids, bounds = coder.encode(texts, 9)
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t, 9) for t in texts]
 
 
+@pytest.mark.parametrize("special_text", [False, True])
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_strings(name, spaced, special_text):
+    texts = ["<|endoftext|>", "a<|endoftext|>. b <|startoftext|> <|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "I'm <|endoftext|>'s.  <|endoftext|>  x"]
+    encode, coder = plain(name, special_text), tokens.Encoder(public_tokenizers.path(name), spaced, special_text=special_text)
+    ids, bounds = coder.encode(texts, 9)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t, 9) for t in texts]
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_character_before_and_behind_punctuation_and_white_space(name, spaced):
+    encode, coder = plain(name), tokens.Encoder(public_tokenizers.path(name), spaced)
+    chars = [chr(i) for i in [*range(0x3400), *range(0xA000, 0xA980), *range(0xAB00, 0xAC10), *range(0xD7A0, 0xD7FF), *range(0xF900, 0x10C00), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F700)] if not 0xD800 <= i < 0xE000]
+    for i in range(0, len(chars), 500):
+        texts = [f"a{c}. {c}, {c}a; B{c}: {c}! {c}? .{c} ,a{c}\n{c}\t{c} {c}" for c in chars[i : i + 500]]
+        ids, bounds = coder.encode(texts, 9)
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == encode(text, 9), ascii(text)
+
+
+def test_forgetting_changes_no_ids():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" if x % 3 else f"Word{x}." for x in rng.integers(0, 400, 40)) for _ in range(60)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        encode, coder = plain(name), tokens.Encoder(public_tokenizers.path(name), spaced, 150)
+        for i in range(0, 60, 5):
+            ids, bounds = coder.encode(texts[i : i + 5], 9)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t, 9) for t in texts[i : i + 5]]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_words_round_trip(ids):
