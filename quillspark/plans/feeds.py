@@ -21,25 +21,25 @@ def query(name, sql=None):
     return register
 
 
-def _arriving(spark, table, at, build, name, parts=3):
-    """What `build(stream)` gives when the table's rows arrive in `parts` slices of time, a run of the stream after each.
+def _arriving(spark, table, at, job, name, parts=3):
+    """What `job(stream, state, out, checkpoint)` gives when the table's rows arrive in `parts` slices of time, a run of the stream after each.
 
     Rows without a time come in the last slice: they are last in order too.
     """
     numbered = table.withColumn("__at", F.coalesce(at, F.lit(float("inf"))))
     cuts = numbered.where(F.col("__at") < float("inf")).approxQuantile("__at", [i / parts for i in range(1, parts)], 0.01)
     bounds = [float("-inf"), *cuts, float("inf")]
-    folder, out, checkpoint = (scratch_folder(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    folder, state, out, checkpoint = (scratch_folder(spark, f"{name}-{x}") for x in ("in", "state", "out", "checkpoint"))
     for low, high in zip(bounds, bounds[1:]):
         part = numbered.where((F.col("__at") > low) & (F.col("__at") <= high)).drop("__at")
         part.write.mode("append").parquet(folder)
-        rows = feeds.run_available(build(feeds.read_files(spark, folder, table.schema)), name, out, checkpoint)
+        rows = job(feeds.read_files(spark, folder, table.schema), state, out, checkpoint)
     return rows
 
 
-def _events(spark, sf_dir, build, name):
+def _events(spark, sf_dir, job, name):
     """The event stream, in the order of time."""
-    return _arriving(spark, a.table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), build, name)
+    return _arriving(spark, a.table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), job, name)
 
 
 def versions(events):
@@ -57,8 +57,8 @@ def versions(events):
  WHERE event_type IN ('error', 'view', 'click')""",
 )
 def stream_state_changes(spark, sf_dir):
-    build = lambda events: feeds.change_feed(versions(events), "id", "status", ["version"])
-    return _events(spark, sf_dir, build, "status").select("id", "status")
+    job = lambda events, *folders: feeds.change_feed(versions(events), "id", "status", ["version"], *folders)
+    return _events(spark, sf_dir, job, "status").select("id", "status")
 
 
 @query(
@@ -67,7 +67,7 @@ def stream_state_changes(spark, sf_dir):
  (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type""",
 )
 def stream_user_states(spark, sf_dir):
-    return _events(spark, sf_dir, lambda events: _user_states(events, F.col("event_type")), "users")
+    return _user_states(spark, sf_dir, F.col("event_type"), "users")
 
 
 @query(
@@ -77,14 +77,21 @@ def stream_user_states(spark, sf_dir):
   row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR p IS DISTINCT FROM event_type""",
 )
 def stream_null_states(spark, sf_dir):
-    state = F.nullif(F.col("event_type"), F.lit("view"))
-    return _events(spark, sf_dir, lambda events: _user_states(events, state), "nulls")
+    return _user_states(spark, sf_dir, F.nullif(F.col("event_type"), F.lit("view")), "nulls")
 
 
-def _user_states(events, state):
+def _quarter_day(micros):
+    return F.floor(F.col(micros) / (6 * 3600 * 1_000_000))
+
+
+def _user_states(spark, sf_dir, state, name):
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    timed = events.select("user_id", at, "event_id", state.alias("event_type"))
-    return feeds.change_feed(timed, "user_id", "event_type", ["at", "event_id"]).drop("at")
+
+    def job(events, *folders):
+        timed = events.select("user_id", at, "event_id", state.alias("event_type"))
+        return feeds.change_feed(timed, "user_id", "event_type", ["at", "event_id"], *folders, bucket=_quarter_day("at")).drop("at")
+
+    return _events(spark, sf_dir, job, name)
 
 
 @query(
@@ -102,8 +109,12 @@ def stream_latest_state(spark, sf_dir):
     return rows.select("user_id", "event_id", "event_type")
 
 
-def _ledger(events):
-    return a.ledger_events(events).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+def _ledger(feed, spark, sf_dir, name):
+    def job(events, *folders):
+        rows = a.ledger_events(events).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+        return feed(rows, "account", ["ts", "event_id"], "delta", *folders, bucket=_quarter_day("ts"), start=a.START)
+
+    return _events(spark, sf_dir, job, name)
 
 
 @query(
@@ -111,8 +122,7 @@ def _ledger(events):
     a.sql("", "led").rstrip() + ",\n" + LEDGER + "\nSELECT account, event_id, delta, accepted, balance FROM ledger",
 )
 def stream_ledger(spark, sf_dir):
-    build = lambda events: feeds.ledger_feed(_ledger(events), "account", ["ts", "event_id"], "delta", start=a.START)
-    return _events(spark, sf_dir, build, "ledger").drop("ts")
+    return _ledger(feeds.ledger_feed, spark, sf_dir, "ledger").drop("ts")
 
 
 @query(
@@ -120,8 +130,7 @@ def stream_ledger(spark, sf_dir):
     a.sql("", "led").rstrip() + ",\n" + LEDGER + "\nSELECT account, event_id, balance FROM ledger WHERE accepted",
 )
 def stream_balance(spark, sf_dir):
-    build = lambda events: feeds.balance_feed(_ledger(events), "account", ["ts", "event_id"], "delta", start=a.START)
-    return _events(spark, sf_dir, build, "balance").select("account", "event_id", "balance")
+    return _ledger(feeds.balance_feed, spark, sf_dir, "balance").select("account", "event_id", "balance")
 
 
 @query(
@@ -135,5 +144,5 @@ def stream_ingest(spark, sf_dir):
     table = a.table(spark, sf_dir, "documents").select("doc_id", "text")
     twice = table.unionByName(table.where(F.col("doc_id") % 3 == 0))  # keys come again, in the same part and in later ones
     at = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1000)).cast("double")
-    fresh = _arriving(spark, twice, at, lambda docs: feeds.ingest_feed(a.as_samples(docs), present), "ingest")
+    fresh = _arriving(spark, twice, at, lambda docs, *folders: feeds.ingest_feed(a.as_samples(docs), present, *folders), "ingest")
     return fresh.select("img_path", "split", F.length("label").cast("bigint").alias("chars"))

@@ -29,9 +29,14 @@ def read_csv(spark, path, schema, null_text=NULL_TEXT):
     return spark.read.schema(schema).options(**_CSV, nullValue=null_text).csv(path)
 
 
+def fs_path(spark, path):
+    """The file system of a path, and the path for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def _listing(spark, root):
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, path = fs_path(spark, root)
     return files, ([s.getPath() for s in files.listStatus(path)] if files.exists(path) else [])
 
 
@@ -69,15 +74,6 @@ def save_version(df, root):
     return _save_next(df.sparkSession, root, _evenly(df, "split").write.mode("error").partitionBy("split").parquet)
 
 
-def save_snapshot(df, root):
-    """As `save_version`, for a table without splits."""
-    return _save_next(df.sparkSession, root, df.write.mode("error").parquet)
-
-
-def load_snapshot(spark, root, schema):
-    return spark.read.schema(schema).parquet(f"{root}/v{versions(spark, root)[-1]:06d}")
-
-
 def _evenly(df, *folders):
     """Rows gathered per folder in parts of even size: few files, and a hot folder gets many tasks."""
     return df.hint("rebalance", *[F.col(c) for c in folders])

@@ -1,17 +1,18 @@
-"""Change-only feeds and the credit ledger as Structured Streaming jobs.
+"""Change-only feeds, the credit ledger, ingest and latest state as Structured Streaming jobs.
 
-State is one small row per key. Rows of a micro-batch are put in event order inside each key and folded chunk by chunk; the
-size of a micro-batch is set by the source (`maxBytesPerTrigger`).
+Each job folds micro-batches into a bucketed state (`state.py`) with the operators that batch queries use: windows run inside cells of the order, so a key with
+a third of all rows is spread over tasks, and no Python runs on the workers. A micro-batch is as large as the source allows (`maxBytesPerTrigger`).
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quillspark import fixed, workers
+from quillspark import fixed
+from quillspark.operators import ledger, ordered
 from quillspark.operators.registry import KEY, new_entries
-from quillspark.session import scratch_folder
-from quillspark.sources import tables
+from quillspark.streaming.state import BUCKETS, BucketedState, run_folds
+
+_STORED, _LAST = -(1 << 62), (1 << 63) - 1  # buckets of the order before and behind all others
 
 
 def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=None, bytes_per_trigger=1 << 30):
@@ -27,103 +28,82 @@ def read_files(spark, folder, schema, pattern="*.parquet", files_per_trigger=Non
     )
 
 
-def run_available(stream, name, path=None, checkpoint=None):
-    """Process what is there into a Parquet folder and stop; a second run goes on from there."""
-    spark = stream.sparkSession
-    path = path or scratch_folder(spark, f"{name}-out")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint or scratch_folder(spark, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def _placed(batch, stored, order, bucket):
+    """Stored rows in front of the rows of a batch, with columns that order them (nulls last) and a bucket that follows that order."""
+    rows = batch.withColumn("__new", F.lit(1)).withColumn("__at", F.coalesce(bucket.cast("bigint"), F.lit(_LAST)))
+    rows = rows.unionByName(stored.withColumn("__new", F.lit(0)).withColumn("__at", F.lit(_STORED)), allowMissingColumns=True)
+    places = {f"__{part}{i}": x for i, c in enumerate(order) for part, x in (("behind", F.col(c).isNull()), ("by", F.col(c)))}
+    return rows.withColumns(places), ["__new", *places]
 
 
-def change_feed(versions, key, state, order, forget_after_ms=None):
+def change_feed(versions, key, state, order, root, out, checkpoint=None, bucket=None, buckets=BUCKETS):
     """A row per key whenever its state differs from the last one shown; states may come back.
 
-    A null is a state like any other. Rows of a micro-batch are taken in `order` inside their key; a row that comes
-    in a later micro-batch is taken as it arrives, even if it is older: it changes what is shown. `forget_after_ms`
-    drops the state of keys without news for that time, and their next row counts as a first one; it is for
-    queries that run on, as Spark never ends a run of what is available while such a timer may fire.
+    A null is a state like any other. Rows of a micro-batch are taken in `order` inside their key, nulls last; a row that comes
+    in a later micro-batch is taken as it arrives, even if it is older: it changes what is shown. `bucket` is a column that follows the order, to
+    spread the rows of one key.
     """
     columns = list(dict.fromkeys([key, *order, state]))
-    fields = [versions.schema[c] for c in columns]
-    # pandas holds whole numbers with nulls as floats
-    plain = int if isinstance(versions.schema[state].dataType, T.IntegralType) else lambda x: x
-
-    def changes(group, batches, stored):
-        import pandas as pd
-
-        if stored.hasTimedOut:
-            stored.remove()
-            return
-        last = stored.get[0] if stored.exists else object()
-        for rows in workers.sorted_chunks(batches, order):
-            states = [None if pd.isna(x) else plain(x) for x in rows[state]]
-            previous, last = [last, *states[:-1]], states[-1]
-            yield rows[[now is not before and now != before for now, before in zip(states, previous)]][columns]
-        stored.update((last,))
-        if forget_after_ms:
-            stored.setTimeoutDuration(forget_after_ms)
-
-    remembered = T.StructType([T.StructField("shown", versions.schema[state].dataType)])
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
-    return versions.select(*columns).groupBy(key).applyInPandasWithState(changes, T.StructType(fields), remembered, "append", timeout)
-
-
-def ledger_feed(events, account, order, delta, start=fixed.START_BALANCE):
-    """Every event with `accepted` and the account's `balance` after it."""
+    kept = T.StructType([T.StructField(key, versions.schema[key].dataType), T.StructField("__shown_state", versions.schema[state].dataType)])
+    bucket = F.lit(0) if bucket is None else bucket
+
+    def fold(batch, stored):
+        rows, places = _placed(batch, stored.select(key, F.col("__shown_state").alias(state)), order, bucket)
+        changes = ordered.state_changes(rows, [key], state, places, F.col("__at")).where("__new = 1").select(*columns)
+        last = F.max_by(F.struct(F.col(state).alias("s")), F.struct(*places))
+        return changes, rows.groupBy(key).agg(last.alias("__s")).select(key, F.col("__s.s").alias("__shown_state"))
+
+    return run_folds(versions.select(*columns), BucketedState(versions.sparkSession, root, [key], kept, buckets), fold, out, checkpoint)
+
+
+def ledger_feed(events, account, order, delta, root, out, checkpoint=None, bucket=None, start=fixed.START_BALANCE, buckets=BUCKETS):
+    """Every event with `accepted` and the account's `balance` after it.
+
+    The stored balance stands in front of a micro-batch as an event that leads from `start` to it.
+    """
     columns = [account, *order, delta]
-    fields = [events.schema[c] for c in columns]
-    fields += [T.StructField("accepted", T.BooleanType()), T.StructField("balance", T.LongType())]
-
-    def fold(group, batches, stored):
-        balance = stored.get[0] if stored.exists else start
-        for rows in workers.sorted_chunks(batches, order):
-            accepted, after = workers.ledger_steps(rows[delta].to_numpy(), balance)
-            balance = int(after[-1])
-            yield rows[columns].assign(accepted=accepted, balance=after)
-        stored.update((balance,))
-
-    remembered = T.StructType([T.StructField("balance", T.LongType())])
-    return (
-        events.select(*columns)
-        .groupBy(account)
-        .applyInPandasWithState(fold, T.StructType(fields), remembered, "append", GroupStateTimeout.NoTimeout)
-    )
+    kept = T.StructType([T.StructField(account, events.schema[account].dataType), T.StructField("balance", T.LongType())])
+    bucket = F.lit(0) if bucket is None else bucket
+
+    def fold(batch, stored):
+        rows, places = _placed(batch, stored.select(account, (F.col("balance") - start).alias(delta)), order, bucket)
+        steps = ledger.balance_ledger(rows, account, places, delta, F.col("__at"), start)
+        last = F.max_by("balance", F.struct(*places)).alias("balance")
+        return steps.where("__new = 1").select(*columns, "accepted", "balance"), steps.groupBy(account).agg(last)
 
+    return run_folds(events.select(*columns), BucketedState(events.sparkSession, root, [account], kept, buckets), fold, out, checkpoint)
 
-def balance_feed(events, account, order, delta, start=fixed.START_BALANCE):
-    """Balances to show: those that an event changed."""
-    return ledger_feed(events, account, order, delta, start).where("accepted")
 
+def balance_feed(*args, **options):
+    """Balances to show: those that an event changed. Arguments are those of `ledger_feed`."""
+    return ledger_feed(*args, **options).where("accepted")
 
-def ingest_feed(incoming, current):
+
+def ingest_feed(incoming, current, root, out, checkpoint=None, buckets=BUCKETS):
     """New files' rows whose key neither the registry nor an earlier row of the stream has.
 
-    The state is one row per accepted key, as the registry itself.
+    Keys of the registry are put into buckets once (when `root` is new); a micro-batch is held against the buckets of its own keys only, and Spark keeps no state.
     """
-    return new_entries(incoming, current).dropDuplicates(KEY)
+    schema = T.StructType([incoming.schema[c] for c in KEY])
+    known = BucketedState(incoming.sparkSession, root, KEY, schema, buckets)
+    if not known.has_versions():
+        known.seed(current.select(*KEY).distinct())
 
+    def fold(batch, keys):
+        fresh = new_entries(batch.dropDuplicates(KEY), keys)
+        return fresh.select(*incoming.columns), keys.unionByName(fresh.select(*KEY))
 
-def keep_latest(stream, keys, order, root, checkpoint):
-    """Merge each micro-batch into a snapshot of the latest row per key, saved as the next version below `root`.
+    return run_folds(incoming, known, fold, out, checkpoint)
 
-    A repeated micro-batch merges to the same snapshot.
-    """
 
-    def merge(batch, _):
-        spark = batch.sparkSession
-        rows = batch
-        if tables.versions(spark, root):
-            rows = rows.unionByName(tables.load_snapshot(spark, root, batch.schema))
+def keep_latest(stream, keys, order, root, checkpoint=None, buckets=BUCKETS):
+    """The latest row per key of all that has come; a micro-batch rewrites the buckets of its keys only."""
+    state = BucketedState(stream.sparkSession, root, keys, stream.schema, buckets)
+
+    def fold(batch, stored):
+        rows = batch.unionByName(stored)
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("__row")).select("__row.*")
-        tables.save_snapshot(newest, root)
+        return None, newest
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return tables.load_snapshot(stream.sparkSession, root, stream.schema)
+    run_folds(stream, state, fold, None, checkpoint)
+    return state.rows()

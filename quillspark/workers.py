@@ -154,74 +154,3 @@ def pixel_hash(height, width, channels, data, side):
     cosines = np.cos(np.pi * np.outer(steps, 2 * steps + 1) / (2 * size))
     low = (cosines @ small @ cosines.T)[:side, :side]
     return np.packbits(low > np.median(low)).tobytes().hex()
-
-
-def sorted_chunks(batches, order, rows=200_000):
-    """The rows of pandas `batches` in `order`, nulls last, as frames that are about `rows` long.
-
-    More rows than that are sorted piece by piece into temporary files of the task and merged from there.
-    """
-    import bisect
-    import pickle
-    import tempfile
-
-    import pandas as pd
-
-    block = max(1, rows // 16)
-
-    def saved(frames):
-        run, file = pd.concat(frames).sort_values(order), tempfile.TemporaryFile()
-        for at in range(0, len(run), block):
-            pickle.dump(run.iloc[at : at + block], file)
-        file.seek(0)
-        return file
-
-    def read(file):
-        try:
-            return pickle.load(file)
-        except EOFError:
-            file.close()
-            return None
-
-    def key(frame, i):
-        values = [frame[c].iat[i] for c in order]
-        return [(True, 0) if pd.isna(v) else (False, v) for v in values]
-
-    held, n, files = [], 0, []
-    for frame in batches:
-        for at in range(0, len(frame), rows):
-            held.append(frame.iloc[at : at + rows])
-            n += len(held[-1])
-            if n >= rows:
-                files.append(saved(held))
-                held, n = [], 0
-    if not files:
-        if held:
-            yield pd.concat(held).sort_values(order)
-        return
-    if held:
-        files.append(saved(held))
-    del held
-    heads = [(file, read(file)) for file in files]
-    while heads:
-        # rows up to the end of the head that ends first: no later head has rows before it
-        bound = min(key(head, len(head) - 1) for _, head in heads)
-        ready, left = [], []
-        for file, head in heads:
-            cut = bisect.bisect_right(range(len(head)), bound, key=lambda i: key(head, i))  # noqa: B023
-            ready.append(head.iloc[:cut])
-            head = head.iloc[cut:] if cut < len(head) else read(file)
-            if head is not None:
-                left.append((file, head))
-        heads = left
-        yield pd.concat([x for x in ready if len(x)]).sort_values(order)
-
-
-def ledger_steps(deltas, start):
-    """(accepted, balance after) of deltas in order; requests at balance 0 are refused."""
-    import numpy as np
-
-    sums = start + np.cumsum(np.asarray(deltas, dtype=np.int64))
-    floors = np.minimum(np.minimum.accumulate(sums), 0)
-    before = np.concatenate(([0], floors[:-1]))
-    return (np.asarray(deltas) > 0) | (sums >= before), sums - floors

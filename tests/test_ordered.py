@@ -55,10 +55,9 @@ def test_stream_ledger_over_several_batches(spark, tmp_path):
     for part in range(3):
         chunk = rows[part * 500 : part * 500 + 500]
         spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        feed = feeds.ledger_feed(
+        out = feeds.ledger_feed(
             feeds.read_files(spark, str(tmp_path / "in"), "account long, sec long, id long, delta long"),
-            "account", ["sec", "id"], "delta", start=2)
-        out = feeds.run_available(feed, "t", str(tmp_path / "out"), str(tmp_path / "cp"))
+            "account", ["sec", "id"], "delta", *[str(tmp_path / x) for x in ("state", "out", "cp")], bucket=F.floor(F.col("sec") / 5000), start=2)
     got = {r.id: (r.accepted, r.balance) for r in out.collect()}
     assert got == expected_ledger(rows, 2)
 
@@ -69,8 +68,7 @@ def test_status_feed_shows_changes_only(spark, tmp_path):
         spark.createDataFrame(rows, "id long, version int, status string").coalesce(1).write.mode("append").parquet(
             str(tmp_path / "in"))
         stream = feeds.read_files(spark, str(tmp_path / "in"), "id long, version int, status string")
-        changes = feeds.change_feed(stream, "id", "status", ["version"])
-        out = feeds.run_available(changes, "c", str(tmp_path / "out"), str(tmp_path / "cp"))
+        out = feeds.change_feed(stream, "id", "status", ["version"], *[str(tmp_path / x) for x in ("state", "out", "cp")])
     assert sorted(tuple(r) for r in out.collect()) == [
         (1, 0, "loading"), (1, 2, "failed"), (2, 0, "loading"), (2, 1, "response")]
 
@@ -79,8 +77,7 @@ def test_change_feed_takes_null_as_a_state(spark, tmp_path):
     for rows in ([(1, 1, None), (1, 2, None), (1, 3, 7)], [(1, 4, 7), (1, 5, None)], [(1, 6, None), (1, 7, 8)]):
         spark.createDataFrame(rows, "id long, version int, status long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = feeds.read_files(spark, str(tmp_path / "in"), "id long, version int, status long")
-        out = feeds.run_available(
-            feeds.change_feed(stream, "id", "status", ["version"]), "c", str(tmp_path / "out"), str(tmp_path / "cp"))
+        out = feeds.change_feed(stream, "id", "status", ["version"], *[str(tmp_path / x) for x in ("state", "out", "cp")])
     assert sorted(r.version for r in out.collect()) == [1, 3, 5, 7]
 
 
