@@ -5,7 +5,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_PRIME = (1 << 31) - 1
+_BASES = (0x2545F491 % _PRIME, 0x5851F42D % _PRIME)
+_BLOCK = 1 << 24  # so many products of 39 bits add up in 64
 _tables = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,29 +57,49 @@ def words(data, offsets, is_word=NOT_SPACE):
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets)
 
 
+def _reduced(x):
+    """64-bit numbers modulo the prime 2^31 - 1."""
+    for _ in range(2):
+        x = (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+    return x - np.uint64(_PRIME) * (x >= np.uint64(_PRIME))
+
+
 def _powers(base, n):
-    """base ** 0 .. base ** n, modulo 2 ** 64."""
-    table = _tables.get(int(base))
+    """base ** 0 .. base ** n, modulo the prime."""
+    table = _tables.get(base)
     if table is None or len(table) <= n:
-        table = np.full(max(n, SLICE_BYTES) + 1, base, np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
+        table = np.ones(1, np.uint64)
+        while len(table) <= max(n, SLICE_BYTES):
+            table = np.concatenate([table, _reduced(table * np.uint64(pow(base, len(table), _PRIME)))])
         if n <= 4 * SLICE_BYTES:
-            _tables[int(base)] = table
+            _tables[base] = table
     return table[: n + 1]
 
 
 def prefix_sums(data):
-    """Sums of (byte + 1) * step ** place before each place: a span's hash is a difference of two."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(data))[:-1], out=sums[1:])
+    """For two bases, sums of (byte + 1) * base ** place before each place: a span's hash comes from differences of two of them.
+
+    Arithmetic is modulo a prime. Modulo a power of two, a long word and its image under an exchange of two letters can have one hash for every base.
+    """
+    codes = data.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros((len(_BASES), len(data) + 1), np.uint64)
+    for row, base in zip(sums, _BASES):
+        powers = _powers(base, len(data))
+        for at in range(0, len(data), _BLOCK):
+            part = row[at + 1 : at + _BLOCK + 1]
+            np.cumsum(codes[at : at + _BLOCK] * powers[at : at + len(part)], out=part)
+            part += _reduced(row[at : at + 1])
     return sums
 
 
 def span_hashes(sums, starts, ends):
-    """Equal bytes have equal hashes wherever they stand."""
-    back = _powers(_BACK, len(sums) - 1)
-    return mixed((sums[ends] - sums[starts]) * back[starts])
+    """64-bit hashes of spans: equal bytes have equal hashes wherever they stand. Two numbers of 31 bits and the length tell others apart."""
+    out = np.zeros(len(starts), np.uint64)
+    for row, base in zip(sums, _BASES):
+        apart = _reduced(row[ends]) + np.uint64(_PRIME) - _reduced(row[starts])
+        back = _powers(pow(base, -1, _PRIME), sums.shape[1] - 1)[starts]
+        out = (out << np.uint64(31)) | _reduced(_reduced(apart) * back)
+    return mixed(mixed(out) + (ends - starts).astype(np.uint64))
 
 
 def mixed(h):
