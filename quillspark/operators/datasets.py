@@ -120,3 +120,16 @@ def manifest(file_names):
     return json.dumps(
         {name: {"file_name": file, **fixed.DATASETS[name]} for name, file in file_names.items()}, indent=4
     )
+
+
+def read_manifest(spark, path):
+    """(dataset, file_name, name of the trainer, name in our table) of every column in a manifest file."""
+    columns = T.MapType(T.StringType(), T.StringType())
+    kind = T.MapType(T.StringType(), T.StructType().add("file_name", "string").add("columns", columns))
+    text = spark.read.text(path, wholetext=True)
+    each = text.select(F.explode(F.from_json("value", kind)).alias("dataset", "about"))
+    return each.select("dataset", F.col("about.file_name").alias("file_name"), F.explode("about.columns").alias("theirs", "ours"))
+
+
+def write_manifest(spark, file_names, path):
+    spark.createDataFrame([(manifest(file_names),)], "value string").coalesce(1).write.text(path)

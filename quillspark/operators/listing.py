@@ -1,5 +1,6 @@
 """Listings, pages, checks and deletes of the session-scoped application tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.rules import status
@@ -22,6 +23,30 @@ def session_page(df, session_id, when, page, size):
     return session_rows(df, session_id, when, number=size, offset=(page - 1) * size)
 
 
+def deep_page(df, session_id, when, page, size, bucket_seconds=3600):
+    """A page of a session's newest-first rows at any depth, without sorting or carrying the rows before it.
+
+    Counts per time bucket tell which buckets hold the page; the scan then reads only rows of their range of time, and sorts them. The rows without a time
+    are one bucket, the last. A page costs as much as its buckets hold, whatever its number.
+    """
+    offset = (page - 1) * size
+    mine = df.where(F.col("session_id") == session_id)
+    counts = mine.groupBy(time_bucket(F.col(when), bucket_seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    newest = Window.orderBy(F.col("b").desc_nulls_last())  # a row per bucket of one session
+    held = counts.withColumn("end", F.sum("n").over(newest)).withColumn("start", F.col("end") - F.col("n"))
+    held = held.where((F.col("end") > offset) & (F.col("start") < offset + size))
+    low, high, start, no_time = held.agg(F.min("b"), F.max("b"), F.min("start"), F.max(F.col("b").isNull())).first()
+    if start is None:
+        return mine.limit(0)
+    inside = F.lit(False)
+    if low is not None:
+        first, last = (F.timestamp_micros(F.lit(int(b) * bucket_seconds * 1_000_000)) for b in (low, high + 1))
+        inside = (F.col(when) >= first) & (F.col(when) < last)
+    if no_time:
+        inside = inside | F.col(when).isNull()
+    return mine.where(inside).orderBy(F.col(when).desc(), F.col("id").desc()).offset(offset - start).limit(size)
+
+
 def rows_by_ids(df, wanted):
     """Rows whose (id, session_id) is in `wanted`: the id filter for lists of any length."""
     return df.join(wanted.select("id", "session_id").distinct(), ["id", "session_id"], "left_semi")

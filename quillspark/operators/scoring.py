@@ -13,6 +13,7 @@ from quillspark import fixed, workers
 from quillspark.functions import rules, vectors
 from quillspark.operators import registry as reg
 from quillspark.operators.sampling import sample_per_split
+from quillspark.session import written
 
 KEY = reg.KEY
 
@@ -74,6 +75,51 @@ def label_with_student(registry, factory, name, value="img_path"):
     return reg.merge_scores(registry, logits.select(*KEY, best.cast("int").alias("score")))
 
 
+COUNT_SCALE = 1 << 20
+
+
+class CountedStudent:
+    """A multinomial naive Bayes model in whole numbers: `words` has a row (word, w1, w2, ...), the gain of each class for a token of that word;
+    `start` and `token` are each class's share and its gain for any token. Gains are natural logarithms times 2^20, rounded."""
+
+    def __init__(self, classes, words, start, token):
+        self.classes, self.words, self.start, self.token = classes, words, start, token
+
+
+def _gain(number):
+    return F.round(F.ln(number) * COUNT_SCALE).cast("bigint")
+
+
+def counted_student(registry, text="label", classes=fixed.CLASSES):
+    """A student in closed form: counts of words per class over the scored rows, each task adding up its own first.
+
+    Only the table of words grows with the data, and it stays distributed; the driver gets the totals of the classes. A class without rows has the share of one row in them.
+    """
+    classes = [int(c) for c in classes]
+    scored = registry.where(F.col("score").isin(*classes) & F.col(text).isNotNull())
+    of = [(F.col("score") == c).cast("bigint") for c in classes]
+    tokens = scored.select("score", F.explode(F.regexp_extract_all(F.col(text), F.lit(fixed.WORD_TOKEN), F.lit(0))).alias("word"))
+    counts = written(tokens.groupBy("word").agg(*[F.sum(x).alias(f"n{c}") for c, x in zip(classes, of)]), "word-counts")
+    rows = scored.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(f"r{c}") for c, x in zip(classes, of)])
+    totals = counts.agg(F.count(F.lit(1)).alias("v"), *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in classes])
+    everything = sum((F.col(f"r{c}") for c in classes), F.lit(len(classes)))
+    start = [_gain((F.col(f"r{c}") + 1) / everything) for c in classes]
+    token = [-_gain(F.col(f"t{c}") + F.col("v") + 1) for c in classes]
+    found = rows.crossJoin(totals).select(F.array(*start).alias("start"), F.array(*token).alias("token")).first()  # two single rows
+    words = counts.select("word", *[_gain(F.col(f"n{c}") + 1).alias(f"w{c}") for c in classes])
+    return CountedStudent(classes, words, found.start, found.token)
+
+
+def label_with_counts(registry, student, text="label"):
+    """Scores for the rows without one: the class with the largest sum of gains, the lower one on a tie. Unknown words and empty texts are taken as they come."""
+    tokens = reg.unscored(registry).where(F.col(text).isNotNull()).select(*KEY, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(fixed.WORD_TOKEN), F.lit(0))).alias("word"))
+    known = tokens.join(student.words, "word", "left")
+    sums = known.groupBy(*KEY).agg(F.count("word").alias("n"), *[F.coalesce(F.sum(f"w{c}"), F.lit(0)).alias(f"w{c}") for c in student.classes])
+    total = [F.col(f"w{c}") + F.col("n") * token + start for c, token, start in zip(student.classes, student.token, student.start)]
+    best = F.array_max(F.array(*[F.struct(x.alias("x"), F.lit(-c).alias("c")) for c, x in zip(student.classes, total)]))
+    return reg.merge_scores(registry, sums.select(*KEY, (-best["c"]).cast("int").alias("score")))
+
+
 def trained_student(registry, text="label", features=1 << 12, iterations=20):
     """A text classifier trained on the scored rows, as a stand-in for an image classifier."""
     stages = [

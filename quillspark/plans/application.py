@@ -149,6 +149,26 @@ def key_page(spark, sf_dir):
     return page.select("id", "key", clock("granted_at").alias("granted"))
 
 
+_CROWDS = """crowds AS (SELECT event_id AS id, ts AS request_at, event_type AS session_id FROM events),
+largest AS (SELECT session_id, count(*) AS n FROM crowds GROUP BY 1 ORDER BY n DESC, session_id LIMIT 1)"""
+
+
+@query(
+    "gen_page_deep",
+    "WITH " + _CROWDS + f"""
+SELECT id, epoch_us(request_at) AS request_at FROM (SELECT *, row_number() OVER (ORDER BY request_at DESC NULLS LAST, id DESC) AS r FROM crowds JOIN largest USING (session_id))
+WHERE r > (greatest(n // {fixed.GENS_PER_PAGE}, 1) - 1) * {fixed.GENS_PER_PAGE} AND r <= greatest(n // {fixed.GENS_PER_PAGE}, 1) * {fixed.GENS_PER_PAGE}""",
+)
+def gen_page_deep(spark, sf_dir):
+    """The last full page of the largest session: here a session is all events of a kind, a few of which hold the whole table."""
+    events = a.table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("request_at"), F.col("event_type").alias("session_id"))
+    largest = listing.session_counts(rows).orderBy(F.desc("n_rows"), "session_id").first()
+    page = max(largest.n_rows // fixed.GENS_PER_PAGE, 1)
+    rows = listing.deep_page(rows, largest.session_id, "request_at", page, fixed.GENS_PER_PAGE)
+    return rows.select("id", F.unix_micros("request_at").alias("request_at"))
+
+
 @query(
     "gen_pages",
     a.sql(

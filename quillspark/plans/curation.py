@@ -508,8 +508,34 @@ def student_scores(spark, sf_dir):
     return scoring.label_with_student(rows, rule_student, "rule_student").select("img_path", "split", "score")
 
 
-@query("quality_model")
+_COUNTED = f"""ln AS (SELECT * FROM scored WHERE score IN ({", ".join(fixed.CLASSES)})),
+tokens AS (SELECT score, unnest(regexp_extract_all(label, '[^ \\t\\n\\x0b\\f\\r]+')) AS word FROM ln),
+counts AS (SELECT word, unnest([1, 2, 3]) AS c, unnest([count(*) FILTER (score = 1), count(*) FILTER (score = 2), count(*) FILTER (score = 3)]) AS n FROM tokens GROUP BY word),
+classes AS (SELECT c, (SELECT count(*) FROM ln WHERE score = c) AS r, (SELECT sum(n) FROM counts k WHERE k.c = u.c) AS t,
+ (SELECT count(DISTINCT word) FROM tokens) AS v FROM (SELECT unnest([1, 2, 3]) AS c) u),
+gains AS (SELECT c, round(ln((r + 1) / (sum(r) OVER () + 3)) * {scoring.COUNT_SCALE})::BIGINT AS start, -round(ln(t + v + 1) * {scoring.COUNT_SCALE})::BIGINT AS token FROM classes),
+asked AS (SELECT img_path, split, regexp_extract_all(label, '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM scored WHERE score IS NULL AND label IS NOT NULL),
+words AS (SELECT img_path, split, unnest(w) AS word FROM asked),
+known AS (SELECT img_path, split, c, sum(round(ln(n + 1) * {scoring.COUNT_SCALE})::BIGINT) AS s FROM words JOIN counts USING (word) GROUP BY ALL),
+totals AS (SELECT a.img_path, a.split, g.c, start + token * len(w) + coalesce(s, 0) AS x FROM asked a CROSS JOIN gains g
+ LEFT JOIN known k ON k.img_path = a.img_path AND k.split = a.split AND k.c = g.c),
+best AS (SELECT img_path, split, c FROM totals QUALIFY row_number() OVER (PARTITION BY img_path, split ORDER BY x DESC, c) = 1)"""
+
+
+@query(
+    "quality_model",
+    a.sql("", "reg", "sc", "scored").rstrip() + ",\n" + _COUNTED
+    + "\nSELECT img_path, split, coalesce(score, c)::INTEGER AS score FROM scored LEFT JOIN best USING (img_path, split)",
+)
 def quality_model(spark, sf_dir):
+    """Teacher's scores -> a student counted from them -> scores for all rows."""
+    rows = a.registry(spark, sf_dir, spread=True).drop("doc_id")
+    return scoring.label_with_counts(rows, scoring.counted_student(rows)).select("img_path", "split", "score")
+
+
+@query("quality_regression")
+def quality_regression(spark, sf_dir):
+    """The same with an iterative student; its values have no SQL."""
     rows = a.registry(spark, sf_dir).drop("doc_id")
     return scoring.label_with_model(rows, scoring.trained_student(rows)).select("img_path", "split", "score")
 
@@ -608,6 +634,22 @@ def manifest_projection(spark, sf_dir):
     )
 
 
+@query(
+    "manifest_roundtrip",
+    a.sql(f"SELECT 'sft' AS dataset, 'sft.json' AS file_name, md5(label) AS reply_md5, img_path AS picture FROM reg", "reg"),
+)
+def manifest_roundtrip(spark, sf_dir):
+    """A manifest is written, and the records are projected by what is read back from it."""
+    path = scratch_folder(spark, "manifest")
+    datasets.write_manifest(spark, {"sft": "sft.json", "dpo": "dpo.json"}, path)
+    rows = datasets.read_manifest(spark, path).where("dataset = 'sft'").collect()  # a row per column name
+    columns = {r.theirs: r.ours for r in rows}
+    projected = reg.apply_manifest(datasets.sft_records(a.samples(spark, sf_dir)), {"columns": columns})
+    return projected.select(
+        F.lit(rows[0].dataset).alias("dataset"), F.lit(rows[0].file_name).alias("file_name"),
+        F.md5(F.col("messages")[1]["value"]).alias("reply_md5"), F.col("images")[0].alias("picture"))
+
+
 @query(
     "chat_records",
     f"""SELECT page_id, 'system' AS first_role, '{fixed.SYSTEM_PROMPT}' AS first_text, 'user' AS second_role,
@@ -788,7 +830,20 @@ def block_hash(spark, sf_dir):
     return a.logits(spark, sf_dir).select("vec_id", vectors.median_block_hash(F.col("logits")).alias("phash"))
 
 
-@query("image_hashes")
+# the picture's bytes row by row, 32 wide, and both transforms as sums over pixels
+_PIXELS = """raw AS (SELECT page_id, hex(encode(html)) AS h, greatest(ceil(octet_length(encode(html)) / 32), 1)::BIGINT AS lines FROM pages),
+bytes AS (SELECT page_id, lines, i // 32 AS y, i % 32 AS x, coalesce(('0x' || nullif(substr(h, 2 * i + 1, 2), ''))::INTEGER, 0) AS v
+ FROM (SELECT *, unnest(range(0, lines * 32)) AS i FROM raw)),
+parts AS (SELECT page_id, x, v, r, least((r + 1) * lines / 32, y + 1) - greatest(r * lines / 32, y) AS w
+ FROM (SELECT *, unnest(range((y * 32) // lines, ((y + 1) * 32 - 1) // lines + 1)) AS r FROM bytes) WHERE r < 32),
+small AS (SELECT page_id, r, x, sum(w * v) / sum(w) AS g FROM parts WHERE w > 0 GROUP BY ALL),
+lines AS (SELECT page_id, u, x, sum(g * cos(pi() * u * (2 * r + 1) / 64)) AS g FROM small, range(0, 8) t(u) GROUP BY ALL),
+low AS (SELECT page_id, u, v, sum(g * cos(pi() * v * (2 * x + 1) / 64)) AS g FROM lines, range(0, 8) t(v) GROUP BY ALL),
+bits AS (SELECT page_id, u, v, g > median(g) OVER (PARTITION BY page_id) AS bit FROM low),
+octets AS (SELECT page_id, u, sum(CASE WHEN bit THEN 1 << (7 - v)::INTEGER ELSE 0 END)::BIGINT AS o FROM bits GROUP BY ALL)"""
+
+
+@query("image_hashes", "WITH " + _PIXELS + "\nSELECT page_id, string_agg(lower(lpad(to_hex(o), 2, '0')), '' ORDER BY u) AS phash FROM octets GROUP BY page_id")
 def image_hashes(spark, sf_dir):
     pictures = a.page_pictures(spark, sf_dir)
     return pictures.select("page_id", images.perceptual_hash(F.col("image")).alias("phash"))

@@ -246,3 +246,48 @@ def test_manifest(spark):
     df = make(spark, [("a", "x", "y")], "img_path string, label string, pred string")
     out = reg.apply_manifest(datasets.dpo_records(df), fixed.DATASETS["dpo"])
     assert out.columns == ["messages", "chosen", "rejected", "images"]
+
+
+def test_counted_student_is_the_plain_rule(spark):
+    import math
+
+    rng = random.Random(2)
+    words = {1: "aa bb cc dd", 2: "bb cc ee ff", 3: "gg hh aa ff"}
+    rows = []
+    for i in range(300):
+        score = rng.choice([1, 2, 2, 3])
+        label = " ".join(rng.choices(words[score].split() + ["zz"], k=rng.randrange(0, 12)))
+        rows.append((f"p{i}", label, "train" if i % 4 else "valid", score if i % 2 else None))
+    rows += [("e", "", "train", None), ("n", None, "train", None), ("m", None, "train", 1), ("u", "new words \t only", "train", None), ("o", "aa", "train", 9)]
+    df = make(spark, rows).repartition(4)
+    student = scoring.counted_student(df)
+    got = {r.img_path: r.score for r in scoring.label_with_counts(df, student).collect()}
+    gain = lambda x: round(math.log(x) * 2**20)
+    known = [r for r in rows if r[3] in (1, 2, 3) and r[1] is not None]
+    counts = {c: {} for c in (1, 2, 3)}
+    for _, label, _, c in known:
+        for w in label.split():
+            counts[c][w] = counts[c].get(w, 0) + 1
+    vocabulary = len({w for c in counts.values() for w in c})
+
+    def best(label):
+        total = {}
+        for c in (1, 2, 3):
+            own = sum(r[3] == c for r in known)
+            total[c] = gain((own + 1) / (len(known) + 3)) + sum(gain(counts[c].get(w, 0) + 1) - gain(sum(counts[c].values()) + vocabulary + 1) for w in label.split())
+        return min(c for c in total if total[c] == max(total.values()))
+
+    for path, label, _, score in rows:
+        assert got[path] == (score if score is not None else None if label is None else best(label))
+    right = sum(got[p] == (1 if "dd" in l else 2 if "ee" in l else 3 if "gg" in l else got[p]) for p, l, _, s in rows[:300] if s is None)
+    assert right > 130
+    nothing = scoring.label_with_counts(df, scoring.counted_student(df.where("score is null")))
+    assert {r.score for r in nothing.where("label is not null").collect()} <= {1, 2, 3, 9}
+    assert scoring.label_with_counts(df.where("false"), student).count() == 0
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    datasets.write_manifest(spark, {"sft": "a.json", "dpo": "b.json"}, path)
+    got = {(r.dataset, r.file_name, r.theirs, r.ours) for r in datasets.read_manifest(spark, path).collect()}
+    assert got == {(n, f, t, o) for n, f in (("sft", "a.json"), ("dpo", "b.json")) for t, o in fixed.DATASETS[n]["columns"].items()}

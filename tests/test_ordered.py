@@ -141,3 +141,20 @@ def test_hash_buckets_follow_the_order(spark):
     df = spark.range(2000).select((F.col("id") * 2147483).alias("h"))
     rows = df.select("h", ordered.hash_bucket(F.col("h"), 16).alias("b")).orderBy("h").collect()
     assert [r.b for r in rows] == [r.h >> 28 for r in rows]
+
+
+def test_deep_pages_are_those_of_one_sort(spark):
+    from quillspark.operators import listing
+
+    rng = random.Random(6)
+    rows = [(i, "s" if i % 5 else "t", None if i % 37 == 0 else rng.choice([7000, rng.randrange(0, 400_000)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, session_id string, sec long").repartition(6)
+    df = df.select("id", "session_id", F.timestamp_seconds("sec").alias("at"))
+    order = sorted((r for r in rows if r[1] == "s"), key=lambda r: (r[2] is None, -(r[2] or 0), -r[0]))
+    for page in (1, 2, 13, 70, 71, 72, 73, 500):
+        got = [r.id for r in listing.deep_page(df, "s", "at", page, 10, 1800).collect()]
+        assert got == [r[0] for r in order[(page - 1) * 10 : page * 10]]
+    assert listing.deep_page(df, "none", "at", 1, 10).count() == 0
+    # the scan gets the page's range of time, and one row per bucket is counted
+    plan = listing.deep_page(df, "s", "at", 50, 10, 1800)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">=" in plan
