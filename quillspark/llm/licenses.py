@@ -117,9 +117,48 @@ for _label, _names in _CC.items():
         for _version in ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic"):
             NOTICES.setdefault(_label, []).append(f"This work is licensed under a Creative Commons {_name} {_version} License")
     NOTICES[_label].append(f"Licensed under {_label.upper().replace('-', ' ', 1)} 4.0.")
+# Titles, openings and clauses of the licence texts themselves, and names in SPDX lines.
+for _label, _texts in {
+    "apache-2": [
+        "Apache License Version 2.0, January 2004",
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, "
+        "and distribution as defined by Sections 1 through 9 of this document.",
+    ],
+    "gpl-3": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    ],
+    "gpl-2": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl-2": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl-3": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl-3": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation "
+        "with the community in the case of network server software.",
+    ],
+    "mpl-2": ["Mozilla Public License Version 2.0"],
+    "bsd": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ],
+    "epl-2": ["Eclipse Public License - v 2.0"],
+    "bsl-1": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+}.items():
+    NOTICES[_label] += _texts
+SPDX = {
+    "mit": ["MIT"], "apache-2": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "unlicense": ["Unlicense"], "0bsd": ["0BSD"],
+    "gpl-2": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"], "gpl-3": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl-2.1": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"], "lgpl-3": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "agpl-3": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "mpl-2": ["MPL-2.0"], "epl-2": ["EPL-2.0"], "bsl-1": ["BSL-1.0"], "cc0": ["CC0-1.0"],
+    "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+}
+for _label, _names in SPDX.items():
+    NOTICES[_label] += [f"SPDX-License-Identifier: {_name}" for _name in _names]
 # "library" decides before "general" only: GNU notices speak of "this library" under any licence
 DECIDING = (
-    "mit bsd apache educational boost eclipse mozilla lesser affero library sharealike share alike noncommercial commercial noderivatives noderivs "
+    "isc unlicense 0bsd gpl lgpl agpl mpl epl bsl mit bsd apache educational boost eclipse mozilla lesser affero library sharealike share alike noncommercial commercial noderivatives noderivs "
     "derivative derivatives nc sa nd cc0 1 2 3 4 5 6 7 8 9"
 ).split()
 COVERED = 0.75
@@ -195,6 +234,8 @@ class Automaton:
 
 
 class Scanner:
+    """Phrases (text: label) that count wherever they stand, and notices (label: texts) whose spans are chained."""
+
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         texts = [(p, label, True) for p, label in phrases.items()] + [(n, label, False) for label, ns in notices.items() for n in ns]
         templates = [split_words(t) for t, _, _ in texts]
@@ -309,12 +350,15 @@ class Scanner:
 SPANS = "doc_id bigint, n_words bigint, places array<struct<label:string,start:bigint>>, spans array<struct<label:string,start:bigint,end:bigint,share:double>>"
 
 
-def scan(docs):
-    """doc_id, n_words, places of phrases, and covered template spans of each row."""
+def scan(docs, phrases=PHRASES, notices=NOTICES):
+    """doc_id, n_words, places of phrases, and covered template spans of each row. Any templates can be given: `phrases` by text, `notices` by label.
+
+    The words in `DECIDING` tell templates apart whatever these are. The automaton of the templates is built once per task, in memory: templates are a bounded input.
+    """
     names = [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]
 
     def run(batches):
-        scanner = Scanner()
+        scanner = Scanner(phrases, notices)
         for batch in batches:
             for some in arrays.slices(batch):
                 rows = list(scanner.rows(some.column(1)))
@@ -328,9 +372,9 @@ def scan(docs):
     return rows.mapInArrow(run, SPANS)
 
 
-def summary(docs):
+def summary(docs, phrases=PHRASES, notices=NOTICES):
     """n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
-    rows, label = scan(docs), lambda x: x["label"]
+    rows, label = scan(docs, phrases, notices), lambda x: x["label"]
     base = F.transform("places", label)
 
     def joined(labels):

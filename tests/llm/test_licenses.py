@@ -108,3 +108,22 @@ def test_words_in_gaps_count():
     words = notice.replace("and/or", "and or").split()
     assert labels(notice.replace(" for any", " so for any")) == [("isc", len(words) / (len(words) + 1))]
     assert labels(" ".join(w + " so so so so so" * (i % 4 == 3) for i, w in enumerate(words))) == []
+
+
+def test_openings_clauses_and_spdx_lines():
+    for text, label in [
+        ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "apache-2"),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n Copyright (C) 2007", "gpl-3"),
+        ("The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.", "gpl-3"),
+        ("* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.", "bsd"),
+        ("// SPDX-License-Identifier: MIT\n", "mit"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2"), ("/* SPDX-License-Identifier: LGPL-2.1-only */", "lgpl-2.1"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+    ]:
+        assert {x[0] for x in labels(text)} == {label}, text
+    assert labels("SPDX-License-Identifier: Zlib") == [] == labels("see the SPDX-License-Identifier of each file")
+
+
+def test_other_templates(table):
+    rows = [(1, "This is the house licence of 2020, no more."), (2, "under the mit license"), (3, None)]
+    got = {r.doc_id: r for r in licenses.summary(table(rows), {"house licence": "house"}, {"own": ["this is the house licence of 2020"]}).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].base_labels, got[1].labels) == (1, 3, "house", "house,own") and got[2].labels == "" == got[3].labels
