@@ -2,8 +2,9 @@
 
 Base spans are emails, addresses, card and phone numbers, found by patterns in linear time: each run of characters is
 tried once (possessive quantifiers, and a look-behind at the start of a run or the end of the last match). Positions come from the pieces between matches.
+The method adds `secret`: a long run with letters and digits that a name such as token, key or password is set to.
 
-The method is information-theoretic sanitisation. Every distinct base value is a protected entity. Over the corpus, p(t) is the share of
+The method is information-theoretic sanitisation. Every distinct base value and secret is a protected entity. Over the corpus, p(t) is the share of
 documents that hold a term, p(e) that of documents that hold an entity, p(t, e) that of documents that hold both, wherever in the text they stand.
 How much of an entity a term gives away is pmi(t; e) / ic(e), with pmi = log(p(t, e) / (p(t) p(e))) and ic = -log p(e): 1 when the term
 occurs with that entity alone. A term seen with an entity in `SUPPORT` different texts or more (counted exactly, texts by a 64-bit hash) and above
@@ -12,9 +13,10 @@ A text that holds none of the entities a term gives away keeps the term.
 
 DataFrame functions only. Words are listed for texts with an entity of `SUPPORT` texts or more only; no other entity can have a span. Terms and entities
 meet once per different text, after terms too common for the entity are gone: p(t, e) <= p(e), so pmi / ic >= `DISCLOSES` asks for
-p(t) <= p(e) ^ `DISCLOSES`. A text gives at most its entities times its terms, added up per (entity, term); the corpus-wide counts of terms are one aggregate.
+p(t) <= p(e) ^ `DISCLOSES`. Entities that stand in the same texts disclose the same, so they are counted as one group: a list of addresses that several texts hold
+costs as much as one address. A text gives at most its groups times its terms, added up per (group, term); the corpus-wide counts of terms are one aggregate.
 
-Defined results: a null text counts as empty. Rows with equal ids, null included, and repeated rows are documents of their own. A word that touches a
+Defined results: a null text counts as empty; texts of any length are read whole. Rows with equal ids, null included, and repeated rows are documents of their own. A word that touches a
 base span is no term there, but counts for p(t). Cards may overlap phones and addresses: both are reported. An empty table gives an empty result. Columns not
 named in `keep` are not read.
 """
@@ -27,15 +29,18 @@ from quillspark.session import written
 
 # Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "term", "name", "secret")
+FOUND = (*KINDS, "secret")  # by patterns
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # of two runs in a row only the first is set to the name: the look-behinds are tried at starts of long runs alone
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})(?<=(?i:token|secret|passw(?:or)?d|key|auth)[\x20\t\"']{0,3}[:=][\x20\t\"']{0,3})[A-Za-z0-9_+/-]++",
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-CONTEXT = 48  # of the plain version in the tests, whose texts are that short; the operator looks at whole texts
 SUPPORT = 2
 DISCLOSES = 0.7
 REMOVES = 0.9
@@ -62,6 +67,8 @@ def _passes(kind, match):
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(10, 15)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -82,7 +89,7 @@ def _matches(kind, text):
     rows = F.transform(
         F.slice(paired, F.lit(1), F.size(found)),
         lambda m, i: F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), i.alias("number"), F.length(m["gap"]).alias("gap"), F.length(m["value"]).alias("length"),
+            F.lit(ALL_KINDS.index(kind)).alias("kind"), i.alias("number"), F.length(m["gap"]).alias("gap"), F.length(m["value"]).alias("length"),
             m["value"].alias("value"),
         ),
     )
@@ -92,7 +99,7 @@ def _matches(kind, text):
 def _numbered(docs, keep):
     """A row per document: rid (a number of its own), row (the columns `keep`), copy (a hash of the text), matches of all kinds, the text if there are any."""
     text = whole_text()
-    matches = F.concat(*(F.coalesce(_matches(k, text), F.array()) for k in KINDS))
+    matches = F.concat(*(F.coalesce(_matches(k, text), F.array()) for k in FOUND))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), row_of(keep), F.xxhash64(text).alias("copy"), matches.alias("matches"), text.alias("text"))
     return written(rows.withColumn("text", F.when(F.size("matches") > 0, F.col("text"))), "matches")
 
@@ -103,8 +110,8 @@ def _base(rows):
     so_far = Window.partitionBy("rid", "kind").orderBy("number")
     m = m.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(so_far)).withColumn("start", F.col("end") - F.col("length"))
     passes = F.lit(False)
-    for i, kind in enumerate(KINDS):
-        passes = F.when(F.col("kind") == i, _passes(kind, F.col("value"))).otherwise(passes)
+    for kind in FOUND:
+        passes = F.when(F.col("kind") == ALL_KINDS.index(kind), _passes(kind, F.col("value"))).otherwise(passes)
     entity = F.xxhash64("kind", F.lower("value"))
     return m.where(passes).select("rid", "copy", "kind", "start", "end", entity.alias("entity"))
 
@@ -136,13 +143,25 @@ def _holders(base):
     return held.join(entities.drop("texts"), "entity").select("rid", "copy", "entity", "with_entity")
 
 
+def entity_groups(holders):
+    """A row per different text and group of entities that stand in the same texts: copy, entity (one of the group), with_entity, docs (rows of that text).
+
+    Two sums of hashes over its texts name an entity's group, so that none is gathered; they differ from another's but by chance of a 128-bit hash.
+    """
+    held = holders.groupBy("copy", "entity", "with_entity").agg(F.count("*").alias("docs"))
+    sums = [F.sum(F.xxhash64("copy", F.lit(i)).cast("decimal(38, 0)")).alias(f"sum{i}") for i in range(2)]
+    texts = held.groupBy("entity").agg(F.count("*").alias("n_texts"), *sums)
+    groups = texts.groupBy("n_texts", "sum0", "sum1").agg(F.min("entity").alias("entity"))  # the group's other entities have the same rows
+    return held.join(groups.select("entity"), "entity", "left_semi")
+
+
 def disclosures(words, holders, docs):
-    """copy, entity, term, disclosure of the terms with enough support, for each different text: pmi(t; e) / ic(e)."""
+    """copy, entity (one of each group), term, disclosure of the terms with enough support, for each different text: pmi(t; e) / ic(e)."""
     n_docs = float(docs.count())
     all_words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(_TERM), F.lit(0))))
     terms = docs.select(all_words.alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= SUPPORT)
     here = words.select("copy", "term").distinct().join(terms, "term")
-    entities = holders.groupBy("copy", "entity", "with_entity").agg(F.count("*").alias("docs"))
+    entities = entity_groups(holders)
     ic = F.log(F.lit(n_docs) / F.col("with_entity"))
     rare = F.log(F.lit(n_docs) / F.col("with_term")) + 1e-9 >= DISCLOSES * ic
     pairs = written(here.join(entities, "copy").where(rare), "pairs")
@@ -159,7 +178,7 @@ def find(docs, keep=("doc_id",)):
     holders = written(_holders(base), "holders")
     words = written(_words(rows, base, holders), "words")
     shown = disclosures(words, holders, docs.select("text")).groupBy("copy", "term").agg(F.max("disclosure").alias("disclosure"))
-    kind = F.when(F.col("disclosure") >= REMOVES, len(KINDS) + 1).otherwise(len(KINDS))
+    kind = F.when(F.col("disclosure") >= REMOVES, ALL_KINDS.index("name")).otherwise(ALL_KINDS.index("term"))
     terms = words.join(shown, ["copy", "term"]).select("rid", "start", "end", kind.alias("kind"))
     both = base.select("rid", "start", "end", "kind").unionByName(terms)
     spans = both.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
@@ -167,9 +186,6 @@ def find(docs, keep=("doc_id",)):
     return rows.select("rid", "row").join(spans, "rid", "left").select("row", F.coalesce("spans", empty).alias("spans"))
 
 
-ALL_KINDS = (*KINDS, "term", "name")
-
-
 def _listed(spans):
     names = F.array(*(F.lit(k) for k in ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -188,9 +204,9 @@ def summary(docs):
 
 
 def sanitised(docs):
-    """The rows of `docs` with `text` changed: base spans by their kind in brackets, terms by `[TERM]`, names removed."""
+    """The rows of `docs` with `text` changed: base spans and secrets by their kind in brackets, terms by `[TERM]`, names removed."""
     rows, text = find(docs, docs.columns), F.coalesce(F.col("row.text"), F.lit(""))
-    labels = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL_KINDS[:-1]), F.lit(""))
+    labels = F.array(*(F.lit("" if k == "name" else f"[{k.upper()}]") for k in ALL_KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done, span):
