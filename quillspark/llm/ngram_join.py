@@ -11,7 +11,7 @@ No list of all pairs of a group is made:
 * in each list, members are first verified against its most typical member only, which joins families of near copies;
 * afterwards only pairs of different components are listed, one side being outside the largest component of the list.
 Pairs are held against bounds that lose nothing before shingles move: sizes, a 256-bit parity sketch, whose differing
-bits are at most the symmetric difference, and then a parity sketch of about a bit per shingle. Links are verified on exact sets of 64-bit hashes.
+bits are at most the symmetric difference, and then a parity sketch of about a bit per shingle. Links are verified on whole sets of 64-bit hashes.
 
 Defined results: a text without words, or null, has size 0 and links with nothing; fewer words than n are one shingle. A component is
 named by its smallest doc_id that is not null. Rows with equal ids are separate documents, repeated rows are copies. An empty table
@@ -214,8 +214,9 @@ class _Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("mark"))
         seen = written(self.rows.mapInArrow(_profiles(words), _PROFILE), "profiles")
         self.docs = seen.where("kind = 0").select("doc_id", "mark", "n", "node")
-        self.nodes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
-        self.sketches = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        one = seen.where("kind = 0 and n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sketch")))
+        one = written(one, "nodes")  # every consumer reads its own columns
+        self.nodes, self.sketches = one.drop("sketch"), one.select("node", "n", "sketch")
         counts = seen.where("kind = 1").groupBy("bucket").agg(F.sum("found").alias("found")).toPandas()  # at most BUCKETS rows
         frequency = np.zeros(BUCKETS, np.int64)
         frequency[counts["bucket"]] = counts["found"]
@@ -240,8 +241,8 @@ class _Join:
         """Entries of tokens that several nodes list, with the most typical of these nodes."""
         entries = written(self.rows.select("doc_id", "text").mapInArrow(_entries(self.words, self.percent, self.frequency), _ENTRIES), "entries")
         shared = entries.groupBy("token").agg(
-            F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("typical", "node")).alias("top"))
-        shared = shared.where("low != high").select("token", F.col("top.node").alias("leader"))
+            F.min("node").alias("low"), F.max("node").alias("high"), F.max_by("node", "typical").alias("leader"))  # numbers alone: no sort
+        shared = shared.where("low != high").select("token", "leader")
         return written(entries.join(shared, "token").dropDuplicates(["token", "node"]), "shared")
 
     def to_leaders(self, entries):
