@@ -133,6 +133,25 @@ def stream_balance(spark, sf_dir):
     return _ledger(feeds.balance_feed, spark, sf_dir, "balance").select("account", "event_id", "balance")
 
 
+@query(
+    "stream_late_rows",
+    a.sql("", "led").rstrip() + ",\n" + LEDGER + "\nSELECT account, event_id, accepted, balance FROM ledger",
+)
+def stream_late_rows(spark, sf_dir):
+    """A tenth of the events comes a slice of time too late; the last version of each event is what the batch run says."""
+    table = a.table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    place = F.coalesce(F.floor(F.col("ts") / (10 * 24 * 3600 * 1_000_000)), F.lit(1 << 40))
+    held_back = F.when(F.col("event_id") % 10 == 3, 1.5).otherwise(0.0)
+
+    def job(events, *folders):
+        rows = a.ledger_events(events)
+        return feeds.late_ledger_feed(rows, "account", "ts", "event_id", "delta", *folders, bucket=_quarter_day("ts"), start=a.START)
+
+    rows = _arriving(spark, table, place + held_back, job, "late")
+    newest = F.max_by(F.struct("accepted", "balance"), "version").alias("n")
+    return rows.groupBy("account", "event_id").agg(newest).select("account", "event_id", "n.accepted", "n.balance")
+
+
 @query(
     "stream_ingest",
     a.sql(

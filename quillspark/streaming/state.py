@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.session import scratch_folder
 from quillspark.sources.tables import fs_path
 
-BUCKETS = 32
+BUCKETS = 16
 _BUCKET = "__b"
 
 
@@ -59,13 +59,24 @@ class BucketedState:
         """State before the first micro-batch."""
         self.replace(-1, rows)
 
+    def mark(self, number, value):
+        """Remember a number of micro-batch `number`, as of all its rows."""
+        self.spark.createDataFrame([(value,)], "value double").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/marks/n={number}")
+
+    def marked(self, number):
+        """The greatest number remembered before micro-batch `number`, or none."""
+        files, pattern = fs_path(self.spark, f"{self.root}/marks/n=*")
+        paths = [s.getPath() for s in files.globStatus(pattern) or []]
+        paths = [str(p) for p in paths if int(p.getName()[2:]) < number]
+        return self.spark.read.schema("value double").parquet(*paths).agg(F.max("value")).first()[0] if paths else None
+
     def rows(self):
         """All rows after the last micro-batch."""
         return self.before(1 << 62)
 
 
 def run_folds(stream, state, fold, out=None, checkpoint=None):
-    """Fold what is there, micro-batch by micro-batch, and stop: (output rows, new state) = fold(batch, state rows of its buckets).
+    """Fold what is there, micro-batch by micro-batch, and stop: (output rows, new state) = fold(batch, state rows of its buckets, number).
 
     Output goes to `<out>/batch=<number>`, which a repeated micro-batch overwrites. Returns all output so far, if there is an `out`.
     """
@@ -77,7 +88,7 @@ def run_folds(stream, state, fold, out=None, checkpoint=None):
         try:
             touched = state.touched(batch)
             if touched:
-                shown, after = fold(batch, state.before(number, touched))
+                shown, after = fold(batch, state.before(number, touched), number)
                 if out:
                     schemas.append(shown.schema)
                     shown.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -118,3 +118,39 @@ def test_bytes_bound_a_micro_batch(spark, tmp_path):
     query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [10, 10, 10]
+
+
+@pytest.mark.parametrize("horizon", [None, 300])
+def test_late_rows_are_put_in_their_place(spark, tmp_path, horizon):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i * 10, i, rng.choice([3, -1, -1, -1])) for i in range(240)] + [(1, None, 900, -1)]
+    late = [r for r in rows[:160] if r[2] % 7 == 3]
+    ancient = [(1, 5, 1000, 3)]
+    parts = [[r for r in rows[:80] if r not in late], [r for r in rows[80:160] if r not in late] + late[:6], rows[160:] + late[6:], ancient]
+    rng.shuffle(parts[1])
+    schema = "account long, at long, id long, delta long"
+    for part in parts:
+        stream = arrive(spark, tmp_path, part, schema)
+        out = feeds.late_ledger_feed(stream, "account", "at", "id", "delta", *folders(tmp_path), bucket=F.floor(F.col("at") / 100), start=1, horizon=horizon)
+    out = out.collect()
+    known = rows + (ancient if horizon is None else [])
+    if horizon is not None:  # too old for the history: shown as late, without an outcome, and nothing is changed
+        lost = {r.id for r in out if r.balance is None}
+        assert 1000 in lost and all(r.kind == "late" for r in out if r.id in lost)
+        known = [r for r in rows if r[2] not in lost]
+    want = {}
+    for account in (1, 2, None):
+        balance = 1
+        for _, _, i, delta in sorted((r for r in known if r[0] == account), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            accepted = delta > 0 or balance >= 1
+            balance += delta * accepted
+            want[i] = (accepted, balance)
+    last = {}
+    for r in sorted(out, key=lambda r: r.version):
+        last[r.id] = (r.accepted, r.balance)
+    assert {i: x for i, x in last.items() if x[1] is not None} == want
+    first = {}
+    for r in sorted(out, key=lambda r: r.version):
+        first.setdefault(r.id, r.kind)
+    assert {i for i, k in first.items() if k == "late"} >= {r[2] for r in late} | {1000} and first[200] == "kept" and "corrected" not in first.values()
+    assert any(r.kind == "corrected" for r in out)
