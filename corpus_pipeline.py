@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage works on all documents that the one before it kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage works on all documents that the one before it kept, written as Parquet and read again.
+
+Defined results: a row with a null text counts as one with an empty text; of all texts without a character that is not white space one row goes on (exact copies), and it has its
+end id alone (packing). Of equal rows, repeated ids among them, one goes on. Rows without an id or a source are documents like others: they are never
+trained on, and a missing source is a source of its own. Ties go to the smaller id, null last. Texts of any length pass whole. Extra columns, whatever their names, stay as they are until packing,
+which has columns of its own. Without toxic labels nothing is rejected. An empty table of documents gives no pieces.
+"""
 
 from quillspark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from quillspark.llm.queries import documents, tokenizer
