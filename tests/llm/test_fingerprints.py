@@ -67,3 +67,47 @@ def test_densified_bins_copy_full_ones():
     out = fp.densified(minima)
     assert set(out[0]) == {7} and set(out[1]) == {5, 6} and (out[2] == empty).all()
     assert (out[1, [2, 9]] == (5, 6)).all()
+
+
+def plain_codes(text, bins=128, bits=4):
+    """One-permutation MinHash by loops: bins, minima, probes for empty bins, low-order bits."""
+    words = [w for w in text.replace("\n", " ").split(" ") if w]
+    if not words:
+        return None
+    runs = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {" ".join(words)}
+    hashes = {int(fp.arrays.shingles(*word_hashes(r), 5)[0][0]) for r in runs}
+    minima = {}
+    for h in hashes:
+        b, rest = h >> 57, h & (1 << 57) - 1
+        minima[b] = min(minima.get(b, rest), rest)
+    out = []
+    for b in range(bins):
+        attempt, at = 0, b
+        while at not in minima:
+            at = int(fp._probes(attempt, bins)[b]) if attempt < 16 * bins else (b + attempt) % bins
+            attempt += 1
+        out.append(int(fp.arrays.mixed(np.uint64(minima[at]))) & (1 << bits) - 1)
+    return out
+
+
+def word_hashes(run):
+    data, offsets = fp.arrays.text_buffer(pa.array([run]))
+    starts, ends, bounds = fp.arrays.words(data, offsets)
+    return fp.arrays.span_hashes(fp.arrays.prefix_sums(data), starts, ends), bounds
+
+
+def test_fingerprints_and_likeness_are_those_of_loops(table):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(50)], n)) for n in (1, 3, 5, 9, 40, 300, 300)] + ["", None, "\n a\n", "v1 v2", "v1 v2"]
+    got = sorted(fp.neighbour_fingerprints(table(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
+    for i, r in enumerate(got):
+        text, following = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        own, changed, other = (plain_codes(t) for t in (text, text[: len(text) - half] + following[:half], following))
+        assert r.fingerprint == ("" if own is None else "".join(f"{sum((c >> j & 1) << (3 - j) for j in range(4)):x}" for c in own))
+        for value, second in ((r.near_edited, changed), (r.near_next, other)):
+            if own is None or second is None:
+                assert value == float((own is None) == (second is None))
+            else:
+                same = sum(a == b for a, b in zip(own, second)) / 128
+                assert abs(value - min(max((same - 1 / 16) / (15 / 16), 0), 1)) < 1e-12

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+from odd import ODD
 from test_ngram_join import plain_components
 from tokenizers import Tokenizer
 
@@ -53,7 +54,6 @@ def test_stages_one_after_the_other(spark, tmp_path_factory):
 
     packed = stage(spark, tmp_path_factory, "packing", mixed).collect()
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode.encode_special_tokens = True
     tokens = sum(len(encode.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
     assert sum(p.length for p in packed) == tokens
     assert tokens / 1024 / len({p.sequence_id for p in packed}) > 0.97
@@ -62,3 +62,33 @@ def test_stages_one_after_the_other(spark, tmp_path_factory):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def tables(spark, folder, rows, labels):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, row string, mark int, score double"
+    spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and extra columns with clashing names."""
+    clean = [(100 + i, f"document {i} speaks of nothing but number {i} and of {i * 7} again", "en", "s1" if i % 3 else None, 50) for i in range(60)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(ODD)] + clean + clean[:5] + [(None, "without an id there is a text", "en", "s2", 1), (None, None, None, None, None)]
+    sf = tables(spark, tmp_path, rows, [(100 + i, 1, 0) for i in range(40)] + [(None, 1, 1), (101, None, None)])
+    packed = corpus_pipeline.run(spark, sf).collect()
+    kept = {p.doc_id for p in packed}
+    # no toxic label: all are clean. One row of each group of equal texts goes on: the first of those without words, the first "one", and so on
+    assert {r[0] for r in clean} <= kept and None in kept
+    texts = {}
+    for i, t in enumerate(ODD):
+        texts.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i))
+    words = {k: min(v)[1] for k, v in texts.items() if k}
+    assert {i for i in kept if i is not None and i < 100} <= set(words.values()) | {min(texts[""])[1]}
+    assert {words["one"], words["abcdefg"]} <= kept
+    for p in packed:
+        assert 0 < p.length <= 1024 and p.start + p.length <= p.doc_tokens
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [])).count() == 0
