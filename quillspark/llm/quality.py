@@ -8,7 +8,7 @@ N-grams: single words and pairs of words, as written; and runs of one to three w
 repeats the one before it). They are hashed into `PLACES` places, present or not; a place counts when `LEAST_TEXTS` sampled texts hold it.
 
 The model is fitted on a bounded sample of the labelled rows, by rank of a hash of the id: at most `MOST_TEXTS` texts, of which the driver gets at most `MOST_ENTRIES` indicators
-(whole texts, as many as fit). Spark counts n-grams and scores every row.
+(whole texts, as many as fit; an id whose texts have more than a hundredth of that is passed over). Spark counts n-grams and scores every row.
 
 Defined results: null and empty texts have no n-gram and are scored by the bias alone. A row without an id is scored, never learned from and not held out. Ids
 labelled both ways teach nothing, nor do labels other than 0 and 1, or without a document. A label that is repeated counts once; rows with equal ids each. Without
@@ -227,11 +227,12 @@ def trained(docs, labels):
     counts = counts.where(F.col("n") >= LEAST_TEXTS).orderBy("place").toArrow()  # PLACES rows at most
     kept, p, all_ = (counts.column(c).to_numpy().astype(np.int64) for c in ("place", "p", "n"))
     rows = written(sample.select("good", "rank", "places").mapInArrow(_narrowed(kept), "good int, rank bigint, n int, places array<int>"), "narrowed")
-    sizes = rows.select("rank", "n").orderBy("rank").toArrow()  # MOST_TEXTS small rows, and as many as their ids repeat
-    fits = np.cumsum(sizes.column("n").to_numpy()) <= MOST_ENTRIES
-    if not fits.all():
-        rows = rows.where(F.col("rank") < int(sizes.column("rank").to_numpy()[~fits][0]))
-    rows = rows.orderBy("rank", "n").toArrow()
+    sizes = rows.groupBy("rank").agg(F.sum(F.col("n") + 1).alias("n")).orderBy("rank").toArrow()  # a row per id, so MOST_TEXTS at most
+    ranks, size = sizes.column("rank").to_numpy(), sizes.column("n").to_numpy()
+    size = np.where(size <= MOST_ENTRIES // 100, size, 0)
+    chosen = ranks[(size > 0) & (np.cumsum(size) <= MOST_ENTRIES)]
+    chosen = sample.sparkSession.createDataFrame(pa.table({"rank": pa.array(chosen, pa.int64())}))
+    rows = rows.join(F.broadcast(chosen), "rank", "left_semi").orderBy("rank", "n").toArrow()
     lists = rows.column("places").combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64)
     places = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]

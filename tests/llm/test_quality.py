@@ -100,3 +100,15 @@ def test_one_kind_of_labels_and_odd_ids(spark, table):
     mixed = quality.quality(docs, spark.createDataFrame([(1, 1), (3, 0), (5, 0)], shape))
     assert mixed.where(~F.col("score").between(0, 1)).count() == 0 and mixed.count() == 5
     assert quality.quality(table([]), spark.createDataFrame([(1, 1), (2, 0)], shape)).count() == 0
+
+
+def test_the_driver_gets_a_bounded_number_of_indicators(spark, table, monkeypatch):
+    """An id that many rows repeat is passed over, and no more entries than the bound come to the driver."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", "fine" if i % 2 else "###"], 8))) for i in range(300)] + [(5, "a b c d fine")] * 400
+    monkeypatch.setattr(quality, "MOST_ENTRIES", 3000)
+    got, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda good, calibrating, places, *rest: got.append(len(places)) or fit(good, calibrating, places, *rest))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    out = quality.quality(table(rows), labels)
+    assert out.count() == 700 and 1000 < got[0] <= 3000
