@@ -11,8 +11,14 @@ from quillspark.llm.queries import documents, tokenizer
 from quillspark.session import scratch_folder
 
 
+def _small_batches(spark):
+    """Texts go to the workers some megabytes at a time: one after the other, all stages run in the same executors and worker processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier rejects go."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -23,6 +29,7 @@ def drop_copies(spark, docs, sf_dir):
 
 def drop_near(spark, docs, sf_dir):
     """Of each group of near duplicates (five-word shingles, likeness 0.8 or more) one document stays."""
+    _small_batches(spark)
     return ngram_join.drop_near(docs)
 
 
@@ -33,6 +40,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the mixed documents in sequences of at most 1024 tokens."""
+    _small_batches(spark)
     # the executors have run the other stages before: a small memory of pieces
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, most_pieces=200_000)
 
