@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = (1 << 31) - 1
 _BASES = (0x2545F491 % _PRIME, 0x5851F42D % _PRIME)
@@ -68,9 +68,10 @@ def _powers(base, n):
     """base ** 0 .. base ** n, modulo the prime."""
     table = _tables.get(base)
     if table is None or len(table) <= n:
-        table = np.ones(1, np.uint64)
-        while len(table) <= max(n, SLICE_BYTES):
-            table = np.concatenate([table, _reduced(table * np.uint64(pow(base, len(table), _PRIME)))])
+        table, size = np.ones(1, np.uint32), max(n, SLICE_BYTES) + 1
+        while len(table) < size:
+            more = _reduced(table[: size - len(table)].astype(np.uint64) * np.uint64(pow(base, len(table), _PRIME)))
+            table = np.concatenate([table, more.astype(np.uint32)])
         if n <= 4 * SLICE_BYTES:
             _tables[base] = table
     return table[: n + 1]

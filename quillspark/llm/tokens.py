@@ -35,8 +35,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.parted, self.spaced, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced, most
-        self.plain.encode_special_tokens = special_text
+        self.parted, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
+        self.plain = self.parted
+        if special_text:  # its marks must stay special where pieces are parted
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
         special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
         self.mark = sorted(special)[0]
         self.mark_id = special[self.mark]
