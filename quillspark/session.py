@@ -48,11 +48,23 @@ def scratch_folder(spark, name):
     return path
 
 
+def scratch_mark():
+    """A point in time, for `clear_scratch_between`."""
+    return len(_made)
+
+
 def clear_scratch(spark):
     """Remove all scratch folders of this process. For their owner, when no result that reads them is needed any more."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    clear_scratch_between(spark, 0, len(_made))
+
+
+def clear_scratch_between(spark, first, last):
+    """Remove the scratch folders made between two marks. The marks of others stay valid."""
+    for i in range(first, min(last, len(_made))):
+        if _made[i]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_made[i])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _made[i] = None
 
 
 def written(df, name, partition_by=()):
