@@ -2,6 +2,7 @@
 
 import numpy as np
 from odd import ODD
+from pyspark.sql import functions as F
 
 from quillspark.llm import ngram_join, queries
 from quillspark.llm.components import components
@@ -114,3 +115,34 @@ def test_bounds_lose_nothing():
         assert differing <= len(np.setxor1d(a, b))
         x, y = ngram_join.sized_sketches(both, np.array([0, len(a), len(both)]))
         assert ngram_join.differing_bits(x, y) <= len(np.setxor1d(a, b)) and ngram_join.differing_bits(x, x) == 0
+
+
+def test_lists_of_the_same_members_are_joined_once(spark, table):
+    """Texts that are alike below the threshold share many tokens. The parts of a pair are two rows, not one per token."""
+    rng = np.random.default_rng(8)
+    shared = [f"p{x}" for x in range(300)]
+    rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in rng.integers(0, 10**6, 40)])) for i in range(6)]
+    join = ngram_join._Join(table(rows), 5, 80)
+    entries = join.entries()
+    seen = []
+    join.nodes = join.nodes.withColumns({s: F.lit(0).cast("long") for s in ngram_join._PARTS})  # no pair is ruled out
+    kept, ngram_join.written = ngram_join.written, lambda df, name: seen.append((name, kept(df, name))) or seen[-1][1]
+    try:
+        pairs = join.across(entries, components(entries.select("node", "leader").toDF("a", "b").where("a < a")))
+    finally:
+        ngram_join.written = kept
+    mixed = dict(seen)["mixed"]
+    assert mixed.select("token").distinct().count() < entries.select("token").distinct().count() == mixed.select("token", "lists").distinct().agg(F.sum("lists")).first()[0]
+    plain = entries.select("token", F.col("node").alias("a")).join(entries.select("token", F.col("node").alias("b")), "token").where("a < b")
+    asked = entries.groupBy("node").agg(F.first("matches").alias("m"))
+    plain = plain.groupBy("a", "b").count().join(asked.toDF("a", "m"), "a").join(asked.toDF("b", "k"), "b").where("count >= least(m, k)")
+    assert sorted(map(tuple, pairs.collect())) == sorted((r.a, r.b) for r in plain.collect()) != []
+
+
+def test_sketches_tell_long_sets_apart():
+    """Sets of 900 shingles whose likeness is 0.63 are ruled out at 0.8 by the sketch alone."""
+    rng = np.random.default_rng(3)
+    a, more = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64)), rng.integers(0, 2**63, 900).astype(np.uint64)
+    b = np.unique(np.concatenate([a[: len(a) * 773 // 1000], more[: len(a) * 227 // 1000]]))
+    x, y = ngram_join.parity_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    assert int(np.bitwise_count(x ^ y).sum()) * 180 > (len(a) + len(b)) * 20
