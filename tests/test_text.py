@@ -170,3 +170,15 @@ def test_data_uri_has_no_line_breaks(spark):
     df = spark.createDataFrame([(bytearray(body),)], "b binary")
     assert df.select(text.data_uri(F.col("b")).alias("u")).first().u == (
         "data:image/jpeg;base64," + base64.b64encode(body).decode())
+
+
+def test_changed_or_lost_tokens_alone_need_no_table(monkeypatch):
+    """Answers with characters changed, lost or added alone are counted in one pass; others still come out right."""
+    text = "the one and only lesson of the evening " * 60
+    for answer, edits in ((text.replace("e", "\x07"), text.count("e")), (text.replace("on", ""), 2 * text.count("on")), (" \n" + text + "\t ", 4)):
+        monkeypatch.setattr(workers, "_banded_edits", None)
+        monkeypatch.setattr(workers, "_table_edits", None)
+        assert workers.bit_edits(text, answer) == edits == workers.bit_edits(answer, text)
+    monkeypatch.undo()
+    for a, b in (("ab" * 40, "ba" * 40), ("xaby", "xbay"), ("aab", "ab"), ("", "a"), ("abcabc", "cabcab"), ("aa", "aba")):
+        assert workers.bit_edits(a, b) == plain_edits(a, b)
