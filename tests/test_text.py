@@ -182,3 +182,12 @@ def test_changed_or_lost_tokens_alone_need_no_table(monkeypatch):
     monkeypatch.undo()
     for a, b in (("ab" * 40, "ba" * 40), ("xaby", "xbay"), ("aab", "ab"), ("", "a"), ("abcabc", "cabcab"), ("aa", "aba")):
         assert workers.bit_edits(a, b) == plain_edits(a, b)
+
+
+def test_formulas_of_one_file_go_to_all_tasks(spark):
+    """The table of parts is one block here, and its pairs are costly: they are dealt out in a session without settings too."""
+    from quillspark.plans import adapters
+
+    sf = "/root/testdata/sf0.01"
+    assert adapters.table(spark, sf, "part").rdd.getNumPartitions() == 1
+    assert adapters.formula_predictions(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
