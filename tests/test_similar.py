@@ -107,3 +107,16 @@ def test_classes_of_links(spark):
     got = {(r.node, r.root) for r in classes(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(201)} | {(x, 500) for x in range(500, 560)} | {(x, 600) for x in (600, 700, 800, 900)}
     assert classes(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_sets_with_a_pair_move(spark, monkeypatch):
+    """Sets are chosen by a bounded number of slots before they move; when slots are few, all sets move and the links are the same."""
+    rows = [(f"p{i}", "train", " ".join(f"w{i // 2}x{j}" for j in range(60)) + (" end" if i % 2 else "")) for i in range(40)]
+    rows += [(f"q{i}", "train", " ".join(f"v{i}x{j}" for j in range(60))) for i in range(40)] + [("c0", "train", "a b c d"), ("c1", "train", "a b c d")]
+    df = spark.createDataFrame(rows, "img_path string, split string, label string")
+    got = []
+    for slots in (similar.SLOTS, 2):
+        monkeypatch.setattr(similar, "SLOTS", slots)
+        got.append(sorted(map(tuple, similar.near_classes(df, F.col("label")).collect())))
+    assert got[0] == got[1]
+    assert sum(r[4] == 2 for r in got[0]) == 42 and len(got[0]) == 82
