@@ -63,6 +63,24 @@ def test_forgetting_changes_no_ids():
             assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t, 9) for t in texts[i : i + 5]]
 
 
+def test_a_word_is_encoded_once_whatever_its_letters_and_punctuation():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, encode = tokens.Encoder(path, False), plain("word_bpe_49k.json")
+    texts = ["Quill quill, QUILL. quill?!", "quill; spark.", "Spark! \u00c9t\u00e9. \u00e9t\u00e9", "\x1cquill \x1dSpark,"]
+    ids, bounds = coder.encode(texts, 9)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(t, 9) for t in texts]
+    assert [c for c in coder.codes if c.lower() == "quill"] == ["quill"] and "quill," not in coder.codes
+
+
+def test_words_met_most_are_remembered():
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False, 40)
+    often = " ".join(f"often{chr(97 + i)}" for i in range(8))
+    for i in range(6):
+        coder.encode([f"{often} {often}", " ".join(f"new{chr(97 + i)}{chr(97 + j)} " * 2 for j in range(20))], 9)
+    assert set(often.split()) <= set(coder.codes)
+    assert len(coder.codes) < 100
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_words_round_trip(ids):
