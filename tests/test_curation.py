@@ -67,6 +67,10 @@ def test_near_duplicates_equal_brute_force(spark):
     assert any(want.values()) and not all(want.values())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quick_hash_signatures_agree_for_equal_texts(spark):
     df = make(spark, [("a", "u v w x", "train", None), ("b", "u v w x", "train", None), ("c", "other words here", "train", None)])
     kept = dedup.drop_near(df, dedup.minhash_signatures(df, F.col("label"), hasher=dedup.quick_hash))
@@ -286,6 +290,12 @@ def test_counted_student_is_the_plain_rule(spark):
     assert scoring.label_with_counts(df.where("false"), student).count() == 0
 
 
+def test_tokens_are_not_sorted_by_word(spark):
+    df = spark.createDataFrame([("a", "train", "x y", 1), ("b", "train", "x z", None)], "img_path string, split string, label string, score int")
+    tokens_join = [line for line in plan_of(scoring.label_with_counts(df, scoring.counted_student(df))).split("\n") if "Join LeftOuter" in line and "word" in line]
+    assert tokens_join and all("shuffle_hash" in line for line in tokens_join)
+
+
 def test_manifest_round_trip(spark, tmp_path):
     path = str(tmp_path / "manifest")
     datasets.write_manifest(spark, {"sft": "a.json", "dpo": "b.json"}, path)
