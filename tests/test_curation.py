@@ -9,6 +9,7 @@ from quillspark import fixed
 from quillspark.functions import hashing, permute
 from quillspark.operators import datasets, dedup, sampling, scoring
 from quillspark.operators import registry as reg
+from quillspark.plans import curation
 
 ROWS = "img_path string, label string, split string, score int"
 
@@ -71,6 +72,15 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_signatures_are_made_once_and_texts_stay_where_they_are(spark):
+    df = spark.createDataFrame([(f"{i}", "train", f"a b c {i % 3}") for i in range(9)], "img_path string, split string, label string")
+    signatures = dedup.minhash_signatures(df, F.col("label"))
+    for out in (dedup.near_duplicate_flags(df, signatures), dedup.drop_near(df, signatures)):
+        assert str(dedup.PRIME) not in plan_of(out)
+    executed = curation.near_dup_drop(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in executed.split("\n") if "Project" in line and "length(text" in line]
+
+
 def test_quick_hash_signatures_agree_for_equal_texts(spark):
     df = make(spark, [("a", "u v w x", "train", None), ("b", "u v w x", "train", None), ("c", "other words here", "train", None)])
     kept = dedup.drop_near(df, dedup.minhash_signatures(df, F.col("label"), hasher=dedup.quick_hash))
